@@ -7,30 +7,59 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, sharding
+from . import chat, mixing, packing, quality, sharding, substring, suffix
 from .common import documents
 from .oracles import ORACLES  # noqa: F401  (read by the registry)
 
 SHARDS = 24
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     span = lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))
     return chat.rotate_perspectives(turns).withColumn("mask", F.array_join(F.transform("mask", span), ","))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.deduplicate(documents(spark, sf_dir)).drop("spans", "kept")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
+
+
 def op5_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_rows(documents(spark, sf_dir), weights=(1.0,) * SHARDS)
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(documents(spark, sf_dir)).drop("factors", "kept")
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return rows.select(
+        "doc_id", "size", "source_size", "target", "taken", "copies", F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards")
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).drop("d2")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_perspectives": op1_chat_perspectives,
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op5_rendezvous_shards": op5_rendezvous_shards,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op8_mix_sources": op8_mix_sources,
     "op9_quality_rules": op9_quality_rules,
 }
