@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, sharding, substring, suffix
+from . import chat, minhash, mixing, packing, quality, sharding, substring, suffix
 from .common import documents
 from .oracles import ORACLES  # noqa: F401  (read by the registry)
 
@@ -34,6 +34,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_rows(documents(spark, sf_dir), weights=(1.0,) * SHARDS)
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_perspectives": op1_chat_perspectives,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_minmax_near_dedup": op4_minmax_near_dedup,
     "op5_rendezvous_shards": op5_rendezvous_shards,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_mix_sources": op8_mix_sources,
