@@ -204,8 +204,8 @@ def mcd(vectors: DataFrame) -> DataFrame:
 
 def grouped(rows: DataFrame) -> DataFrame:
     """``grp`` by language and source; small groups are pooled by language, then altogether."""
-    lang = F.coalesce(F.col("lang"), F.lit(""))
-    fine = F.concat(lang, F.lit("/"), F.coalesce(F.col("source"), F.lit("")))
+    lang = F.coalesce(F.concat(F.lit("l"), F.col("lang")), F.lit(""))
+    fine = F.concat(lang, F.lit("/"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
     rows = rows.withColumns({"_fine": fine, "_lang": lang})
     counts = rows.groupBy("_fine", "_lang").count()
     small = counts.where(F.col("count") < MIN_GROUP)
@@ -220,6 +220,41 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.join(names, "_fine").drop("_fine", "_lang")
 
 
+BASE_SQL = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
+COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    rows = statistics(docs).withColumn("base_failed", F.expr(BASE_SQL))
+    return rows.withColumns({k: F.expr(v) for k, v in vector_sql().items()})
+
+
+def _judged(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """``rows`` with ``d2`` and ``kept``; ``model`` has one row for each language and source."""
+    keys = [F.coalesce(rows[c], F.lit("")).eqNullSafe(model[f"_{c}"]) & rows[c].isNull().eqNullSafe(model[f"_{c}_null"]) for c in ("lang", "source")]
+    judged = _layers(rows.join(model, keys[0] & keys[1], "left"), distance_sql())
+    return judged.withColumns(
+        {
+            "d2": F.when(~F.col("base_failed"), F.col("d2")),
+            "kept": ~F.col("base_failed") & F.coalesce(F.expr(f"d2 <= {CUTOFF}"), F.lit(False)),
+        }
+    )
+
+
+def _fitted(rows: DataFrame) -> DataFrame:
+    """The model of each language and source among the ``rows`` that pass the base limits."""
+    x = [f"x{i}" for i in range(len(FEATURES))]
+    vectors = staged(grouped(rows.where("not base_failed").select("lang", "source", *x)), "vectors")
+    model = mcd(vectors.select("grp", *x))
+    names = vectors.select("lang", "source", "grp").distinct()
+    named = names.select(
+        "grp",
+        *[F.coalesce(c, F.lit("")).alias(f"_{c}") for c in ("lang", "source")],
+        *[F.col(c).isNull().alias(f"_{c}_null") for c in ("lang", "source")],
+    )
+    return staged(named.join(model, "grp"), "model")
+
+
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     """Statistics and verdict of every row of ``docs`` (doc_id, text, lang, source).
 
@@ -231,28 +266,16 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     sources form groups of their own; repeated rows are judged alike; an empty table gives no rows;
     columns of other names are ignored. A group as uniform as to have no spread has the floors'.
     """
-    base = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
-    rows = statistics(docs.select("doc_id", F.col(text).alias("text"), "lang", "source")).withColumn(
-        "base_failed", F.expr(base)
-    )
-    rows = rows.withColumns({k: F.expr(v) for k, v in vector_sql().items()})
+    rows = _measured(docs.select("doc_id", F.col(text).alias("text"), "lang", "source"))
     rows = staged(rows, "statistics")
-    vectors = staged(
-        grouped(rows.where("not base_failed").select("doc_id", "lang", "source", *[f"x{i}" for i in range(len(FEATURES))])),
-        "vectors",
-    )
-    model = mcd(vectors.select("grp", *[f"x{i}" for i in range(len(FEATURES))]))
-    names = vectors.select("lang", "source", "grp").distinct()
-    keys = [rows["lang"].eqNullSafe(names["lang"]), rows["source"].eqNullSafe(names["source"])]
-    judged = _layers(rows.join(names, keys, "left").join(model, "grp", "left"), distance_sql())
-    return judged.select(
-        "doc_id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        "base_failed",
-        F.when(~F.col("base_failed"), F.col("d2")).alias("d2"),
-        (~F.col("base_failed") & F.expr(f"d2 <= {CUTOFF}")).alias("kept"),
-    )
+    return _judged(rows, _fitted(rows)).select("doc_id", *COLUMNS, "d2", "kept")
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang, source, any others) that :func:`judge` keeps, as they are.
+
+    Texts are measured twice, for the model and for the verdict; nothing but statistics is moved.
+    """
+    model = _fitted(staged(_measured(docs.select("text", "lang", "source")), "statistics"))
+    rows = _measured(docs.withColumn("_text", F.col("text")))
+    return _judged(rows, model).where("kept").select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])

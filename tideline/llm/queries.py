@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, minhash, mixing, packing, quality, sharding, substring, suffix
+from . import chat, covertree, minhash, mixing, packing, quality, sharding, substring, suffix
 from .common import documents
 from .oracles import ORACLES  # noqa: F401  (read by the registry)
 
@@ -58,6 +58,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).drop("d2")
 
 
+def op10_covertree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_perspectives": op1_chat_perspectives,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -67,4 +71,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op9_quality_rules": op9_quality_rules,
+    "op10_covertree_near_dedup": op10_covertree_near_dedup,
 }

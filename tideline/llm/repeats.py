@@ -145,7 +145,7 @@ def _texts_of(g: np.ndarray, c: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     return _rows(g, c, ids, head, new & ~head)
 
 
-def _listed(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
+def _listed(batch: pa.RecordBatch, column: str = "keys") -> tuple[np.ndarray, np.ndarray]:
     """Values of an array column and the row of each."""
     array = batch.column(column)
     offsets = np.frombuffer(array.buffers()[1], dtype=np.int32)[array.offset : array.offset + len(array) + 1]
@@ -195,19 +195,24 @@ def _per_document(rows: DataFrame) -> DataFrame:
 
 
 def repeated_keys(docs: DataFrame, spec: Spec) -> DataFrame:
-    """``docs`` (id not null, text) with ``keys``: what :func:`covered` needs to find repeated windows."""
+    """``docs`` (id, text, any others) with ``keys``: what :func:`covered` needs to find repeated windows.
+
+    ``id`` must be an expression that cannot be null. Every pass joins the same columns of ``docs``, so that
+    Spark moves the texts once and reads that exchange again.
+    """
+    columns = docs.columns
     found = docs.mapInArrow(_chunked(spec, lambda b, some, ids: _anchors_of(b.hash, ids[b.row])), ROWS)
     group = W.partitionBy("g")
     shared = found.withColumn("many", F.min("id").over(group) < F.max("id").over(group)).where("sure or many")
     todo = _per_document(shared.select("id", F.col("c").alias("key")))
 
     def blocks(b: Blocks, some: pa.RecordBatch, ids: np.ndarray) -> pa.RecordBatch:
-        at = np.flatnonzero(_having(b.hash, b.row, *_listed(some, 2)))
+        at = np.flatnonzero(_having(b.hash, b.row, *_listed(some)))
         return _texts_of(b.hash[at], b.keys(at), ids[b.row[at]])
 
     def finer(width: int, before: int):
         def rows(b: Blocks, some: pa.RecordBatch, ids: np.ndarray) -> pa.RecordBatch:
-            listed = _listed(some, 2)
+            listed = _listed(some)
             at = np.arange(len(b.first))
             at = at[_having(b.hash, b.row, *listed)]
             if not before:
@@ -227,7 +232,7 @@ def repeated_keys(docs: DataFrame, spec: Spec) -> DataFrame:
         return rows
 
     def next_pass(todo: DataFrame, rows) -> DataFrame:
-        joined = docs.join(todo, "id").select("id", "text", "keys")
+        joined = docs.join(todo, "id").select(*columns, "keys")
         return _decide(joined.mapInArrow(_chunked(spec, rows), ROWS))
 
     def undecided(decided: DataFrame, anchors: bool) -> DataFrame:
@@ -249,7 +254,7 @@ def repeated_keys(docs: DataFrame, spec: Spec) -> DataFrame:
     keys = hits[0]
     for more in hits[1:]:
         keys = keys.unionByName(more)
-    return docs.join(_per_document(keys), "id", "left").select("id", "text", "keys")
+    return docs.join(_per_document(keys), "id", "left").select(*columns, "keys")
 
 
 def covered(spec: Spec, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, rows: np.ndarray, inside: bool) -> tuple[Blocks, np.ndarray]:

@@ -42,7 +42,7 @@ def deduplicate(docs: DataFrame, size: int = SIZE, gram: int = GRAM, text: str =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some, data, offsets in rolling.chunks(batch, 1):
-                keys, of = repeats._listed(some, 2)
+                keys, of = repeats._listed(some)
                 blocks, gone = repeats.covered(spec, data, offsets, keys, of, inside=False)
                 words, raw = blocks.words, data.tobytes()
                 out: list[list] = [[] for _ in names]
