@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, covertree, minhash, mixing, packing, quality, sharding, substring, suffix
+from . import chat, cotraining, covertree, minhash, mixing, packing, quality, sharding, substring, suffix
 from .common import documents
 from .oracles import ORACLES  # noqa: F401  (read by the registry)
 
@@ -47,6 +47,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate(documents(spark, sf_dir)).drop("factors", "kept")
 
 
+def op7_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels, pages = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "pages"))
+    return cotraining.classify(documents(spark, sf_dir), labels, pages)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return rows.select(
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minmax_near_dedup": op4_minmax_near_dedup,
     "op5_rendezvous_shards": op5_rendezvous_shards,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_cotrained_quality": op7_cotrained_quality,
     "op8_mix_sources": op8_mix_sources,
     "op9_quality_rules": op9_quality_rules,
     "op10_covertree_near_dedup": op10_covertree_near_dedup,
