@@ -274,8 +274,9 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, lang, source, any others) that :func:`judge` keeps, as they are.
 
-    Texts are measured twice, for the model and for the verdict; nothing but statistics is moved.
+    The measured rows are written once, texts included, so that model and verdict read them without
+    measuring again; only statistics are moved between tasks.
     """
-    model = _fitted(staged(_measured(docs.select("text", "lang", "source")), "statistics"))
-    rows = _measured(docs.withColumn("_text", F.col("text")))
-    return _judged(rows, model).where("kept").select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    rows = staged(_measured(docs.withColumn("_text", F.col("text"))), "measured")
+    texts = [F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    return _judged(rows, _fitted(rows)).where("kept").select(*texts)
