@@ -181,7 +181,8 @@ def _chunked(spec: Spec, rows: Callable[[Blocks, pa.RecordBatch, np.ndarray], pa
 def _decide(rows: DataFrame) -> DataFrame:
     """Rows with ``repeated`` (the key has an earlier document) and ``split`` (the group has other keys)."""
     same, group = W.partitionBy("g", "c"), W.partitionBy("g")
-    return rows.select(
+    # dealt by group here, so that both readers of the result share one exchange
+    return rows.repartition("g").select(
         "g",
         "c",
         "id",

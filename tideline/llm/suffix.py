@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import repeats, rolling
 
 SIZE = 100
-GRAM = 24
+GRAM = 40
 PARTS = 8
 
 
