@@ -1,5 +1,126 @@
-"""DuckDB SQL with the same rows as the registered queries, where SQL can express them."""
+"""DuckDB SQL with the same rows as the registered queries, where SQL can express them.
+
+Suffix dedup (every byte window of every text), packing and the classifier have none; their tests hold
+them against brute-force versions, an exact round trip and held-out accuracy.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from . import quality
+
+WORD = "[^\\x20\\x09-\\x0D]+"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+OP1 = """
+with said as (select distinct coalesce(cast(conv_id as varchar), 'null') k, conv_id, turn, case when trim(role) <> '' then role else 'unknown' end who, coalesce("text", '') body,
+    coalesce(floor(turn / 512), 0)::bigint win from conversations),
+people as (select distinct k, who perspective from said where who <> 'system'),
+parts as (select s.*, perspective, who = perspective own, '<|im_start|>' || case when who = 'system' then 'system' || chr(10) when who = perspective then 'assistant' || chr(10)
+    else 'user name=' || replace(who, '<|', '< |') || chr(10) end head, replace(body, '<|', '< |') || '<|im_end|>' tail from said s join people using (k)),
+placed as (select *, coalesce(sum(length(head) + length(tail) + 1) over (partition by k, win, perspective order by turn nulls first, who, body rows between unbounded preceding and 1 preceding), 0)::bigint pos from parts)
+select conv_id, perspective, win as "window", count(*) n_messages, count(*) filter (own) n_trained,
+  string_agg(head || tail || chr(10), '' order by turn nulls first, who, body) rendered,
+  coalesce(string_agg((pos + length(head)) || '-' || (pos + length(head) + length(tail)), ',' order by pos) filter (own), '') mask
+from placed group by k, conv_id, win, perspective
+"""
+
+OP4 = f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce("text", ''), '{UPPER}', '{UPPER.lower()}'), '{WORD}') ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')] else [array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)] end) g from w),
+n as (select doc_id, count(*) n from s group by 1),
+p as (select a.doc_id a, b.doc_id b, count(*) common from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 75 * (x.n + y.n - common)),
+reach as (select a id, a other from e union select id, b from reach join e on a = other),
+c as (select id, min(other) least from reach group by 1)
+select doc_id, coalesce(n, 0) n_shingles, coalesce(least, doc_id) component_id, coalesce(least, doc_id) = doc_id kept
+from documents left join n using (doc_id) left join c on id = doc_id
+"""
+
+OP5 = """
+with tbl as (select list(list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, i) order by i) t from range(256) r(i)),
+d as (select doc_id, octet_length(encode(coalesce("text", ''))) + 8 size, md5(cast(doc_id as varchar)) h,
+  xor(4294967295::bigint, list_reduce([('0x' || x)::bigint for x in regexp_extract_all(hex(encode(coalesce("text", ''))), '..')], lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), 4294967295::bigint)) text_crc32
+  from documents, tbl),
+scored as (select doc_id, j, -ln((('0x' || substr(md5(j || ':' || doc_id), 1, 13))::bigint + 0.5) / 4503599627370496) score from documents, range(25) r(j)),
+best as (select doc_id, arg_min(j, score) filter (j < 24) shard, arg_min(j, score) grown_shard from scored group by 1)
+select doc_id, size::bigint size, text_crc32::bigint text_crc32, 'key' law, shard::int shard,
+  row_number() over (partition by shard order by ('0x' || substr(h, 1, 2))::int, doc_id, text_crc32, size) - 1 slot, grown_shard::int grown_shard from d join best using (doc_id)
+"""
+
+OP6 = f"""
+with w as (select doc_id, regexp_extract_all(coalesce("text", ''), '{WORD}') ws from documents),
+win as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') g from (select doc_id, ws, unnest(range(1, len(ws) - 11)) i from w)),
+dup as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by g) least from win) where least < doc_id),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) k from dup),
+word as (select doc_id, unnest(ws) x, generate_subscripts(ws, 1) k from w),
+kept as (select word.doc_id, string_agg(x, ' ' order by word.k) body from word left join gone on gone.doc_id = word.doc_id and gone.k = word.k where gone.k is null group by 1)
+select doc_id, len(ws)::bigint n_words, coalesce(n, 0) n_removed, sha256(coalesce(body, '')) kept_sha256
+from w left join (select doc_id, count(*) n from gone group by 1) using (doc_id) left join kept using (doc_id)
+"""
+
+OP10 = """
+with recursive v as (select vec_id, label, embedding::double[] x from embeddings where label is not null and embedding is not null and len(embedding) > 0
+  and len([c for c in embedding if c is null or not isfinite(c)]) = 0 and len([c for c in embedding if c <> 0]) > 0),
+e as (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.x) = len(b.x) where list_cosine_similarity(a.x, b.x) >= 0.98),
+reach as (select a id, a other from e union select id, b from reach join e on a = other),
+c as (select id, min(other) least from reach group by 1)
+select vec_id, coalesce(n, 0) n_links, coalesce(least, vec_id) component_id, coalesce(least, vec_id) = vec_id kept
+from embeddings left join (select a vec_id, count(*) n from e group by 1) using (vec_id) left join c on id = vec_id
+"""
+
+
+def _layered(source: str, layers: list[dict[str, str]]) -> str:
+    for layer in layers:
+        source = f"(select *, {', '.join(f'{v} as {k}' for k, v in layer.items())} from {source})"
+    return source
+
+
+def _op9() -> str:
+    p = range(len(quality.FEATURES))
+    symbols = quality.SYMBOLS
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    sums = ", ".join(f"{v} as {k}" for k, v in quality.sums_sql().items())
+    model = ", ".join(quality.MODEL)
+    steps, last = [], "start"
+    for k in range(quality.STEPS):
+        near = _layered(f"(select * from vec join {last} using (grp))", quality.distance_sql())
+        steps.append(f"near{k} as materialized (select grp, {', '.join(f'x{i}' for i in p)}, {quality.RANKED_SQL} q from {near})")
+        chosen = f"(select * from near{k} join (select grp, quantile_cont(q, 0.75) q75 from near{k} group by grp) using (grp) where q <= q75)"
+        fit = _layered(f"(select grp, {sums} from {chosen} group by grp)", quality.model_sql(quality.FACTOR_RAW))
+        steps.append(f"model{k} as materialized (select grp, {model} from {fit})")
+        last = f"model{k}"
+    near = _layered(f"(select * from vec join {last} using (grp))", quality.distance_sql())
+    fit = _layered(f"(select grp, {sums} from (select * from {near} where d2 <= {quality.CHI2_975}) group by grp)", quality.model_sql(quality.FACTOR_REWEIGHTED))
+    final = _layered("(select * from named left join fitted using (grp))", quality.distance_sql())
+    return f"""
+with d as (select *, coalesce("text", '') body, regexp_extract_all(coalesce("text", ''), '{WORD}') ws from documents),
+g as (select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] t from (select doc_id, ws, unnest(range(1, len(ws) - 1)) i from d)),
+twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, t) n from g) where n > 1),
+rep as (select doc_id, count(*) n from (select distinct doc_id, unnest(range(i, i + 3)) k from twice) group by 1),
+ln as (select doc_id, count(*) n_lines, count(*) - count(distinct l) n_dup_lines from (select doc_id, unnest(string_split(body, chr(10))) l from d) where trim(l, {space}) <> '' group by 1),
+s as (select doc_id, lang, source, len(ws)::bigint n_words, coalesce(len(array_to_string(ws, '')), 0)::bigint word_chars, (length(body) - length(translate(body, '{symbols}', '')))::bigint n_symbols,
+  coalesce(n_dup_lines, 0) n_dup_lines, coalesce(n_lines, 0) n_lines, coalesce(n, 0) n_repeat_words from d left join rep using (doc_id) left join ln using (doc_id)),
+b as materialized (select *, {quality.BASE_SQL} base_failed, {', '.join(f'{v} {k}' for k, v in quality.vector_sql().items())}, coalesce('l' || lang, '') lk, coalesce('l' || lang, '') || '/' || coalesce('s' || source, '') fine from s),
+cnt as (select fine, lk, count(*) n from b where not base_failed group by 1, 2),
+few as (select lk, sum(n) < {quality.MIN_GROUP} few from cnt where n < {quality.MIN_GROUP} group by 1),
+grps as (select fine, case when n >= {quality.MIN_GROUP} then fine when few then '*' else lk || '/*' end grp from cnt left join few using (lk)),
+named as materialized (select * from b left join grps using (fine)),
+vec as materialized (select grp, {', '.join(f'x{i}' for i in p)} from named where not base_failed),
+med as (select grp, {', '.join(f'quantile_cont(x{i}, 0.5) m{i}' for i in p)} from vec group by 1),
+mad as (select grp, {', '.join(f'quantile_cont(abs(x{i} - m{i}), 0.5) a{i}' for i in p)} from vec join med using (grp) group by 1),
+start as materialized (select grp, {', '.join(f'm{i}' for i in p)}, {', '.join(f'greatest(1.4826 * a{i}, {float(quality.FLOORS[i])}) l{i}{i}' for i in p)},
+  {', '.join(f'0e0 l{i}{j}' for i in p for j in p if j < i)} from med join mad using (grp)),
+{', '.join(steps)},
+fitted as materialized (select grp, {model} from {fit})
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(d2 <= {quality.CUTOFF}, false) kept from {final}
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_chat_perspectives": OP1,
+    "op4_minmax_near_dedup": OP4,
+    "op5_rendezvous_shards": OP5,
+    "op6_substring_dedup": OP6,
+    "op9_quality_rules": _op9(),
+    "op10_covertree_near_dedup": OP10,
+}
