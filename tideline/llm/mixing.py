@@ -170,7 +170,9 @@ def mix(
     and are taken together; an empty table gives no rows. Other columns are passed through.
     """
     made = ["size", "source_size", "target", "copies", "taken", "shards"]
-    rows = _keyed(docs, text)
+    # the row travels as one column, so that no name in it can clash
+    whole = F.struct(*[F.col(c) for c in docs.columns if c not in made]).alias("_row")
+    rows = _keyed(docs.select(whole, "doc_id", "source", F.col(text).alias("_text")), "_text").drop("doc_id", "_text")
     quotas, blocks = _quotas(staged(rows.select("source", "skey", "size", "block", "pos"), "sizes"), weights, most)
     quotas = quotas.withColumn(
         "units", F.expr("passes * n_blocks + whole + if(cut is null and add_pos is null, 0, 1)")
@@ -203,12 +205,12 @@ def mix(
             }
         )
         .withColumn("taken", F.col("size") * F.col("copies"))
-        .select(*[c for c in docs.columns if c not in made], *made)
+        .select("_row.*", *made)
     )
 
 
 def drawn(mixed: DataFrame) -> DataFrame:
     """The mix itself: one row per copy, with its ``shard`` and its place key ``shuffle`` inside the shard."""
-    rows = mixed.select("*", F.posexplode("shards").alias("copy", "shard")).drop("shards")
+    rows = mixed.drop("copy", "shard", "shuffle").select("*", F.posexplode("shards").alias("copy", "shard")).drop("shards")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     return rows.withColumn("shuffle", F.md5(F.concat_ws(":", F.lit("mix"), F.col("shard").cast("string"), name, F.col("copy").cast("string"))))

@@ -277,6 +277,7 @@ def keep(docs: DataFrame) -> DataFrame:
     The measured rows are written once, texts included, so that model and verdict read them without
     measuring again; only statistics are moved between tasks.
     """
-    rows = staged(_measured(docs.withColumn("_text", F.col("text"))), "measured")
-    texts = [F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return _judged(rows, _fitted(rows)).where("kept").select(*texts)
+    # the row travels as one column, so that no name in it can clash
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), "text", "lang", "source")
+    rows = staged(_measured(rows), "measured")
+    return _judged(rows, _fitted(rows)).where("kept").select("_row.*")
