@@ -116,11 +116,52 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def _op8(levels: int = 4) -> str:
+    halves = []
+    for k in range(levels):
+        last = f"t{k - 1}" if k else "units"
+        key = f"md5('tree{k}:' || node || ':' || skey || ':' || unit)"
+        halves.append(
+            f"t{k} as materialized (select skey, unit, node * 2 + (row_number() over (partition by node order by {key}, skey, unit) > ceil(count(*) over (partition by node) / 2))::int node from {last})"
+        )
+    return f"""
+with k as materialized (select doc_id, source, len(regexp_extract_all(coalesce("text", ''), '{WORD}'))::bigint size, coalesce('s' || source, 'n') skey,
+    ('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null')), 1, 2))::int block, ('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null')), 3, 15))::bigint pos from documents),
+b as materialized (select *, sum(bsize) over (partition by skey order by rank)::bigint cum from (select source, skey, block, sum(size)::bigint bsize,
+    row_number() over (partition by skey order by md5('block:' || skey || ':' || block), block) - 1 rank from k group by source, skey, block)),
+src as (select source, skey, sum(bsize)::bigint source_size, count(*) nb from b group by 1, 2),
+lv as (select *, source_size * 3e0 cap, ([5e0, 2e0, 1e0])[((row_number() over (order by source nulls last)) - 1) % 3 + 1] wt from src),
+lw as (select *, ((sum(source_size) over ())::double - coalesce(sum(cap) over (order by cap / wt, skey rows between unbounded preceding and 1 preceding), 0))
+    / sum(wt) over (order by cap / wt, skey rows between current row and unbounded following) lev from lv),
+tg as (select *, least(cap, coalesce((max(case when lev <= cap / wt then lev end) over ()) * wt, cap)) target from lw),
+g0 as (select *, case when source_size > 0 then round(target)::bigint // source_size else 0 end passes, round(target)::bigint goal from tg),
+g1 as (select *, goal - passes * source_size rest from g0),
+g2 as (select g1.*, coalesce(last + 1, 0) whole, rest - coalesce(got, 0) remain from g1
+  left join (select skey, max(rank) last, max(cum) got from b join g1 using (skey) where cum <= rest and rest > 0 group by 1) using (skey)),
+pl as (select skey, pos, remain, sum(psize) over (partition by skey order by pos) cum from
+  (select k.skey, pos, remain, sum(size) psize from k join b using (skey, block) join g2 on g2.skey = k.skey where rank = whole and remain > 0 group by 1, 2, 3)),
+g3 as (select g2.*, cut, remain - coalesce(got, 0) gap from g2 left join (select skey, max(pos) cut, max(cum) got from pl where cum <= remain group by 1) using (skey)),
+ad as (select skey, arg_min({{'b': block, 'p': pos}}, {{'d': abs(psize - gap), 'b': block, 'p': pos}}) a from
+  (select k.skey, k.block, pos, gap, sum(size) psize from k join b using (skey, block) join g3 on g3.skey = k.skey
+   where gap > 0 and (rank > whole or (rank = whole and (cut is null or pos > cut))) group by 1, 2, 3, 4) where abs(psize - gap) < gap group by 1),
+q as materialized (select g3.*, a.b add_block, a.p add_pos, passes * nb + whole + (case when cut is null and a is null then 0 else 1 end) units from g3 left join ad using (skey)),
+units as (select skey, unnest(range(units)) unit, 0 node from q),
+{", ".join(halves)},
+dealt as (select skey, node shard, sum(n) over (partition by skey order by node) - n lo, sum(n) over (partition by skey order by node) hi from (select skey, node, count(*) n from t{levels - 1} group by 1, 2)),
+c as (select k.*, rank, nb, units, source_size, target, passes, (rank < whole or (rank = whole and cut is not null and pos <= cut))::int part, coalesce(k.block = add_block and pos = add_pos, false)::int added
+  from k join b using (skey, block) join q on q.skey = k.skey),
+one as (select doc_id, skey, c, case when c < passes + part then c * nb + rank else units - 1 end unit from (select *, unnest(range(passes + part + added)) c from c)),
+sh as (select doc_id, string_agg(shard, ',' order by c) shards from one join dealt on one.skey = dealt.skey and unit >= lo and unit < hi group by 1)
+select doc_id, size, source_size, target, size * (passes + part + added) taken, passes + part + added copies, coalesce(shards, '') shards from c left join sh using (doc_id)
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_chat_perspectives": OP1,
     "op4_minmax_near_dedup": OP4,
     "op5_rendezvous_shards": OP5,
     "op6_substring_dedup": OP6,
+    "op8_mix_sources": _op8(),
     "op9_quality_rules": _op9(),
     "op10_covertree_near_dedup": OP10,
 }
