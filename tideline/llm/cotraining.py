@@ -22,6 +22,7 @@ LABELLED, POOL = 20_000, 20_000
 HELD_OUT = 5
 ROUNDS = 2
 CONFIDENT = 0.98
+FIT_PARTS = 4
 FEATURES = 1 << 16
 
 
@@ -67,9 +68,10 @@ def _views(docs: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def _fit(rows: DataFrame, view: str) -> LogisticRegressionModel:
-    fitter = LogisticRegression(featuresCol=view, labelCol="good", regParam=0.0005, elasticNetParam=0.5, maxIter=40, standardization=False,
+    fitter = LogisticRegression(featuresCol=view, labelCol="good", regParam=0.0005, elasticNetParam=0.5, maxIter=25, tol=1e-4, standardization=False,
                                 rawPredictionCol="raw", probabilityCol="probability", predictionCol="says")
-    return fitter.fit(rows)
+    # a bounded sample: a few partitions spare each of the fit's many passes their overhead
+    return fitter.fit(rows.coalesce(FIT_PARTS))
 
 
 def _logit(model: LogisticRegressionModel, rows: DataFrame, view: str) -> DataFrame:
@@ -130,7 +132,7 @@ def classify(docs: DataFrame, labels: DataFrame, pages: DataFrame, labelled: int
         return rows.withColumn("views", array_to_vector(F.array("text_logit", "meta_logit")))
 
     judges = both(held if len(held.select("good").distinct().take(2)) == 2 else train)
-    last = LogisticRegression(featuresCol="views", labelCol="good", regParam=0.001, maxIter=50).fit(judges.select("views", "good"))
+    last = LogisticRegression(featuresCol="views", labelCol="good", regParam=0.001, maxIter=25, tol=1e-4).fit(judges.select("views", "good").coalesce(1))
     at, by = float(last.intercept), [float(x) for x in last.coefficients]
     scored = both(_views(docs, meta)).withColumn("logit", F.lit(at) + by[0] * F.col("text_logit") + by[1] * F.col("meta_logit"))
     return scored.select(
