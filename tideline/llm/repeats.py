@@ -55,8 +55,7 @@ class Blocks:
         else:
             symbols, self.bounds = data, offsets
         self.sums = rolling.prefix_sums(symbols)
-        start = np.arange(max(len(symbols) - spec.gram + 1, 0))
-        grams = rolling.substring_hashes(self.sums, start, start + spec.gram)
+        grams = rolling.gram_hashes(self.sums, spec.gram)
         anchor = rolling.sliding_argmin(grams, spec.size - spec.gram + 1)
         row = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
         inside = row[: len(anchor)] == row[spec.size - 1 :][: len(anchor)]

@@ -23,7 +23,7 @@ _IS_SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes that are hashed at a time: the arrays of a step take some 60 times as much.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 @functools.lru_cache(maxsize=4)
@@ -41,7 +41,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every input bit over all output bits."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
@@ -62,6 +62,15 @@ def substring_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np
     return mix64(raw + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def gram_hashes(sums: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all substrings of ``size`` symbols, as :func:`substring_hashes` gives them, without lookups."""
+    n = max(len(sums) - size, 0)
+    raw = sums[size:] - sums[:n]
+    raw *= powers(n, inverse=True)
+    raw += np.uint64(size * 0x9E3779B97F4A7C15 % 2**64)
+    return mix64(raw)
+
+
 def texts(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows; null is empty."""
     array = batch.column(column)
@@ -110,8 +119,7 @@ class Words:
 
     def windows(self, n: int) -> np.ndarray:
         """Hash of the ``n`` words from each word on; those that would leave the chunk are missing."""
-        start = np.arange(max(len(self) - n + 1, 0))
-        return substring_hashes(prefix_sums(self.hash), start, start + n)
+        return gram_hashes(prefix_sums(self.hash), n)
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
