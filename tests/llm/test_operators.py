@@ -236,6 +236,25 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert {r["doc_id"] for r in kept.collect()} == set(range(400)) and kept.columns == docs(spark, rows).columns
 
 
+def test_repeated_lines_and_words_reject_by_themselves(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    text = lambda n: [word() for _ in range(n)]
+    lines = lambda ws: "\n".join(" ".join(ws[k : k + 10]) for k in range(0, len(ws), 10))
+    rows = [(i, lines(text(rng.randrange(60, 300)))) for i in range(400)]
+    # short lines repeat, so that the words between them are few in repeated windows
+    rows += [(1000 + k, "\n".join("ab\n" + " ".join(text(8)) for _ in range(20))) for k in range(20)]
+    # two fifths of the words come twice, in other lines
+    for k in range(20):
+        ws = text(160)
+        ws[105:137] = ws[20:52]
+        rows.append((2000 + k, lines(ws)))
+    got = collected(quality.judge(docs(spark, rows)), "doc_id", "n_words", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    assert not any(got[i][3] for i, _ in rows)
+    assert all(got[1000 + k][1] == 19 and got[1000 + k][2] < 10 and got[2000 + k][1] < 2 and got[2000 + k][2] >= 60 for k in range(20))
+    assert [i for i, _ in rows if not got[i][4]] == [i for i, _ in rows if i >= 1000]
+
+
 def test_chat_perspectives(spark):
     turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", "yo"), (1, 2, "bob", "yo"), (1, 3, "ann", None), (2, 0, "system", "alone"), (None, 0, None, "who"), (3, 600, "a", "late"), (3, 0, "b", "x")]
     rows = spark.createDataFrame([(*t, "extra") for t in turns], "conv_id long, turn long, role string, text string, perspective string")

@@ -18,8 +18,12 @@ from .common import SPACE_CHARS, let, staged, words
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("word_len", "symbols", "dup_lines", "repeats")
 SCALE = 1000
-#: Least standard deviation of each feature, in fixed point: rarer than that is not yet odd.
-FLOORS = (60, 200, 400, 400)
+#: Squared distance beyond which a document is rejected: the chi-square quantile 0.9999 for four degrees of freedom.
+CUTOFF = 23.513
+#: Least standard deviation of each feature, in fixed point: rarer than that is not yet odd. The last two features
+#: reach 1000 ln 11 = 2398 and, at the base limit of half the words, 1000 ln 6 = 1792 at most; their floors are half
+#: of that by the cutoff's root, so that beyond half of its range either rejects by itself where others have none.
+FLOORS = (83, 277, 247, 185)
 #: Groups with fewer rows are pooled: first by language, then altogether.
 MIN_GROUP = 200
 STEPS = 3
@@ -27,9 +31,6 @@ STEPS = 3
 CHI2_975 = 11.143
 #: Consistency factors of the covariance of the closest 75 % and of the reweighted rows.
 FACTOR_RAW, FACTOR_REWEIGHTED = 1.487, 1.0645
-#: Squared distance beyond which a document is rejected.
-CUTOFF = 45.0
-
 
 #: Up to so many different repeated windows are looked up one by one; beyond, places are sorted by window.
 FEW = 24
