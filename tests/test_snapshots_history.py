@@ -164,3 +164,16 @@ def test_uncommitted_batches_are_not_seen(spark, tmp_path):
     sinks.commit_batch(spark, root, {"t": rows}, 1)
     sinks.commit_batch(spark, root, {"t": rows}, 1)
     assert sinks.read_committed(spark, root, "t", "id string").count() == 2
+
+
+def test_feed_equivalence_compares_every_transaction_and_change(spark):
+    schema = "network string, ledger_sequence long, tx_hash string, component string, canonical string"
+    rows = [("net", k, tx, c, f"{k}{tx}{c}{n}") for k in range(1, 7) for tx in (None, "t1", "t2") for c in ("1_header", "2_result", "3_changes") for n in range(5)]
+    other = list(reversed(rows))
+    other.remove(("net", 2, "t2", "3_changes", "2t23_changes4"))  # the last change of the second transaction
+    other.append(("net", 3, None, "2_result", "3None2_result0"))  # twice
+    at = other.index(("net", 4, None, "1_header", "4None1_header2"))
+    other[at] = (*other[at][:4], None)
+    other = [(n, k, {"t1": "t2", "t2": "t1"}.get(tx, tx) if k == 5 else tx, c, x) for n, k, tx, c, x in other]  # swapped
+    got = integrity.feed_equivalence(spark.createDataFrame(rows, schema), spark.createDataFrame(other, schema)).collect()
+    assert sorted((r["ledger_sequence"], r["first_difference"]) for r in got) == [(2, "3_changes"), (3, "2_result"), (4, "1_header"), (5, "1_header")]

@@ -90,12 +90,14 @@ def canonicalize_changes(changes: DataFrame) -> DataFrame:
 def feed_equivalence(a: DataFrame, b: DataFrame) -> DataFrame:
     """Ledgers of which two feeds disagree, with the first component that differs.
 
-    Rows have network, ledger_sequence, component (sorted as they are compared) and canonical.
+    Rows have network, ledger_sequence, tx_hash (null for what belongs to no transaction), component (sorted
+    as they are compared) and canonical. All rows of a ledger, transaction and component are compared, in any order.
     """
-    digest = lambda df, name: df.select("network", "ledger_sequence", "component", F.sha2("canonical", 256).alias(name))
-    both = digest(a, "da").join(digest(b, "db"), ["network", "ledger_sequence", "component"], "full_outer")
-    differ = both.where(~F.col("da").eqNullSafe(F.col("db")))
-    return differ.groupBy("network", "ledger_sequence").agg(F.min("component").alias("first_difference"))
+    key = ["network", "ledger_sequence", "tx_hash", "component"]
+    rows = lambda df, side: df.select(*key, F.coalesce(F.sha2("canonical", 256), F.lit("null")).alias("_d"), F.lit(side).alias("_side"))
+    digest = lambda side: F.sha2(F.array_join(F.sort_array(F.collect_list(F.when(F.col("_side") == side, F.col("_d")))), ","), 256)
+    both = rows(a, "a").unionByName(rows(b, "b")).groupBy(*key).agg(digest("a").alias("da"), digest("b").alias("db"))
+    return both.where("da <> db").groupBy("network", "ledger_sequence").agg(F.min("component").alias("first_difference"))
 
 
 def equivalence_sample(cursor: int, cadence: int = 64, size: int = 8) -> range | None:

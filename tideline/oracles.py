@@ -186,6 +186,8 @@ BODIES = {
       (select reg.u, list_contains(reg.kinds, 'events') d, coalesce(list_contains(covered, 'events'), false) k, next_to from reg left join bf using (contract_id))) group by 1, 2""",
     "Q1_feed_equivalence": """select ledger_sequence, min(case when change_index = 3 then '1_header' when change_index = 1 then '2_result' else '3_changes' end) first_difference from
       (select distinct ledger_sequence, change_index from st1 where change_index between 1 and 3) where ledger_sequence % 5 = 0 or (ledger_sequence % 7 = 0 and change_index = 1) group by 1""",
+    "Q1_feed_equivalence_whole": """select ledger_sequence, min(case change_index % 3 when 0 then '1_header' when 1 then '2_result' else '3_changes' end) first_difference from st1
+      where starts_with(tx_hash, '00') or (ends_with(tx_hash, '00') and change_index % 3 = 1) group by 1""",
     "Q2_canonicalize_changes": """select l_orderkey, md5(string_agg(unit, ';' order by unit)) canonical from (select l_orderkey, ct, pc, case when ct = 'state' and nc in ('updated', 'removed') then ct || '|' || body || '|' || nc || '|' || nb else ct || '|' || body end unit from
       (select l_orderkey, ct, body, lead(ct) over w nc, lag(ct) over w pc, lead(body) over w nb from (select *, case l_returnflag when 'A' then 'state' when 'N' then 'updated' else 'removed' end ct, cast(l_partkey as varchar) body from lineitem)
        window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice))) where not coalesce(pc = 'state' and ct in ('updated', 'removed'), false) group by 1""",
