@@ -115,3 +115,18 @@ def test_index_counts_dropped_events(spark):
 def test_failed_transactions_contribute_nothing(spark):
     tx = spark.createDataFrame([("net", 12345, None, 1, "tx", False, True)], schemas.TRANSACTIONS)
     assert extract.successful_only(raw(spark, [([sym("a")], i128(1))]), tx).count() == 0
+
+
+def test_unresolvable_trustlines_are_counted_and_kept(spark):
+    side = lambda asset, kind="credit": (None, None, None, None, "G1", asset, kind, 5, 9, 0)
+    made = [side("A1"), side("A2"), side("A2"), side(None), side("A2", "pool_share"), side("A3"), None]
+    rows = [("net", 12345 + (k == 2), None, 1, "tx", 0, k, "trustline", "created", None, x) for k, x in enumerate(made)]
+    changes = extract.change_index(spark.createDataFrame(rows, schemas.RAW_CHANGES))
+    assets = spark.createDataFrame([("net", "A1", "S1"), ("net", "A3", "S3")], "network string, asset string, contract_id string")
+    registered = regs(spark, S1=["trustlines"], S3=["events"])
+    assert [(r["asset"], r["contract_id"]) for r in extract.derive_trustline_changes(changes, assets, registered).collect()] == [("A1", "S1")]
+    lines = extract.attributed_trustlines(changes, assets, registered).collect()
+    assert sorted((r["ledger_sequence"], r["change_index"], r["reject_reason"] or "") for r in lines) == [(12345, 0, ""), (12345, 1, "asset"), (12345, 2, "asset"), (12346, 0, "asset")]
+    tx = spark.createDataFrame([("net", 12345, None, 1, "tx", True, True)], schemas.TRANSACTIONS)
+    audit = extract.extraction_audit(tx, envelopes(raw(spark, [([sym("a")], i128(1))])), registered, changes, assets).collect()
+    assert {r["ledger_sequence"]: r["suppressed_trustlines"] for r in audit} == {12345: 2, 12346: 1}

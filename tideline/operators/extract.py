@@ -192,10 +192,13 @@ def asset_to_contract(rows: DataFrame, assets: DataFrame) -> DataFrame:
     return rows.join(assets.select("network", "asset", "contract_id"), ["network", "asset"])
 
 
-def derive_trustline_changes(indexed: DataFrame, assets: DataFrame, registrations: DataFrame) -> DataFrame:
-    """Trustline changes attributed to the contract of their asset; pool shares are skipped."""
+def attributed_trustlines(indexed: DataFrame, assets: DataFrame, registrations: DataFrame) -> DataFrame:
+    """Trustline changes with the contract of their asset and ``reject_reason``; pool shares are skipped.
+
+    Changes of an asset that no contract is known for keep their reason and have no contract.
+    """
     side = F.coalesce("post", "pre")
-    rows = indexed.where("entry_type = 'trustline'").where(F.coalesce(side["asset_type"], F.lit("")) != "pool_share").select(
+    rows = indexed.where("entry_type = 'trustline'").where(side.isNotNull() & (F.coalesce(side["asset_type"], F.lit("")) != "pool_share")).select(
         "network",
         chain_order_id(F.col("ledger_sequence"), F.col("tx_index"), F.col("change_index")).alias("id"),
         side["account_id"].alias("account_id"),
@@ -211,13 +214,25 @@ def derive_trustline_changes(indexed: DataFrame, assets: DataFrame, registration
         F.when(F.col("change_type") != "removed", F.col("post.limit")).alias("post_limit"),
         F.coalesce("post.flags", "pre.flags").alias("flags"),
     )
-    return watched(asset_to_contract(rows, assets), registrations, "trustlines")
+    found = rows.join(assets.select("network", "asset", "contract_id"), ["network", "asset"], "left")
+    own = of_kind(registrations, "trustlines").distinct().withColumn("_own", F.lit(True))
+    kept = found.join(own, ["network", "contract_id"], "left").where("contract_id is null or _own").drop("_own")
+    return kept.withColumn("reject_reason", F.when(F.col("contract_id").isNull(), "asset"))
+
+
+def derive_trustline_changes(indexed: DataFrame, assets: DataFrame, registrations: DataFrame) -> DataFrame:
+    """Trustline changes of watched contracts, attributed to the contract of their asset; pool shares are skipped."""
+    return attributed_trustlines(indexed, assets, registrations).where("reject_reason is null").drop("reject_reason")
 
 
-def extraction_audit(transactions: DataFrame, events: DataFrame, registrations: DataFrame) -> DataFrame:
+def extraction_audit(
+    transactions: DataFrame, events: DataFrame, registrations: DataFrame, changes: DataFrame | None = None, assets: DataFrame | None = None
+) -> DataFrame:
     """Counters for each ledger: failed and unreadable transactions, suppressed events and transfers, foreign undecodable.
 
-    ``events`` are indexed envelopes of successful transactions.
+    ``events`` are indexed envelopes of successful transactions. With ``changes`` (indexed, of successful
+    transactions) and ``assets`` suppressed trustline changes are counted too, also in ledgers that
+    ``transactions`` lack.
     """
     tx = transactions.groupBy("network", "ledger_sequence").agg(
         F.count_if(~F.col("successful")).alias("failed_txs"),
@@ -230,4 +245,7 @@ def extraction_audit(transactions: DataFrame, events: DataFrame, registrations:
     kept = bad.where("_own").groupBy("network", "ledger_sequence").agg(F.count("*").alias("suppressed_transfers"))
     for more in (odd, kept, foreign):
         tx = tx.join(more, ["network", "ledger_sequence"], "left")
+    if changes is not None:
+        lines = attributed_trustlines(changes, assets, registrations).where("reject_reason is not null")
+        tx = tx.join(lines.groupBy("network", "ledger_sequence").agg(F.count("*").alias("suppressed_trustlines")), ["network", "ledger_sequence"], "full_outer")
     return tx.na.fill(0)

@@ -207,4 +207,7 @@ BODIES = {
     "M4_status": """select 'testnet' network, cursor + 1 "next", cursor + 4 tip, open_gaps, pending_walks, 15::bigint lag_seconds, 4::bigint tip_lag, true ready, open_gaps <> 0 as alert
       from top, (select count(*) open_gaps from gp where not resolved), (select count(*) pending_walks from bf where not done)""",
 }
+BODIES["A6_extraction_audit_whole"] = f"""select ledger_sequence, {', '.join(f'coalesce({c}, 0) {c}' for c in 'failed_txs suppressed_txs suppressed_events suppressed_transfers foreign_undecodable suppressed_trustlines'.split())}
+  from ({BODIES['A6_extraction_audit']}) full join (select (o_orderdate::date - date '1970-01-01')::bigint ledger_sequence, count(*) suppressed_trustlines
+  from orders join customer on o_custkey = c_custkey where o_orderkey % 19 <> 0 and c_nationkey % 5 = 0 group by 1) using (ledger_sequence)"""
 ORACLES = {name: f"with {VIEWS.strip()},\n{SPEC}\n{body}" for name, body in BODIES.items()}

@@ -285,6 +285,14 @@ def A6_extraction_audit(s, d):
     return extract.extraction_audit(views.transactions(s, d), _envelopes(s, d), views.registrations(s, d)).drop("network")
 
 
+@query
+def A6_extraction_audit_whole(s, d):
+    """All six counters; every fifth asset has no known contract."""
+    registered = views.registrations(s, d).unionByName(views.asset_registrations(s, d), allowMissingColumns=True)
+    known = views.assets(s, d).where("cast(substr(asset, 2) as int) % 5 <> 0")
+    return extract.extraction_audit(views.transactions(s, d), _envelopes(s, d), registered, views.trustline_changes(s, d), known).drop("network")
+
+
 @query
 def A7_contract_summary(s, d):
     rows = reads.contract_detail(views.registrations(s, d), _events(s, d), snapshots.state_snapshot(views.state_rows(s, d)))
