@@ -2,8 +2,9 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from tideline import schemas
 from tideline.plans import views
-from tideline.streaming.live import Live, streaming_snapshot
+from tideline.streaming.live import ChainDiverged, Live, streaming_snapshot
 
 DATA = "/root/testdata/sf0.001"
 
@@ -61,3 +62,41 @@ def test_streaming_snapshot(spark, tmp_path):
     columns = ["contract_id", "key_xdr", "durability", "last_ledger", "value", "deleted"]
     want = sorted(map(str, state_snapshot(rows).select(*columns).collect()))
     assert sorted(map(str, spark.table("snapshot").select(*columns).collect())) == want
+
+
+def chained(spark, root, bad=None):
+    """Ten ledgers with an entry change each; events in ledgers 2 and 9 only."""
+    side = lambda k: ("C1", "K1", f"v{k}", "persistent", None, None, None, None, None, None)
+    line = lambda k: (None, None, None, None, "G1", "A1", "credit", k, 100, 0)
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{root}/{name}")
+    span = range(1, 11)
+    write("ledgers", [("testnet", k, f"h{k}", "bad" if k == bad else f"h{k - 1}", None) for k in span], schemas.LEDGERS)
+    write("transactions", [("testnet", k, None, 1, f"t{k}", k != 4, True) for k in span], schemas.TRANSACTIONS)
+    write("registrations", [("testnet", "C1", "admin", ["events", "state"], None), ("testnet", "S1", "admin", ["trustlines"], None)], schemas.REGISTRATIONS)
+    write("assets", [("testnet", "A1", "S1")], "network string, asset string, contract_id string")
+    both = [("testnet", k, None, 1, f"t{k}", 0, p, t, "created", None, s) for k in span for p, (t, s) in enumerate((("contract_data", side(k)), ("trustline", line(k))))]
+    write("raw_changes", both, schemas.RAW_CHANGES)
+    return lambda k: spark.createDataFrame([("testnet", k, None, 1, f"t{k}", 0, 0, "contract", "C1", 0, [("symbol", "a", "b")], ("i128", "1", None, "b"), "raw")], schemas.RAW_EVENTS)
+
+
+def test_live_commits_changes_snapshots_and_hashes(spark, tmp_path):
+    event = chained(spark, f"{tmp_path}/landing")
+    live = Live(spark, f"{tmp_path}/landing", f"{tmp_path}/store", "testnet")
+    for k, batch in ((2, 0), (9, 1), (9, 2)):  # the last is a replay
+        live.process(event(k), batch)
+    want = [2, 3, 5, 6, 7, 8, 9]  # ledger 1 is before the start, 4 failed, 10 is after the last event
+    for table in ("state_changes", "trustline_changes"):
+        assert sorted(r["ledger_sequence"] for r in live.stored(table).collect()) == want
+    assert [(r["value"], r["last_ledger"]) for r in live.state().collect()] == [("v9", 9)]
+    assert [(r["contract_id"], r["balance"], r["last_ledger"]) for r in live.trustlines().collect()] == [("S1", 9, 9)]
+    assert sorted((r["ledger_sequence"], r["hash"]) for r in live.hashes().collect()) == [(k, f"h{k}") for k in range(2, 10)]
+
+
+@pytest.mark.parametrize("bad", [3, 6, 9])
+def test_quiet_ledgers_are_chained_to_the_cursor(spark, tmp_path, bad):
+    event = chained(spark, f"{tmp_path}/landing", bad)
+    live = Live(spark, f"{tmp_path}/landing", f"{tmp_path}/store", "testnet")
+    live.process(event(2), 0)
+    with pytest.raises(ChainDiverged):
+        live.process(event(9), 1)
+    assert live.cursor().first()["ledger_sequence"] == 2

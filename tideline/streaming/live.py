@@ -1,15 +1,16 @@
-"""Live extraction: landed events in micro-batches, committed as one unit each."""
+"""Live extraction: landed events and entry changes in micro-batches, committed as one unit each."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
-from ..operators import extract, integrity
+from ..operators import extract, integrity, snapshots
 from ..sources import landing, sinks
 
 EVENTS = (
@@ -24,8 +25,25 @@ MOVEMENTS = (
     "network string, contract_id string, transfer_id string, role string, token_contract_id string, ledger_sequence bigint, transfer_type string, "
     "counterparty string, amount string, asset string"
 )
+STATE_CHANGES = (
+    "network string, id string, contract_id string, ledger_sequence bigint, closed_at timestamp, tx_hash string, tx_index int, change_index int, change_type string, "
+    "key_xdr string, durability string, pre_value string, post_value string"
+)
+TRUSTLINE_CHANGES = (
+    "network string, id string, contract_id string, account_id string, asset string, ledger_sequence bigint, closed_at timestamp, tx_hash string, tx_index int, "
+    "change_index int, change_type string, pre_balance bigint, post_balance bigint, post_limit bigint, flags bigint"
+)
 CURSOR = "network string, ledger_sequence bigint, hash string"
-SCHEMAS = {"events": EVENTS, "transfers": TRANSFERS, "movements": MOVEMENTS, "cursor": CURSOR}
+SCHEMAS = {
+    "events": EVENTS, "transfers": TRANSFERS, "movements": MOVEMENTS, "state_changes": STATE_CHANGES, "trustline_changes": TRUSTLINE_CHANGES,
+    # the latest change of each key in each batch; state() and trustlines() fold them
+    "state_latest": STATE_CHANGES, "trustline_latest": TRUSTLINE_CHANGES, "hashes": CURSOR, "cursor": CURSOR,
+}
+LATEST = {
+    "state_changes": ("state_latest", ["network", "contract_id", "key_xdr", "durability"], "post_value"),
+    "trustline_changes": ("trustline_latest", ["network", "contract_id", "account_id"], "post_balance"),
+}
+ASSETS = "network string, asset string, contract_id string"
 
 
 class ChainDiverged(RuntimeError):
@@ -34,7 +52,11 @@ class ChainDiverged(RuntimeError):
 
 @dataclass
 class Live:
-    """Landing folder (ledgers, transactions, raw_events, registrations), store folder, network."""
+    """Landing folder (ledgers, transactions, raw_events, raw_changes, assets, registrations), store folder, network.
+
+    Batches are made of events; the entry changes of a batch are those of the ledgers after the cursor, to its last
+    event. ``raw_changes`` and ``assets`` may be missing, where nobody lands them.
+    """
 
     spark: SparkSession
     landing: str
@@ -48,6 +70,26 @@ class Live:
         rows = self.stored("cursor")
         return rows.groupBy("network").agg(F.max("ledger_sequence").alias("ledger_sequence"), F.max_by("hash", "ledger_sequence").alias("hash"))
 
+    def state(self) -> DataFrame:
+        return snapshots.state_snapshot(self.stored("state_latest"))
+
+    def trustlines(self) -> DataFrame:
+        return snapshots.trustline_snapshot(self.stored("trustline_latest"))
+
+    def hashes(self) -> DataFrame:
+        """The hash record: the last ledgers of each network."""
+        return integrity.prune_hash_ring(self.stored("hashes").distinct())
+
+    def _landed(self, name: str, schema: str) -> DataFrame:
+        try:
+            rows = self.spark.read.schema(schema).parquet(f"{self.landing}/{name}")
+            rows.schema  # noqa: B018
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+        return rows
+
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Check the chain, derive, drop what is stored already, commit. Replaying a batch changes nothing."""
         spark = self.spark
@@ -55,13 +97,18 @@ class Live:
         if bounds["lo"] is None:
             return
         read = lambda name, schema: spark.read.schema(schema).parquet(f"{self.landing}/{name}")
-        ledgers = landing.read_ledgers(read("ledgers", schemas.LEDGERS), bounds["lo"], bounds["hi"])
+        cursor = self.cursor().where(F.col("network") == self.network).first()
+        # ledgers without events are read too, so that the chain goes on from the cursor
+        first = bounds["lo"] if cursor is None else min(bounds["lo"], cursor["ledger_sequence"] + 1)
+        ledgers = landing.read_ledgers(read("ledgers", schemas.LEDGERS), first, bounds["hi"])
         known = self.cursor().select("network", "ledger_sequence", "hash", F.lit(None).cast("string").alias("previous_hash"))
-        chain = ledgers.select("network", "ledger_sequence", "hash", "previous_hash").unionByName(known.where(F.col("ledger_sequence") < bounds["lo"]))
+        chain = ledgers.select("network", "ledger_sequence", "hash", "previous_hash").unionByName(known.where(F.col("ledger_sequence") < first))
         broken = integrity.continuity_breaks(chain).orderBy("ledger_sequence").first()
         if broken is not None:
             raise ChainDiverged(f"ledger {broken['ledger_sequence']} does not follow its predecessor")
-        transactions = read("transactions", schemas.TRANSACTIONS).where(F.col("ledger_sequence").between(bounds["lo"], bounds["hi"]))
+        transactions = read("transactions", schemas.TRANSACTIONS).where(F.col("ledger_sequence").between(first, bounds["hi"]))
+        landed = self._landed("raw_changes", schemas.RAW_CHANGES).where(F.col("ledger_sequence").between(first, bounds["hi"]))
+        changes = extract.successful_only(extract.change_index(landed), transactions)
         registered = landing.registration_snapshot(spark, f"{self.landing}/registrations", self.network)  # as it is now
         indexed = extract.successful_only(extract.event_index(batch), transactions)
         envelopes = extract.event_envelope(extract.contract_events_only(indexed))
@@ -70,12 +117,19 @@ class Live:
             "events": extract.watched(envelopes.where("body_version = 0"), registered, "events"),
             "transfers": extract.watched(decoded, registered, "transfers"),
             "movements": extract.attribute_movements(decoded, registered),
+            "state_changes": extract.derive_state_changes(changes, registered),
+            "trustline_changes": extract.derive_trustline_changes(changes, self._landed("assets", ASSETS), registered),
         }
         tables = {}
         for name, rows in made.items():
             columns = [c.name for c in self.stored(name).schema]
             order = ["transfer_id"] if name == "movements" else ["id"]
             tables[name] = sinks.new_rows(rows.select(*columns), self.stored(name), sinks.IDEMPOTENCY[name], order)
+        for name, (latest, key, value) in LATEST.items():
+            rest = [c.name for c in self.stored(latest).schema if c.name not in key]
+            last = tables[name].groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("ledger_sequence", "id", value)).alias("_s"))
+            tables[latest] = last.select(*key, *[F.col(f"_s.{c}").alias(c) for c in rest])
+        tables["hashes"] = ledgers.select("network", "ledger_sequence", "hash")
         tables["cursor"] = integrity.advance_cursor(self.cursor(), ledgers)
         sinks.commit_batch(spark, self.store, tables, batch_id)
 
