@@ -1,10 +1,10 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by the window search of :mod:`.suffix`, in words.
 
 The reference is every document with a smaller id, indexed in content-chosen blocks (see
-:mod:`.repeats`). A document is factored greedily against the index: a block that stands in the
-reference as a whole is matched at once and joins the factor before it; where a block does not, a
-factor ends in it, and its windows are looked up one by one, so that no match is lost at a factor's
-boundary. Factors of at least ``size`` words become duplicate spans.
+:mod:`.repeats`). A block that stands in the reference as a whole is covered at once; where a block does
+not, its windows are looked up one by one. This is not a relative Lempel-Ziv parsing: nothing is
+matched greedily, and a span has no place in the reference. Runs of covered words become duplicate
+spans, also where their windows stand in different documents.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ GRAM = 5
 def deduplicate(docs: DataFrame, size: int = SIZE, gram: int = GRAM, text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, factors and kept.
 
-    ``factors`` are the duplicate spans as [start, end) word numbers, ``kept`` the words that are left,
+    ``factors`` are the duplicate spans, runs of covered words, as [start, end) word numbers, ``kept`` the words that are left,
     joined by one space. A word goes if ``size`` consecutive words that cover it also stand in a document
     with a smaller id; windows are judged on the input.
 
