@@ -159,11 +159,16 @@ def test_uncommitted_batches_are_not_seen(spark, tmp_path):
     root, rows = f"{tmp_path}/store", spark.createDataFrame([("x",)], "id string")
     assert sinks.read_committed(spark, root, "t", "id string").isEmpty()
     sinks.commit_batch(spark, root, {"t": rows}, 0)
-    rows.write.parquet(f"{root}/t/batch_id=1")  # a commit that died before its marker
+    rows.write.parquet(f"{root}/t/attempt=direct-1-dead")  # a commit that died before its marker
     assert sinks.read_committed(spark, root, "t", "id string").count() == 1
     sinks.commit_batch(spark, root, {"t": rows}, 1)
-    sinks.commit_batch(spark, root, {"t": rows}, 1)
+    sinks.commit_batch(spark, root, {"t": rows}, 1)  # two drivers that both finish: one attempt counts
     assert sinks.read_committed(spark, root, "t", "id string").count() == 2
+    sinks.commit_batch(spark, root, {"t": rows}, 1, stream="another checkpoint")
+    assert sinks.read_committed(spark, root, "t", "id string").count() == 3
+    sinks.compact(spark, root, {"t": "id string"})
+    assert sinks.committed(spark, root).count() == 1 and sinks.read_committed(spark, root, "t", "id string").count() == 3
+    assert sinks.is_committed(spark, root, "direct", 1) and not sinks.is_committed(spark, root, "direct", 2)
 
 
 def test_feed_equivalence_compares_every_transaction_and_change(spark):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tideline import schemas
 from tideline.plans import views
+from tideline.sources import sinks
 from tideline.streaming.live import ChainDiverged, Live, streaming_snapshot
 
 DATA = "/root/testdata/sf0.001"
@@ -100,3 +101,64 @@ def test_quiet_ledgers_are_chained_to_the_cursor(spark, tmp_path, bad):
     with pytest.raises(ChainDiverged):
         live.process(event(9), 1)
     assert live.cursor().first()["ledger_sequence"] == 2
+
+
+def test_a_committed_batch_is_left_alone(spark, tmp_path):
+    root = str(tmp_path)
+    land(spark, f"{root}/landing")
+    live = Live(spark, f"{root}/landing", f"{root}/store", "testnet")
+    batch = views.raw_events(spark, DATA)
+    counts = []
+    for _ in range(2):
+        live.process(batch, 0)
+        counts.append([live.stored(t).count() for t in ("events", "transfers", "movements", "hashes")])
+    assert counts[0] == counts[1] and counts[0][0] > 0
+    assert sinks.markers(spark, live.store).count() == 1
+
+
+def test_a_new_checkpoint_overwrites_nothing(spark, tmp_path):
+    root = str(tmp_path)
+    land(spark, f"{root}/landing")
+    live = Live(spark, f"{root}/landing", f"{root}/store", "testnet")
+    live.start(f"{root}/checkpoint-1", max_files=1).awaitTermination()
+    want = sorted(r["id"] for r in live.stored("events").collect())
+    live.start(f"{root}/checkpoint-2").awaitTermination()
+    assert sorted(r["id"] for r in live.stored("events").collect()) == want and want
+    streams = {r["stream"] for r in sinks.markers(spark, live.store).collect()}
+    assert len(streams) == 2 and "direct" not in streams
+    live.compact()
+    assert sorted(r["id"] for r in live.stored("events").collect()) == want and sinks.committed(spark, live.store).count() == 1
+    live.start(f"{root}/checkpoint-3").awaitTermination()
+    assert sorted(r["id"] for r in live.stored("events").collect()) == want
+
+
+def test_a_transaction_in_two_files_is_numbered_as_one(spark, tmp_path):
+    root = f"{tmp_path}/landing"
+    chained(spark, root)
+    for pos in (1, 0):
+        row = ("testnet", 2, None, 1, "t2", 0, pos, "contract", "C1", 0, [("symbol", f"e{pos}", "b")], ("i128", "1", None, "b"), "raw")
+        spark.createDataFrame([row], schemas.RAW_EVENTS).coalesce(1).write.mode("append").parquet(f"{root}/raw_events")
+    live = Live(spark, root, f"{tmp_path}/store", "testnet")
+    live.start(f"{tmp_path}/checkpoint", max_files=1).awaitTermination()
+    assert sinks.markers(spark, live.store).count() == 2
+    assert sorted((r["event_name"], r["event_index"]) for r in live.stored("events").collect()) == [("e0", 0), ("e1", 1)]
+
+
+@pytest.mark.parametrize("hole", [3, 6])
+def test_a_hole_after_the_cursor_is_a_gap(spark, tmp_path, hole):
+    root = f"{tmp_path}/landing"
+    event = chained(spark, root)
+    kept = spark.read.parquet(f"{root}/ledgers").where(F.col("ledger_sequence") != hole).collect()
+    spark.createDataFrame(kept, schemas.LEDGERS).write.mode("overwrite").parquet(f"{root}/ledgers")
+    for k in (2, 9):
+        event(k).write.mode("append").parquet(f"{root}/raw_events")
+    live = Live(spark, root, f"{tmp_path}/store", "testnet")
+    live.process(event(2), 0)
+    strict = Live(spark, root, live.store, "testnet", strict=True)
+    with pytest.raises(ChainDiverged):
+        strict.process(event(9), 1)
+    assert live.cursor().first()["ledger_sequence"] == 2
+    live.process(event(9), 1)
+    assert [r["id"] for r in live.gaps().collect()] == [f"gap:testnet:{hole}:{hole}"]
+    assert sorted(r["ledger_sequence"] for r in live.stored("events").collect()) == [2, 9]
+    assert hole not in {r["ledger_sequence"] for r in live.stored("state_changes").collect()}

@@ -61,9 +61,10 @@ def resume_point(cursors: DataFrame) -> DataFrame:
     return cursors.select("network", F.coalesce(F.col("cursor") + 1, F.when(F.col("start") > 0, F.col("start")), F.col("tip")).alias("next"), F.when(F.col("cursor").isNotNull(), F.col("hash")).alias("expected_hash"))
 
 
-def advance_cursor(cursor: DataFrame, seen: DataFrame) -> DataFrame:
+def advance_cursor(cursor: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """The greatest ledger of each network, with its hash."""
-    both = cursor.select("network", "ledger_sequence", "hash").unionByName(seen.select("network", "ledger_sequence", "hash"))
+    both = cursor.select("network", "ledger_sequence", "hash")
+    both = both if seen is None else both.unionByName(seen.select("network", "ledger_sequence", "hash"))
     return both.groupBy("network").agg(F.max("ledger_sequence").alias("ledger_sequence"), F.max_by("hash", "ledger_sequence").alias("hash"))
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
+from ..functions import gap_id
 from ..operators import extract, integrity, snapshots
 from ..sources import landing, sinks
 
@@ -33,11 +33,12 @@ TRUSTLINE_CHANGES = (
     "network string, id string, contract_id string, account_id string, asset string, ledger_sequence bigint, closed_at timestamp, tx_hash string, tx_index int, "
     "change_index int, change_type string, pre_balance bigint, post_balance bigint, post_limit bigint, flags bigint"
 )
+GAPS = "id string, network string, from_sequence bigint, to_sequence bigint, reason string"
 CURSOR = "network string, ledger_sequence bigint, hash string"
 SCHEMAS = {
     "events": EVENTS, "transfers": TRANSFERS, "movements": MOVEMENTS, "state_changes": STATE_CHANGES, "trustline_changes": TRUSTLINE_CHANGES,
     # the latest change of each key in each batch; state() and trustlines() fold them
-    "state_latest": STATE_CHANGES, "trustline_latest": TRUSTLINE_CHANGES, "hashes": CURSOR, "cursor": CURSOR,
+    "state_latest": STATE_CHANGES, "trustline_latest": TRUSTLINE_CHANGES, "hashes": CURSOR, "gaps": GAPS,
 }
 LATEST = {
     "state_changes": ("state_latest", ["network", "contract_id", "key_xdr", "durability"], "post_value"),
@@ -47,28 +48,33 @@ ASSETS = "network string, asset string, contract_id string"
 
 
 class ChainDiverged(RuntimeError):
-    """A ledger does not name its predecessor's hash; nothing of its batch is stored."""
+    """A ledger does not name its predecessor's hash, or is missing where none may be; nothing of its batch is stored."""
 
 
 @dataclass
 class Live:
     """Landing folder (ledgers, transactions, raw_events, raw_changes, assets, registrations), store folder, network.
 
-    Batches are made of events; the entry changes of a batch are those of the ledgers after the cursor, to its last
-    event. ``raw_changes`` and ``assets`` may be missing, where nobody lands them.
+    A batch of events says which ledgers to derive: those after the cursor, to its last one that has landed, and
+    late ones that it names itself. Their events and entry changes are read from the landing folder, whole
+    ledgers at a time, so that a transaction's rows are numbered alike however its files are dealt to batches.
+    Ledgers that are missing after the cursor are recorded as gaps with the batch; ``strict`` refuses it instead.
+    ``raw_changes`` and ``assets`` may be missing, where nobody lands them.
     """
 
     spark: SparkSession
     landing: str
     store: str
     network: str
+    strict: bool = False
 
     def stored(self, table: str) -> DataFrame:
         return sinks.read_committed(self.spark, self.store, table, SCHEMAS[table])
 
     def cursor(self) -> DataFrame:
-        rows = self.stored("cursor")
-        return rows.groupBy("network").agg(F.max("ledger_sequence").alias("ledger_sequence"), F.max_by("hash", "ledger_sequence").alias("hash"))
+        """The last ledger of each network, as the markers have it."""
+        marks = sinks.committed(self.spark, self.store).where("ledger_sequence is not null")
+        return integrity.advance_cursor(marks.select("network", "ledger_sequence", "hash"))
 
     def state(self) -> DataFrame:
         return snapshots.state_snapshot(self.stored("state_latest"))
@@ -80,37 +86,60 @@ class Live:
         """The hash record: the last ledgers of each network."""
         return integrity.prune_hash_ring(self.stored("hashes").distinct())
 
-    def _landed(self, name: str, schema: str) -> DataFrame:
-        try:
-            rows = self.spark.read.schema(schema).parquet(f"{self.landing}/{name}")
-            rows.schema  # noqa: B018
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
-        return rows
-
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        """Check the chain, derive, drop what is stored already, commit. Replaying a batch changes nothing."""
+    def gaps(self) -> DataFrame:
+        return sinks.first_per_key(self.stored("gaps"), ["id"], ["from_sequence"])
+
+    def compact(self) -> None:
+        """File all batches as one, the latest change of each key and the last hashes only. Run it between batches."""
+
+        def fold(table: str, rows: DataFrame) -> DataFrame:
+            for latest, key, value in LATEST.values():
+                if table == latest:
+                    return _latest_changes(rows, key, value)
+            return integrity.prune_hash_ring(rows.distinct()) if table == "hashes" else rows
+
+        sinks.compact(self.spark, self.store, SCHEMAS, fold)
+
+    def _landed(self, name: str, schema: str, first: int, last: int, identity: list[str] | None = None) -> DataFrame:
+        """Landed rows of the ledgers from ``first`` to ``last``; rows that landed again count once."""
+        rows = landing.read_ledgers(sinks._parquet(self.spark, f"{self.landing}/{name}", schema), first, last).where(F.col("network") == self.network)
+        return rows.dropDuplicates([*extract.TX, *identity]) if identity else rows
+
+    def process(self, batch: DataFrame, batch_id: int, stream: str | None = None) -> None:
+        """Check the chain, derive, drop what is stored already, commit. A batch whose marker is written is left alone.
+
+        ``stream`` names the run of batches; a streaming query's own id if not given, which a new checkpoint changes.
+        """
         spark = self.spark
-        bounds = batch.agg(F.min("ledger_sequence").alias("lo"), F.max("ledger_sequence").alias("hi")).first()
+        stream = stream or spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+        if sinks.is_committed(spark, self.store, stream, batch_id):
+            return
+        named = batch.where(F.col("network") == self.network).select("network", "ledger_sequence").distinct()
+        bounds = named.agg(F.min("ledger_sequence").alias("lo"), F.max("ledger_sequence").alias("hi")).first()
         if bounds["lo"] is None:
             return
-        read = lambda name, schema: spark.read.schema(schema).parquet(f"{self.landing}/{name}")
         cursor = self.cursor().where(F.col("network") == self.network).first()
         # ledgers without events are read too, so that the chain goes on from the cursor
-        first = bounds["lo"] if cursor is None else min(bounds["lo"], cursor["ledger_sequence"] + 1)
-        ledgers = landing.read_ledgers(read("ledgers", schemas.LEDGERS), first, bounds["hi"])
+        after = bounds["lo"] if cursor is None else cursor["ledger_sequence"] + 1
+        first, last = min(bounds["lo"], after), bounds["hi"]
+        ledgers = self._landed("ledgers", schemas.LEDGERS, first, last).dropDuplicates(["network", "ledger_sequence", "hash"])
         known = self.cursor().select("network", "ledger_sequence", "hash", F.lit(None).cast("string").alias("previous_hash"))
         chain = ledgers.select("network", "ledger_sequence", "hash", "previous_hash").unionByName(known.where(F.col("ledger_sequence") < first))
         broken = integrity.continuity_breaks(chain).orderBy("ledger_sequence").first()
         if broken is not None:
             raise ChainDiverged(f"ledger {broken['ledger_sequence']} does not follow its predecessor")
-        transactions = read("transactions", schemas.TRANSACTIONS).where(F.col("ledger_sequence").between(first, bounds["hi"]))
-        landed = self._landed("raw_changes", schemas.RAW_CHANGES).where(F.col("ledger_sequence").between(first, bounds["hi"]))
-        changes = extract.successful_only(extract.change_index(landed), transactions)
+        fresh = ledgers.where(F.col("ledger_sequence") >= after)
+        missing = integrity.sequence_gaps(fresh.unionByName(known.where(F.col("ledger_sequence") == after - 1), allowMissingColumns=True))
+        if self.strict and not missing.isEmpty():
+            raise ChainDiverged(f"ledgers are missing after {after - 1}")
+        gaps = missing.select(gap_id(F.col("network"), F.col("from_sequence"), F.col("to_sequence")).alias("id"), "network", "from_sequence", "to_sequence", F.lit("not landed").alias("reason"))
+        # a ledger is ready once it has landed; events of one that has not wait for the batch that reaches it
+        ready = fresh.select("network", "ledger_sequence").unionByName(named.where(F.col("ledger_sequence") < after)).distinct()
+        whole = lambda name, schema, place: self._landed(name, schema, first, last, place).join(ready, ["network", "ledger_sequence"], "left_semi")
+        transactions = whole("transactions", schemas.TRANSACTIONS, [])
+        changes = extract.successful_only(extract.change_index(whole("raw_changes", schemas.RAW_CHANGES, ["pos_in_tx"])), transactions)
         registered = landing.registration_snapshot(spark, f"{self.landing}/registrations", self.network)  # as it is now
-        indexed = extract.successful_only(extract.event_index(batch), transactions)
+        indexed = extract.successful_only(extract.event_index(whole("raw_events", schemas.RAW_EVENTS, ["op_index", "pos_in_op"])), transactions)
         envelopes = extract.event_envelope(extract.contract_events_only(indexed))
         decoded = extract.decoded(envelopes)
         made = {
@@ -118,20 +147,20 @@ class Live:
             "transfers": extract.watched(decoded, registered, "transfers"),
             "movements": extract.attribute_movements(decoded, registered),
             "state_changes": extract.derive_state_changes(changes, registered),
-            "trustline_changes": extract.derive_trustline_changes(changes, self._landed("assets", ASSETS), registered),
+            "trustline_changes": extract.derive_trustline_changes(changes, sinks._parquet(spark, f"{self.landing}/assets", ASSETS), registered),
         }
-        tables = {}
+        tables = {"gaps": sinks.new_rows(gaps, self.stored("gaps"), ["id"], ["from_sequence"])}
         for name, rows in made.items():
             columns = [c.name for c in self.stored(name).schema]
             order = ["transfer_id"] if name == "movements" else ["id"]
-            tables[name] = sinks.new_rows(rows.select(*columns), self.stored(name), sinks.IDEMPOTENCY[name], order)
+            # a key belongs to one ledger: stored rows of other ledgers need not be read
+            there = landing.read_ledgers(self.stored(name), first, last)
+            tables[name] = sinks.new_rows(rows.select(*columns), there, sinks.IDEMPOTENCY[name], order)
         for name, (latest, key, value) in LATEST.items():
-            rest = [c.name for c in self.stored(latest).schema if c.name not in key]
-            last = tables[name].groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("ledger_sequence", "id", value)).alias("_s"))
-            tables[latest] = last.select(*key, *[F.col(f"_s.{c}").alias(c) for c in rest])
+            tables[latest] = _latest_changes(tables[name], key, value)
         tables["hashes"] = ledgers.select("network", "ledger_sequence", "hash")
-        tables["cursor"] = integrity.advance_cursor(self.cursor(), ledgers)
-        sinks.commit_batch(spark, self.store, tables, batch_id)
+        top = integrity.advance_cursor(self.cursor(), ledgers).where(F.col("network") == self.network).first()
+        sinks.commit_batch(spark, self.store, tables, batch_id, stream, (top["network"], top["ledger_sequence"], top["hash"]) if top else None)
 
     def start(self, checkpoint: str, max_files: int = 1000) -> StreamingQuery:
         """Run over all that has landed; call again, or use another trigger, to follow the tip."""
@@ -139,6 +168,12 @@ class Live:
         return source.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _latest_changes(rows: DataFrame, key: list[str], value: str) -> DataFrame:
+    rest = [c for c in rows.columns if c not in key]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("ledger_sequence", "id", value)).alias("_s"))
+    return last.select(*[F.col(c) if c in key else F.col(f"_s.{c}").alias(c) for c in rows.columns])
+
+
 def streaming_snapshot(changes: DataFrame) -> DataFrame:
     """Latest value of each key of a stream of changes, for output mode ``update``.
 
