@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import KINDS
@@ -10,10 +10,7 @@ from ..schemas import KINDS
 KEY = ["network", "contract_id"]
 
 
-def coverage(registrations: DataFrame, backfill: DataFrame, cursors: DataFrame, kind: str, first: int = 0, last: int = 0) -> DataFrame:
-    """Covered range of ``kind`` for every registered contract, within the bounds that were asked for."""
-    walks = backfill.select(*KEY, "next_to", "done", "clamped_at", "covered_kinds")
-    rows = registrations.select(*KEY, "kinds").join(walks, KEY, "left").join(cursors.select("network", "cursor"), "network")
+def _covered(rows: DataFrame, kind: Column, first: int, last: int) -> DataFrame:
     derived, walked = F.array_contains("kinds", kind), F.col("covered_kinds").isNotNull()
     known = walked & F.array_contains("covered_kinds", kind)
     start = F.when(known, F.col("next_to") + 1).otherwise(F.col("cursor"))
@@ -21,7 +18,7 @@ def coverage(registrations: DataFrame, backfill: DataFrame, cursors: DataFrame,
     zero = F.lit(0).cast("long")
     return rows.select(
         *KEY,
-        F.lit(kind).alias("kind"),
+        kind.alias("kind"),
         derived.alias("derived"),
         F.when(derived, F.greatest(start, F.lit(first))).otherwise(zero).alias("from_ledger"),
         F.when(derived, end).otherwise(zero).alias("to_ledger"),
@@ -30,13 +27,21 @@ def coverage(registrations: DataFrame, backfill: DataFrame, cursors: DataFrame,
     )
 
 
+def _walks(registrations: DataFrame, backfill: DataFrame, cursors: DataFrame) -> DataFrame:
+    walks = backfill.select(*KEY, "next_to", "done", "clamped_at", "covered_kinds")
+    return registrations.select(*KEY, "kinds").join(walks, KEY, "left").join(cursors.select("network", "cursor"), "network")
+
+
+def coverage(registrations: DataFrame, backfill: DataFrame, cursors: DataFrame, kind: str, first: int = 0, last: int = 0) -> DataFrame:
+    """Covered range of ``kind`` for every registered contract, within the bounds that were asked for."""
+    return _covered(_walks(registrations, backfill, cursors), F.lit(kind), first, last)
+
+
 def coverage_by_kind(registrations: DataFrame, backfill: DataFrame, cursors: DataFrame) -> DataFrame:
     """Coverage of every kind that is registered; ``place`` gives the kinds' fixed order."""
-    all_kinds = [coverage(registrations, backfill, cursors, k, first=1).withColumn("place", F.lit(i)) for i, k in enumerate(KINDS)]
-    rows = all_kinds[0]
-    for more in all_kinds[1:]:
-        rows = rows.unionByName(more)
-    return rows.where("derived")
+    order = F.array(*[F.lit(k) for k in KINDS])
+    rows = _walks(registrations, backfill, cursors).withColumn("_kind", F.explode(F.array_intersect(order, F.col("kinds"))))
+    return _covered(rows, F.col("_kind"), 1, 0).withColumn("place", (F.array_position(order, F.col("kind")) - 1).cast("int"))
 
 
 def scan_status(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gap_id
+from .integrity import continuity_breaks
 
 CHUNK, ANCHOR_AHEAD = 2000, 20
 KEY = ["network", "contract_id"]
@@ -29,10 +30,37 @@ def plan_chunks(backfill: DataFrame, size: int = CHUNK) -> DataFrame:
     return todo.withColumn("_floor", floor).withColumn("chunk_to", tops).select(*KEY, F.greatest("_floor", F.col("chunk_to") - size + 1).alias("chunk_from"), "chunk_to")
 
 
-def scan_chunk(rows: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Rows of each chunk's contract and ledgers."""
+def scan_chunk(rows: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Rows of each chunk's contract and ledgers.
+
+    Rows and chunks meet by spans of ``size`` ledgers, two of which a chunk touches at most, whatever the length of a walk.
+    """
+    spans = F.sequence(F.expr(f"chunk_from div {size}"), F.expr(f"chunk_to div {size}"))
     inside = F.col("ledger_sequence").between(F.col("chunk_from"), F.col("chunk_to"))
-    return rows.join(chunks, KEY).where(inside).drop("chunk_from", "chunk_to")
+    met = rows.withColumn("_span", F.expr(f"ledger_sequence div {size}")).join(chunks.withColumn("_span", F.explode(spans)), [*KEY, "_span"])
+    return met.where(inside).drop("_span", "chunk_from", "chunk_to")
+
+
+def broken_chunks(ledgers: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Chunks in which a ledger does not name its predecessor's hash, with the first such ledger; they must not be walked.
+
+    The first ledger of a chunk is not held against the one before the chunk.
+    """
+    spans = F.sequence(F.expr(f"chunk_from div {size}"), F.expr(f"chunk_to div {size}"))
+    broken = continuity_breaks(ledgers).select("network", "ledger_sequence", F.expr(f"ledger_sequence div {size}").alias("_span"))
+    met = chunks.withColumn("_span", F.explode(spans)).join(broken, ["network", "_span"]).where("ledger_sequence > chunk_from and ledger_sequence <= chunk_to")
+    return met.groupBy(*KEY, "chunk_from", "chunk_to").agg(F.min("ledger_sequence").alias("ledger_sequence"))
+
+
+def walk_chunks(rows: DataFrame, chunks: DataFrame, ledgers: DataFrame, backfill: DataFrame, size: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """Rows of the chunks that can be walked, and the walks after them: both belong into one commit.
+
+    A walk stops above its first broken chunk, so that what it claims to cover has no hole.
+    """
+    broken = broken_chunks(ledgers, chunks, size).groupBy(*KEY).agg(F.max("chunk_to").alias("_stop"))
+    good = chunks.join(broken, KEY, "left").where("_stop is null or chunk_from > _stop").drop("_stop")
+    progress = good.groupBy(*KEY).agg((F.min("chunk_from") - 1).alias("new_next_to"))
+    return scan_chunk(rows, good, size), advance_backfill(backfill, progress)
 
 
 def clamp_at_wall(backfill: DataFrame, walls: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -79,16 +107,24 @@ def reconcile_backfill(current: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
+class WalkVanished(LookupError):
+    """Progress of a contract that has been unregistered since; its chunk must not be stored."""
+
+
 def advance_backfill(backfill: DataFrame, progress: DataFrame) -> DataFrame:
-    """Walks after finished chunks (``new_next_to``): done once below their target."""
-    rows = backfill.join(progress.select(*KEY, "new_next_to"), KEY, "left")
+    """Walks after finished chunks (``new_next_to``, and ``clamped_at`` where one met the wall): done once below their target."""
+    gone = progress.join(backfill.select(*KEY), KEY, "left_anti").select("contract_id").first()
+    if gone is not None:
+        raise WalkVanished(f"the walk of {gone[0]} is gone")
+    clamp = F.col("clamped_at") if "clamped_at" in progress.columns else F.lit(None).cast("long")
+    rows = backfill.join(progress.select(*KEY, "new_next_to", clamp.alias("_clamp")), KEY, "left")
     moved = F.col("new_next_to").isNotNull()
     return rows.select(
         *KEY,
         "target_from",
         F.coalesce("new_next_to", "next_to").alias("next_to"),
-        F.when(moved, F.col("new_next_to") < F.greatest("target_from", F.lit(1))).otherwise(F.col("done")).alias("done"),
-        "clamped_at",
+        F.when(moved, (F.col("new_next_to") < F.greatest("target_from", F.lit(1))) | F.col("_clamp").isNotNull()).otherwise(F.col("done")).alias("done"),
+        F.coalesce("_clamp", "clamped_at").alias("clamped_at"),
         "covered_kinds",
     )
 

@@ -6,25 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-READY_WITHIN, LAG_SECONDS = 6, 60
+READY_WITHIN, LAG_SECONDS, DAY = 6, 60, 86_400
+
+
+def _series(samples: DataFrame) -> list[str]:
+    """What tells counters apart: the metric and, where samples have them, its labels."""
+    return ["metric", *(["labels"] if "labels" in samples.columns else [])]
 
 
 def deltas(samples: DataFrame) -> DataFrame:
-    """What each counter sample added; after a reset, all that the counter shows."""
-    before = F.lag("value").over(W.partitionBy("metric").orderBy("ts", "value"))
-    rows = samples.withColumn("_before", before).where("_before is not null")
-    return rows.select("metric", "ts", F.when(F.col("value") >= F.col("_before"), F.col("value") - F.col("_before")).otherwise(F.col("value")).alias("delta"))
+    """What each counter sample added; after a reset, all that the counter shows.
+
+    Samples are compared within days; a day's first sample is compared with the last one of the day before it that
+    has any, of which there is one row a day.
+    """
+    key = _series(samples)
+    rows = samples.na.fill("", key).withColumn("_day", F.expr(f"unix_seconds(ts) div {DAY}"))
+    inside = rows.withColumn("_before", F.lag("value").over(W.partitionBy(*key, "_day").orderBy("ts", "value")))
+    ends = rows.groupBy(*key, "_day").agg(F.max_by("value", F.struct("ts", "value")).alias("_end"))
+    ends = ends.withColumn("_end", F.lag("_end").over(W.partitionBy(*key).orderBy("_day")))
+    found = inside.join(ends, [*key, "_day"]).withColumn("_before", F.coalesce("_before", "_end")).where("_before is not null")
+    return found.select(*key, "ts", F.when(F.col("value") >= F.col("_before"), F.col("value") - F.col("_before")).otherwise(F.col("value")).alias("delta"))
 
 
 def increase(samples: DataFrame, window: str = "5 minutes") -> DataFrame:
     """Sum of what each counter added in each window."""
-    rows = deltas(samples).groupBy("metric", F.window("ts", window).alias("_w")).agg(F.sum("delta").alias("increase"))
-    return rows.select("metric", F.col("_w.start").alias("window_start"), "increase")
+    key = _series(samples)
+    rows = deltas(samples).groupBy(*key, F.window("ts", window).alias("_w")).agg(F.sum("delta").alias("increase"))
+    return rows.select(*key, F.col("_w.start").alias("window_start"), "increase")
 
 
 def rate(samples: DataFrame, seconds: int = 300) -> DataFrame:
     """Increase a second."""
-    return increase(samples, f"{seconds} seconds").select("metric", "window_start", (F.col("increase") / seconds).alias("rate"))
+    return increase(samples, f"{seconds} seconds").select(*_series(samples), "window_start", (F.col("increase") / seconds).alias("rate"))
 
 
 def quantiles(samples: DataFrame, exact: bool = False) -> DataFrame:

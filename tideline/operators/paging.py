@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from ..schemas import MOVEMENT_NAMES
 
 DEFAULT_LIMIT, MOST = 100, 1000
+VERSION = 1
+#: Ledgers within which rows are numbered at once.
+SPAN = 4096
 ORDERS = {
     "events": ["id"],
     "state": ["key_xdr", "durability"],
@@ -86,19 +90,46 @@ def page(rows: DataFrame, keys: list[str], limit: int = DEFAULT_LIMIT, after: tu
 
 
 def paginate_all(rows: DataFrame, group: list[str], keys: list[str], limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """Every page of every group: page number, rows, and the key it ends with."""
-    numbered = rows.withColumn("page", F.ceil(F.row_number().over(W.partitionBy(*group).orderBy(*keys)) / limit).cast("int"))
+    """Every page of every group: page number, rows, and the key it ends with.
+
+    Where ``keys`` begin with a chain-order id, rows are numbered within spans of ledgers and the counts of earlier
+    spans are added, so that no task holds a whole group.
+    """
+    span = F.expr(f"ledger_sequence div {SPAN}") if "id" in keys[0] and "ledger_sequence" in rows.columns else F.lit(0).cast("long")
+    rows = rows.withColumn("_span", span)
+    before = W.partitionBy(*group).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy(*group, "_span").count().select(*group, "_span", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(W.partitionBy(*group, "_span").orderBy(*keys))
+    numbered = rows.withColumn("_n", place).join(starts, [*group, "_span"]).withColumn("page", F.ceil((F.col("_n") + F.col("_start")) / limit).cast("int"))
     return numbered.groupBy(*group, "page").agg(F.count("*").alias("n_rows"), F.max(F.struct(*keys)).alias("_last")).select(*group, "page", "n_rows", *[F.col(f"_last.{k}").alias(f"last_{k}") for k in keys])
 
 
-def resume_key(shown: DataFrame, endpoint: str, network: str, contract: str, limit: int, keys: list[str], snapshot: bool) -> DataFrame:
-    """The query and its last row as one struct; snapshot pages have one only if more follows."""
+def resume_key(shown: DataFrame, endpoint: str, network: str, contract: str, limit: int, keys: list[str], snapshot: bool, **filters: str | int) -> DataFrame:
+    """The whole query and its last row as JSON text; snapshot pages have one only if more follows."""
     last = shown.agg(F.max(F.struct(*keys)).alias("last"), F.max("has_more").alias("has_more"))
-    key = F.struct(F.lit(1).alias("version"), F.lit(endpoint).alias("endpoint"), F.lit(network).alias("network"), F.lit(contract).alias("contract"), F.lit(limit).alias("limit"), "last")
+    query = {"version": VERSION, "endpoint": endpoint, "network": network, "contract": contract, "limit": limit, **filters}
+    key = F.struct(*[F.lit(v).alias(k) for k, v in query.items()], "last")
     wanted = F.col("last").isNotNull() & (F.col("has_more") if snapshot else F.lit(True))
     return last.select(F.when(wanted, F.to_json(key)).alias("resume_key"))
 
 
+def read_resume_key(text: str, endpoint: str, network: str, contract: str, keys: list[str]) -> tuple[int, tuple, dict]:
+    """Limit, place and filters of a resume key, for the query that goes on after it; it comes from outside and is not trusted."""
+    try:
+        found = json.loads(text)
+        version, own = found.pop("version"), (found.pop("endpoint"), found.pop("network"), found.pop("contract"))
+        limit, last = found.pop("limit"), tuple(found.pop("last")[k] for k in keys)
+    except (ValueError, TypeError, KeyError, AttributeError) as e:
+        raise ValueError("the resume key is not valid") from e
+    if version != VERSION:
+        raise ValueError(f"resume key of version {version!r}")
+    if own != (endpoint, network, contract):
+        raise ValueError("the resume key belongs to another endpoint, network or contract")
+    if not isinstance(limit, int) or not 1 <= limit <= MOST:
+        raise ValueError(f"the limit is 1 to {MOST}")
+    return limit, last, found
+
+
 def event_counts_by_name(events: DataFrame) -> DataFrame:
     return events.groupBy("network", "contract_id", F.coalesce("event_name", F.lit("")).alias("event_name")).agg(F.count("*").alias("n"))
 

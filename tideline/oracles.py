@@ -62,8 +62,8 @@ mv as (select contract_id, transfer_id, role, token_contract_id, transfer_type,
   where contract_id in (select 'G' || c_custkey from customer where c_custkey % 2 = 0)),
 gp as (select distinct 'gap:testnet:' || (o_orderkey * 10) || ':' || (o_orderkey * 10 + o_orderkey % 9) id, o_orderkey o, o_orderkey * 10 from_sequence, o_orderkey * 10 + o_orderkey % 9 to_sequence,
   o_orderstatus = 'P' resolved, case when o_orderkey % 4 = 0 then o_orderkey * 10 + o_orderkey % 9 - 1 end heal_next_to from orders),
-mt as (select event_type metric, ts, event_id % 500 v, lag(event_id % 500) over (partition by event_type order by ts, event_id % 500) b from events),
-dl as (select metric, epoch_us(ts) // 300000000 * 300 window_start, case when v >= b then v - b else v end delta from mt where b is not null)
+mt as (select event_type metric, 'shard=' || (event_id % 3) labels, ts, event_id % 500 v, lag(event_id % 500) over (partition by event_type, event_id % 3 order by ts, event_id % 500) b from events),
+dl as (select metric, labels, epoch_us(ts) // 300000000 * 300 window_start, case when v >= b then v - b else v end delta from mt where b is not null)
 """
 PARTS = {
     "event": "id, contract contract_id, nm event_name, t0 topic0, t1 topic1, vb value_b64",
@@ -88,20 +88,39 @@ def _page(table: str, columns: str, order: str, limit: int = 100) -> str:
     return f"select {columns}, (select count(*) from {table}) > {limit} has_more from {table} order by {order} limit {limit}"
 
 
+def _vouched(page: str, contract: str, kind: str, first: int = 1, last: int = 0, scan: bool = True) -> str:
+    """A page beside what it can vouch for; the contract is registered with the kind."""
+    status = f"""case when m then 'HAS_MORE' when {last} = 0 or {last} > cursor then 'WAITING_FOR_LEDGERS' when {first} < from_ledger then 'OLDEST_REACHED' else 'COMPLETE' end"""
+    return f"""select p.* exclude (has_more), from_ledger, to_ledger, pending, clamped_at, m has_more{f', {status} status' if scan else ''} from
+      (select cursor, greatest(case when k then next_to + 1 else cursor end, {first}) from_ledger, {f'least(cursor, {last})' if last else 'cursor'}::bigint to_ledger, w and case when k then not done else true end pending,
+        case when k then clamped_at end clamped_at, coalesce((select bool_or(has_more) from ({page})), false) m from
+        (select cursor, bf.u is not null w, coalesce(list_contains(covered, '{kind}'), false) k, next_to, done, clamped_at from top left join bf on contract_id = '{contract}'))
+      left join ({page}) p on true"""
+
+
+#: Coverage of each of a registration's kinds, as text.
+COVERED = """coalesce((select string_agg(concat_ws(':', kind, greatest(case when k then next_to + 1 else cursor end, 1), cursor, w and case when k then not done else true end, case when k then clamped_at end), ',' order by place) from
+      (select kind, place, bf.u is not null w, coalesce(list_contains(covered, kind), false) k, next_to, done, clamped_at, cursor from top
+       join (values ('events', 0), ('state', 1), ('transfers', 2), ('trustlines', 3), ('movements', 4)) v(kind, place) on list_contains(reg.kinds, kind) left join bf on bf.contract_id = reg.contract_id)), '') coverage"""
+
 P = PARTS
 BODIES = {
     "S1_read_ledgers": "select ledger_sequence, hash from led, (select min(ledger_sequence) lo from led) where ledger_sequence between lo + 1000 and lo + 200000",
     "S5_append_idempotent": """select id, contract_id, key_xdr, change_type from st1 where (contract_id, tx_hash, change_index) not in (select (contract_id, tx_hash, change_index) from st1 where ledger_sequence % 2 = 0)
       qualify row_number() over (partition by contract_id, tx_hash, change_index order by id, key_xdr, post_value nulls first) = 1""",
+    "S4_static_snapshot": "select contract_id, source, array_to_string(kinds, ',') kinds from reg where contract_id = 'C1'",
+    "S7_export_page": """select '{"id":"' || id || '","contract_id":"' || contract_id || '","closed_at":"' || strftime(make_timestamp((ledger_sequence * 86400 + length(amount)) * 1000000), '%Y-%m-%dT%H:%M:%SZ') || '","transfer_type":"' || transfer_type
+      || '"' || coalesce(',"from":"' || "from" || '"', '') || coalesce(',"to":"' || "to" || '"', '') || ',"amount":"' || amount || '"}' record from tr""",
     "F1_successful_only": "select seq ledger_sequence, count(*) n from ev where ok group by seq",
     "F2_contract_events_only": "select seq ledger_sequence, tx::int tx_index, idx::int event_index, contract contract_id from ev where nm <> 'error'",
     "F3_watched": f"select {P['event']} from stored",
+    "F4_any_kind": "select kind, exists (select 1 from reg where list_contains(kinds, kind)) registered from (select unnest(['events', 'state', 'transfers', 'trustlines', 'movements', 'none']) kind)",
     "F5_ledger_bounds": "select id, contract_id, key_xdr, change_type from st1 where ledger_sequence between 9000 and 9500",
     "F6_topic_filter": "select id, contract contract_id, t0 topic0, t1 topic1 from env where nm = 'transfer'",
     "F7_account_filter": f"""select {P['transfer']} from tr where "from" = 'G7' or "to" = 'G7'""",
     "F8_transfer_type": f"select {P['transfer']} from tr where transfer_type = 'mint'",
     "F9_role_and_token": f"select {P['move']} from mv where role = 'sender' and token_contract_id = 'C3'",
-    "F10_key_and_holder": f"select {P['state']} from ste where key_xdr = 'K5'",
+    "F10_key_and_holder": f"select {P['state']} from ste where key_xdr = 'K5' union all select contract_id, account_id, asset, last_ledger, cast(balance as varchar), deleted from tle where account_id = 'G7'",
     "F11_live_only": f"select {P['state']} from ste where not deleted",
     "F12_keyset_after": f"select {P['move']} from mv where (contract_id, role) > ('G4', 'recipient')",
     "F13_participates_watched": f"select id, contract contract_id, nm event_name from env where {NAMES_WATCHED}",
@@ -135,15 +154,18 @@ BODIES = {
       (select seq ledger_sequence, count(distinct tx) filter (not ok) failed_txs, count(distinct tx) filter (ok and not readable) suppressed_txs from ev group by 1)
       left join (select seq ledger_sequence, count(*) filter (not v0 and {WATCH.format(k='events')}) se, count(*) filter ({NAMED} and bad is not null and {WATCH.format(k='transfers')}) st,
         count(*) filter ({NAMED} and bad is not null and not ({WATCH.format(k='transfers')}) and {NAMES_WATCHED}) fu from env group by 1) using (ledger_sequence)""",
-    "A7_contract_summary": """select contract_id, coalesce(total, 0) events_total, coalesce(names, '') events_by_name, coalesce(states, 0) state_entries from reg
+    "A7_contract_summary": f"""select contract_id, coalesce(total, 0) events_total, coalesce(names, '') events_by_name, coalesce(states, 0) state_entries, {COVERED} from reg
       left join (select contract_id, cast(sum(n) as bigint) total, string_agg(nm || '=' || n, ',' order by nm) names from (select contract contract_id, nm, count(*) n from stored group by 1, 2) group by 1) using (contract_id)
       left join (select contract_id, count(*) states from ste where not deleted group by 1) using (contract_id)""",
     "L1_page": _page("tr", "id, amount", "id", 50),
     "L2_paginate_all": """select contract_id, cast(ceil(n / 5) as int) page, count(*) n_rows, max_by(transfer_id, n) last_transfer_id, max_by(role, n) last_role from
       (select *, row_number() over (partition by contract_id order by transfer_id, role) n from mv) group by 1, 2""",
+    "L3_resume_key": """select '{"version":1,"endpoint":"movements","network":"testnet","contract":"G4","limit":3,"role":"any","last":{"transfer_id":"' || transfer_id || '","role":"' || role || '"}}' resume_key
+      from (select * from mv where contract_id = 'G4' order by transfer_id, role limit 3) order by transfer_id desc, role desc limit 1""",
     "L4_chain_order": "select contract_id, cast(ceil(n / 100) as int) page, count(*) n_rows, max(id) last_id from (select *, row_number() over (partition by contract_id order by id) n from st1) group by 1, 2",
     "I1_continuity_breaks": "select b.ledger_sequence, b.previous_hash, a.hash expected from led b join led a on b.ledger_sequence = a.ledger_sequence + 1 where b.previous_hash <> a.hash",
     "I2_sequence_gaps": "select s + 1 from_sequence, n - 1 to_sequence from (select ledger_sequence s, lead(ledger_sequence) over (order by ledger_sequence) n from led) where n > s + 1",
+    "I3_record_gaps": "select id, from_sequence, to_sequence, case when from_sequence % 20 = 0 then 'recorded' else 'retention' end reason from gp group by all",
     "I4_open_gaps": "select id, from_sequence, to_sequence, coalesce(heal_next_to, to_sequence) heal_next_to from gp where not resolved",
     "I5_retention_wall": """select max(ledger_sequence) wall from (select ledger_sequence, lag(ledger_sequence) over (order by ledger_sequence) p from led, top where ledger_sequence >= cursor - 100000)
       where p is null or p < ledger_sequence - 1""",
@@ -184,26 +206,27 @@ BODIES = {
     "C3_scan_status": """select status, d derived, count(*) n from (select d, case when u % 5 = 0 then 'HAS_MORE' when not d then 'OLDEST_REACHED' when u % 3 = 0 or u % 3 = 2 then 'WAITING_FOR_LEDGERS'
         when 3000 < greatest(case when k then next_to + 1 else 15000 end, 3000) then 'OLDEST_REACHED' else 'COMPLETE' end status from
       (select reg.u, list_contains(reg.kinds, 'events') d, coalesce(list_contains(covered, 'events'), false) k, next_to from reg left join bf using (contract_id))) group by 1, 2""",
-    "Q1_feed_equivalence": """select ledger_sequence, min(case when change_index = 3 then '1_header' when change_index = 1 then '2_result' else '3_changes' end) first_difference from
-      (select distinct ledger_sequence, change_index from st1 where change_index between 1 and 3) where ledger_sequence % 5 = 0 or (ledger_sequence % 7 = 0 and change_index = 1) group by 1""",
+    "Q1_feed_equivalence": """select ledger_sequence, min(case change_index % 3 when 0 then '1_header' when 1 then '2_result' else '3_changes' end) first_difference from
+      st1 where ledger_sequence % 5 = 0 or (ledger_sequence % 7 = 0 and change_index % 3 = 1) group by 1""",
     "Q1_feed_equivalence_whole": """select ledger_sequence, min(case change_index % 3 when 0 then '1_header' when 1 then '2_result' else '3_changes' end) first_difference from st1
       where starts_with(tx_hash, '00') or (ends_with(tx_hash, '00') and change_index % 3 = 1) group by 1""",
     "Q2_canonicalize_changes": """select l_orderkey, md5(string_agg(unit, ';' order by unit)) canonical from (select l_orderkey, ct, pc, case when ct = 'state' and nc in ('updated', 'removed') then ct || '|' || body || '|' || nc || '|' || nb else ct || '|' || body end unit from
       (select l_orderkey, ct, body, lead(ct) over w nc, lag(ct) over w pc, lead(body) over w nb from (select *, case l_returnflag when 'A' then 'state' when 'N' then 'updated' else 'removed' end ct, cast(l_partkey as varchar) body from lineitem)
        window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice))) where not coalesce(pc = 'state' and ct in ('updated', 'removed'), false) group by 1""",
-    "Q3_equivalence_sample": "select ledger_sequence, hash from led, (select (cursor - 63) // 64 * 64 - 1 cp from top) where ledger_sequence between cp - 7 and cp",
-    "R1_events": _page("(select * from stored where contract = 'C1')", P["event"], "id"),
-    "R2_state": _page("(select * from stwe where contract_id = 'C1' and not deleted)", 'contract_id, key_xdr, durability, last_ledger, "value"', "key_xdr, durability"),
-    "R3_state_history": _page("(select * from stw where contract_id = 'C1' and ledger_sequence >= 8000)", "id, key_xdr, change_type, post_value", "id"),
-    "R4_transfers": _page("(select * from tr where contract_id = 'C3' and transfer_type = 'transfer')", P["transfer"], "id"),
-    "R5_trustlines": _page("(select * from tle where contract_id = 'S3' and not deleted)", "account_id, asset, balance, flags", "account_id"),
-    "R6_trustline_history": _page("(select * from tl1 where contract_id = 'S3')", "id, account_id, change_type, post_balance", "id"),
-    "R7_movements": _page("(select * from mv where contract_id = 'G4')", P["move"], "transfer_id, role"),
+    "Q3_equivalence_sample": "select distinct o_orderkey ledger_sequence, md5(cast(o_orderkey as varchar)) hash from orders, (select (max(o_orderkey) + 1) // 64 * 64 - 65 cp from orders) where o_orderkey between cp - 7 and cp",
+    "R1_events": _vouched(_page("(select * from stored where contract = 'C1')", P["event"], "id"), "C1", "events"),
+    "R2_state": _vouched(_page("(select * from stwe where contract_id = 'C1' and not deleted)", 'contract_id, key_xdr, durability, last_ledger, "value"', "key_xdr, durability"), "C1", "state", scan=False),
+    "R3_state_history": _vouched(_page("(select * from stw where contract_id = 'C1' and ledger_sequence >= 8000)", "id, key_xdr, change_type, post_value", "id"), "C1", "state", first=8000),
+    "R4_transfers": _vouched(_page("(select * from tr where contract_id = 'C3' and transfer_type = 'transfer')", P["transfer"], "id"), "C3", "transfers"),
+    "R4_transfers_of_no_one": _vouched(_page("(select * from tr where false)", P["transfer"], "id"), "C4", "transfers", first=9000, last=9500).replace("p.* exclude (has_more)", """p.id, 'C4' contract_id, p.transfer_type, p."from", p."to", p.amount"""),
+    "R5_trustlines": _vouched(_page("(select * from tle where contract_id = 'S3' and not deleted)", "account_id, asset, balance, flags", "account_id"), "S3", "trustlines", scan=False),
+    "R6_trustline_history": _vouched(_page("(select * from tl1 where contract_id = 'S3' and ledger_sequence <= 9000)", "id, account_id, change_type, post_balance", "id"), "S3", "trustlines", last=9000),
+    "R7_movements": _vouched(_page("(select * from mv where contract_id = 'G4')", P["move"], "transfer_id, role"), "G4", "movements"),
     "R8_contracts": "select contract_id, source, array_to_string(kinds, ',') kinds from reg",
-    "R9_contract_detail": "select contract_id, source, (select count(*) from stored where contract = 'C1') events_total, (select count(*) from ste where contract_id = 'C1' and not deleted) state_entries from reg where contract_id = 'C1'",
-    "M1_rate": "select metric, window_start, round(sum(delta) / 300, 6) rate from dl group by 1, 2",
+    "R9_contract_detail": f"select contract_id, source, (select count(*) from stored where contract = 'C1') events_total, (select count(*) from ste where contract_id = 'C1' and not deleted) state_entries, {COVERED} from reg where contract_id = 'C1'",
+    "M1_rate": "select metric, labels, window_start, round(sum(delta) / 300, 6) rate from dl group by 1, 2, 3",
     "M2_quantiles": "select event_type metric, quantile_cont(event_id % 500, 0.5) p50, quantile_cont(event_id % 500, 0.99) p99 from events group by 1",
-    "M3_increase": "select metric, window_start, cast(sum(delta) as bigint) increase from dl group by 1, 2",
+    "M3_increase": "select metric, labels, window_start, cast(sum(delta) as bigint) increase from dl group by 1, 2, 3",
     "M4_status": """select 'testnet' network, cursor + 1 "next", cursor + 4 tip, open_gaps, pending_walks, 15::bigint lag_seconds, 4::bigint tip_lag, true ready, open_gaps <> 0 as alert
       from top, (select count(*) open_gaps from gp where not resolved), (select count(*) pending_walks from bf where not done)""",
 }

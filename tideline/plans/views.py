@@ -235,6 +235,17 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def token_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 25).alias("_t")).distinct()
+    return rows.select(F.lit(NETWORK).alias("network"), _prefixed("C", F.col("_t")).alias("contract_id"), F.array(F.lit("transfers")).alias("kinds"))
+
+
+def dense_ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger for each order."""
+    seqs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("ledger_sequence")).distinct()
+    return seqs.select(F.lit(NETWORK).alias("network"), "ledger_sequence", F.md5(F.col("ledger_sequence").cast("string")).alias("hash"))
+
+
 def movement_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0")
     return rows.select(F.lit(NETWORK).alias("network"), _prefixed("G", F.col("c_custkey")).alias("contract_id"), F.array(F.lit("movements")).alias("kinds"))
@@ -243,7 +254,7 @@ def movement_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counter samples that fall back to nothing every 500 events."""
     rows = table(spark, sf_dir, "events")
-    return rows.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("metric"), (F.col("event_id") % 500).alias("value"))
+    return rows.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("metric"), F.concat(F.lit("shard="), (F.col("event_id") % 3).cast("string")).alias("labels"), (F.col("event_id") % 500).alias("value"))
 
 
 def spec_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
