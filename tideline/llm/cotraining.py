@@ -33,6 +33,8 @@ FEATURES = {"text": 1 << 16, "meta": 1 << 10}
 OTHER = {"text": "meta", "meta": "text"}
 RIDGE = 3e-5
 STEPS = 60
+#: Features that a step of a fit works on at a time.
+PART = 1 << 18
 
 Models = dict[str, np.ndarray]
 
@@ -86,7 +88,7 @@ def _lists(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Values of an array column, and where those of each row end."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     ends = np.concatenate([[0], np.cumsum(array.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    return array.flatten().to_numpy(zero_copy_only=False).astype(np.int64), ends
+    return array.flatten().to_numpy(zero_copy_only=False), ends
 
 
 def _logits(model: np.ndarray, features: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -100,13 +102,21 @@ def _share(z: np.ndarray) -> np.ndarray:
 
 def logistic(features: np.ndarray, ends: np.ndarray, good: np.ndarray, start: np.ndarray, ridge: float, steps: int) -> np.ndarray:
     """Weights, the intercept last, of a ridge-regularized logistic model over sparse binary rows (limited-memory BFGS)."""
-    row, n = np.repeat(np.arange(len(good)), np.diff(ends)), len(good)
+    n = len(good)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], PART), "left"), [0, n]))
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = _logits(w, features, ends)
-        off = _share(z) - good
-        slope = np.append(np.bincount(features, weights=off[row], minlength=len(w) - 1) + ridge * n * w[:-1], off.sum()) / n
-        return np.logaddexp(0, np.where(good > 0, -z, z)).mean() + ridge / 2 * (w[:-1] ** 2).sum(), slope
+        total, slope = 0.0, np.zeros(len(w))
+        for a, b in zip(cuts[:-1], cuts[1:]):  # some rows at a time bound the memory of a step
+            own, to = features[ends[a] : ends[b]], ends[a : b + 1] - ends[a]
+            z = _logits(w, own, to)
+            off = _share(z) - good[a:b]
+            slope[:-1] += np.bincount(own, weights=np.repeat(off, np.diff(to)), minlength=len(w) - 1)
+            slope[-1] += off.sum()
+            total += np.logaddexp(0, np.where(good[a:b] > 0, -z, z)).sum()
+        slope /= n
+        slope[:-1] += ridge * w[:-1]
+        return total / n + ridge / 2 * (w[:-1] ** 2).sum(), slope
 
     w = start
     value, slope = loss(w)
