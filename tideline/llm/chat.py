@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
-#: A dialogue is rendered in windows of so many turn numbers: its length never bounds a task.
+OPEN, CLOSE, OWN = "<|im_start|>", "<|im_end|>", "assistant\n"
+#: A rendering is stored in pieces of so many turn numbers, so that no task holds a whole dialogue.
 WINDOW_TURNS = 512
 
 
@@ -22,6 +23,36 @@ def _plain(text: Column) -> Column:
     return F.replace(text, F.lit("<|"), F.lit("< |"))
 
 
+def _head(who: Column, system: Sequence[str]) -> Column:
+    """Start of a message that is not the assistant's own."""
+    named = F.concat(F.lit(f"{OPEN}user name="), _plain(who), F.lit("\n"))
+    return F.when(who.isin(*system), F.lit(f"{OPEN}system\n")).otherwise(named)
+
+
+def _body(text: Column) -> Column:
+    return F.concat(_plain(text), F.lit(CLOSE))
+
+
+def _offsets(windows: DataFrame, system: Sequence[str]) -> DataFrame:
+    """Per conversation and window, ``_people``: each participant with the characters of their rendering before it.
+
+    Works on lengths alone: all messages as others see them, and what differs for a speaker's own. It has a row
+    for each participant and window, as the renderings have.
+    """
+    size = lambda m: F.length(_head(m["_who"], system)) + F.length(_body(m["_text"])) + 1
+    total = F.aggregate("_messages", F.lit(0).cast("long"), lambda acc, m: acc + size(m))
+    sizes = windows.select("_key", "_window", total.alias("_size"), F.transform("_messages", lambda m: m["_who"]).alias("_whos"))
+    spoken = sizes.select("_key", "_window", F.explode("_whos").alias("who")).where(~F.col("who").isin(*system))
+    own = spoken.groupBy("_key", "_window", "who").agg(F.count("*").alias("_n"))
+    own = own.withColumn("_differs", F.col("_n") * (F.lit(len(OPEN + OWN)) - F.length(_head(F.col("who"), system)))).drop("_n")
+    people = own.select("_key", "who").distinct()
+    rows = sizes.select("_key", "_window", "_size").join(people, "_key").join(own, ["_key", "_window", "who"], "left")
+    before = W.partitionBy("_key", "who").orderBy("_window").rowsBetween(W.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum(F.col("_size") + F.coalesce("_differs", F.lit(0))).over(before), F.lit(0)).alias("offset")
+    placed = rows.select("_key", "_window", "who", offset)
+    return placed.groupBy("_key", "_window").agg(F.array_sort(F.collect_list(F.struct("who", "offset"))).alias("_people"))
+
+
 def rotate_perspectives(
     turns: DataFrame,
     conv: str = "conv_id",
@@ -31,11 +62,13 @@ def rotate_perspectives(
     system: Sequence[str] = ("system",),
     window_turns: int = WINDOW_TURNS,
 ) -> DataFrame:
-    """One row per conversation, perspective and window of turns.
+    """One rendering per conversation and perspective, in pieces: a row for each window of turns.
 
     Columns: ``conv``, ``perspective``, ``window`` (turn number div ``window_turns``), ``n_messages``,
-    ``n_trained``, ``rendered`` and ``mask`` (array of [start, end) character spans of ``rendered``
-    that are trained on: the body and end marker of the assistant's messages).
+    ``n_trained``, ``offset`` (characters of the rendering before this piece), ``rendered`` and ``mask``
+    (array of [start, end) character spans that are trained on: the body and end marker of the assistant's
+    messages). Spans count from the start of the whole rendering, which is its pieces in the order of
+    their windows: where it is cut changes neither texts nor masks.
 
     Defined results: repeated rows (equal in all four columns) count once; turns with equal numbers
     go by speaker, then text, nulls first; a null text is empty; a null or empty speaker is named
@@ -45,35 +78,26 @@ def rotate_perspectives(
     still gets that window (with an empty mask), since a dialogue's windows belong together.
     """
     said = turns.select(
-        F.coalesce(F.col(conv).cast("string"), F.lit("null")).alias("_key"),
+        F.coalesce(F.concat(F.lit("c"), F.col(conv).cast("string")), F.lit("null")).alias("_key"),
         F.col(conv).alias("_conv"),
         F.col(turn).alias("_turn"),
         F.when(F.trim(F.col(speaker)) != "", F.col(speaker)).otherwise(F.lit("unknown")).alias("_who"),
         F.coalesce(F.col(text), F.lit("")).alias("_text"),
         F.coalesce(F.floor(F.col(turn) / window_turns), F.lit(0)).cast("long").alias("_window"),
     )
-    people = (
-        said.where(~F.col("_who").isin(*system))
-        .groupBy("_key")
-        .agg(F.array_sort(F.collect_set("_who")).alias("_people"))
-    )
     windows = said.groupBy("_key", "_window").agg(
         F.first("_conv").alias("_conv"),
         F.array_sort(F.collect_set(F.struct("_turn", "_who", "_text"))).alias("_messages"),
     )
-    each = windows.join(people, "_key").select(
-        "_conv", "_window", "_messages", F.explode("_people").alias("perspective")
+    each = windows.join(_offsets(windows, system), ["_key", "_window"]).select(
+        "_conv", "_window", "_messages", F.explode("_people").alias("_p")
     )
+    each = each.select("_conv", "_window", "_messages", F.col("_p.who").alias("perspective"), F.col("_p.offset").alias("offset"))
 
     def segment(m: Column) -> Column:
         own = m["_who"] == F.col("perspective")
-        head = (
-            F.when(m["_who"].isin(*system), F.lit("system\n"))
-            .when(own, F.lit("assistant\n"))
-            .otherwise(F.concat(F.lit("user name="), _plain(m["_who"]), F.lit("\n")))
-        )
-        body = F.concat(_plain(m["_text"]), F.lit(CLOSE))
-        return F.struct(F.concat(F.lit(OPEN), head).alias("head"), body.alias("body"), own.alias("own"))
+        head = F.when(own & ~m["_who"].isin(*system), F.lit(OPEN + OWN)).otherwise(_head(m["_who"], system))
+        return F.struct(head.alias("head"), _body(m["_text"]).alias("body"), own.alias("own"))
 
     each = each.withColumn("_parts", F.transform("_messages", segment))
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
@@ -87,13 +111,14 @@ def rotate_perspectives(
             F.when(p["own"], F.concat(acc["mask"], F.array(span))).otherwise(acc["mask"]).alias("mask"),
         )
 
-    walked = F.aggregate("_parts", F.struct(F.lit(0).cast("long").alias("at"), empty.alias("mask")), walk)
+    walked = F.aggregate("_parts", F.struct(F.col("offset").alias("at"), empty.alias("mask")), walk)
     return each.select(
         F.col("_conv").alias(conv),
         "perspective",
         F.col("_window").alias("window"),
         F.size("_messages").cast("long").alias("n_messages"),
         F.size(F.filter("_parts", lambda p: p["own"])).cast("long").alias("n_trained"),
+        "offset",
         F.array_join(F.transform("_parts", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "").alias(
             "rendered"
         ),

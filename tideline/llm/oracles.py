@@ -12,13 +12,13 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 OP1 = """
-with said as (select distinct coalesce(cast(conv_id as varchar), 'null') k, conv_id, turn, case when trim(role) <> '' then role else 'unknown' end who, coalesce("text", '') body,
+with said as (select distinct coalesce('c' || cast(conv_id as varchar), 'null') k, conv_id, turn, case when trim(role) <> '' then role else 'unknown' end who, coalesce("text", '') body,
     coalesce(floor(turn / 512), 0)::bigint win from conversations),
 people as (select distinct k, who perspective from said where who <> 'system'),
 parts as (select s.*, perspective, who = perspective own, '<|im_start|>' || case when who = 'system' then 'system' || chr(10) when who = perspective then 'assistant' || chr(10)
     else 'user name=' || replace(who, '<|', '< |') || chr(10) end head, replace(body, '<|', '< |') || '<|im_end|>' tail from said s join people using (k)),
-placed as (select *, coalesce(sum(length(head) + length(tail) + 1) over (partition by k, win, perspective order by turn nulls first, who, body rows between unbounded preceding and 1 preceding), 0)::bigint pos from parts)
-select conv_id, perspective, win as "window", count(*) n_messages, count(*) filter (own) n_trained,
+placed as (select *, coalesce(sum(length(head) + length(tail) + 1) over (partition by k, perspective order by win, turn nulls first, who, body rows between unbounded preceding and 1 preceding), 0)::bigint pos from parts)
+select conv_id, perspective, win as "window", count(*) n_messages, count(*) filter (own) n_trained, min(pos) "offset",
   string_agg(head || tail || chr(10), '' order by turn nulls first, who, body) rendered,
   coalesce(string_agg((pos + length(head)) || '-' || (pos + length(head) + length(tail)), ',' order by pos) filter (own), '') mask
 from placed group by k, conv_id, win, perspective
