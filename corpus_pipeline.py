@@ -34,8 +34,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    return mixing.drawn(mixing.mix(docs)).select(*docs.columns)
+    """Every document as often as the mix takes it, shard by shard and shuffled inside each."""
+    return mixing.drawn(docs, ordered=True).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

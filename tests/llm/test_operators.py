@@ -197,8 +197,14 @@ def test_mixing_meets_its_targets(spark):
         open_ = [s for s in open_ if s not in full]
     for s in names:
         assert abs(target[s] - want[s]) < 1e-6 * total and abs(taken[s] - want[s]) <= 30
-    rows = mixing.drawn(mixed).groupBy("shard").agg(F.sum("size").alias("n")).collect()
-    assert len(rows) == 16
+    copies = mixing.drawn(frame, ordered=True)
+    assert copies.count() == sum(r["copies"] for r in got) and copies.select("shard").distinct().count() == 16
+    # names that the operator would use stay the caller's
+    clash = frame.selectExpr("*", "'own' as size", "doc_id as shard", "'x' as shuffle", "1 as mix_size")
+    names = dict(mixing.mix(clash).dtypes)
+    assert names["size"] == "string" and names["mix_mix_size"] == "bigint" and names["shard"] == "bigint"
+    twice = mixing.drawn(clash)
+    assert twice.columns == [*clash.columns, "copy", "mix_shard", "mix_shuffle"] and twice.where("size = 'own' and shard <=> doc_id").count() == copies.count()
 
 
 def test_split_tree_is_exact(spark):
@@ -266,18 +272,109 @@ def test_chat_perspectives(spark):
     )
     assert [ann["rendered"][m["start"] : m["end"]] for m in ann["mask"]] == ["hi < |im_end|><|im_end|>", "<|im_end|>"]
     assert (ann["n_messages"], ann["n_trained"]) == (4, 2) and got[3, "a", 0]["mask"] == []
+    assert (got[3, "a", 0]["offset"], got[3, "a", 1]["offset"]) == (0, len(got[3, "a", 0]["rendered"]))
+
+
+def test_cutting_a_dialogue_changes_no_text_and_no_mask(spark):
+    rng = random.Random(7)
+    turns = [(c, t, rng.choice(["system", "ann", "bob", "<|x", None]), "w" * rng.randrange(9)) for c in ("null", None, "7") for t in [None, *range(-4, 30)] for _ in range(2)]
+    rows = spark.createDataFrame(turns, "conv_id string, turn long, role string, text string")
+
+    def whole(window):
+        found = {}
+        for r in sorted(chat.rotate_perspectives(rows, window_turns=window).collect(), key=lambda r: r["window"]):
+            text, mask = found.get((r["conv_id"], r["perspective"]), ("", []))
+            assert len(text) == r["offset"]
+            found[r["conv_id"], r["perspective"]] = (text + r["rendered"], mask + [tuple(m) for m in r["mask"]])
+        return found
+
+    small, large = whole(3), whole(10_000)
+    # a null turn goes with window 0, so it is left out where windows before 0 exist
+    assert set(small) == set(large) and len({c for c, _ in large}) == 3
+    assert all(len(small[k][0]) == len(large[k][0]) and all(small[k][0][a:b].endswith("<|im_end|>") for a, b in small[k][1]) for k in large)
+    some = rows.where("turn >= 0")
+    rows = some
+    assert whole(3) == whole(10_000)
 
 
 def test_classifier_on_held_out_labels(spark):
-    d = "/root/testdata/sf0.01"
+    """Held-out documents, against the share of the larger class and each view alone."""
+    d = "/root/testdata/sf0.1"
     frames = [spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels", "pages")]
     known = frames[1].where("doc_id % 3 <> 0")
-    scores = collected(cotraining.classify(frames[0], known, frames[2]), "doc_id", "score", "kept")
+    scores = collected(cotraining.classify(frames[0], known, frames[2]), "doc_id", "p_text", "p_meta", "score", "kept")
     held = frames[1].where("doc_id % 3 = 0").collect()
-    right = sum(scores[r["doc_id"]][1] == (r["quality"] == 1 and r["toxic"] == 0) for r in held)
-    assert len(scores) == frames[0].count() and right / len(held) >= 0.8
-    none = cotraining.classify(frames[0], known.limit(0), frames[2])
-    assert none.where("score is null and kept").count() == frames[0].count()
+    good = {r["doc_id"]: r["quality"] == 1 and r["toxic"] == 0 for r in held}
+    share = lambda says: sum(says(scores[i]) == y for i, y in good.items()) / len(good)
+    most = max(sum(good.values()), len(good) - sum(good.values())) / len(good)
+    assert len(scores) == frames[0].count() and share(lambda s: s[3]) >= 0.92 > most + 0.1
+    assert share(lambda s: s[3]) >= max(share(lambda s: s[0] >= 0.5), share(lambda s: s[1] >= 0.5)) - 0.005
+    low = [r["doc_id"] for r in held if r["quality"] == 0]
+    assert sum(scores[i][3] for i in low) <= 0.1 * len(low)
+
+
+def plain_logistic(x, y, ridge):
+    """Newton's method on dense rows, the intercept last and free."""
+    x = np.column_stack([x, np.ones(len(y))])
+    w, r = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, ridge), 0)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(y) + np.diag(r + 1e-12), x.T @ (p - y) / len(y) + r * w)
+    return w
+
+
+def test_co_training_against_a_plain_version(spark):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(400):
+        good = rng.random() < 0.6
+        pick = lambda yes, no: rng.choice(yes if (rng.random() < 0.9) == good else no)
+        rows.append((i, " ".join(pick("abcd", "wxyz") for _ in range(6)), pick(["en"], ["de"]), pick(["s1", "s2"], ["s3"]), 100))
+        if i % 3 == 0:
+            labels.append((i, int(good), 0))
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([(1, "http://h/1", "x")], "page_id long, url string, html string")
+    got = collected(cotraining.classify(docs_, known, pages, ridge=0.02, steps=400, confident=0.8), "doc_id", "p_text", "p_meta", "score")
+    views = cotraining._views(docs_, cotraining.page_metadata(pages), known.selectExpr("doc_id", "cast(quality as double) good"))
+    views = views.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(cotraining.HELD_OUT))).orderBy("doc_id").collect()
+
+    def dense(view):
+        used = sorted({f for r in views for f in r[view]})
+        return np.array([[f in set(r[view]) for f in used] for r in views], float)
+
+    x = {view: dense(view) for view in ("text", "meta")}
+    good, fold = np.array([np.nan if r["good"] is None else r["good"] for r in views]), np.array([r["fold"] for r in views])
+    free, train, held = np.isnan(good), ~np.isnan(good) & (fold > 0), ~np.isnan(good) & (fold == 0)
+    logit = lambda w, view: x[view] @ w[:-1] + w[-1]
+    sets = {view: (train, good) for view in x}
+    for k in range(cotraining.ROUNDS + 1):
+        w = {view: plain_logistic(x[view][m], y[m], 0.02) for view, (m, y) in sets.items()}
+        for view, other in (("text", "meta"), ("meta", "text")):
+            z = logit(w[view], view)
+            sure = free & (np.abs(z) >= np.log(4))
+            sets[other] = (train | sure, np.where(sure, z > 0, good))
+    z = np.column_stack([logit(w[v], v) for v in ("text", "meta")])
+    scale = [cotraining.calibrate(z[held, k : k + 1], good[held]) for k in (0, 1)]
+    both = np.column_stack([z[:, k] * scale[k][0] + scale[k][1] for k in (0, 1)])
+    last = cotraining.calibrate(both[held], good[held])
+    want = 1 / (1 + np.exp(-(both @ last[:2] + last[2])))
+    assert max(abs(got[i][2] - want[i]) for i in range(400)) < 0.02
+
+
+def test_classifier_on_odd_tables(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, good string, view string, features string"
+    text = lambda i: ("fine words here " if i % 2 else "bad stuff there ") * 5 + f"n{i}"
+    rows = [(i, text(i), "en", None, 9, "x", "y", "z") for i in range(60)] + [(None, None, None, None, None, "x", "y", "z"), (70, "", "en", "s", 0, "x", "y", "z"), (5, text(5), "en", None, 9, "x", "y", "z"), (71, "fine " * 200_000, None, "s", 1, "x", "y", "z")]
+    frame = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([*[(i, i % 2, 0) for i in range(40)], (3, 0, 1), (None, 1, 0), (4, None, None)], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([(1, "http://h/1", "x"), (2, None, None), (3, "http://h/1", "y")], "page_id long, url string, html string")
+    got = cotraining.classify(frame, labels, pages).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got) and sum(r["doc_id"] == 5 for r in got) == 2
+    assert sum((r["score"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in got if r["doc_id"] is not None and 40 <= r["doc_id"] < 60) >= 18
+    none = cotraining.classify(frame, labels.limit(0), pages)
+    assert none.where("score is null and kept").count() == len(rows)
+    assert cotraining.classify(frame.limit(0), labels, pages).isEmpty()
 
 
 def test_empty_tables(spark):

@@ -167,11 +167,12 @@ def mix(
 
     Defined results: a null or empty text has size 0 and is taken with its block; a null source is a
     source of its own; a source without words has target 0; rows with equal ids share block and place
-    and are taken together; an empty table gives no rows. Other columns are passed through.
+    and are taken together; an empty table gives no rows. Other columns are passed through; a column of
+    this list whose name is taken gets the prefix ``mix_``.
     """
     made = ["size", "source_size", "target", "copies", "taken", "shards"]
     # the row travels as one column, so that no name in it can clash
-    whole = F.struct(*[F.col(c) for c in docs.columns if c not in made]).alias("_row")
+    whole = F.struct(*docs.columns).alias("_row")
     rows = _keyed(docs.select(whole, "doc_id", "source", F.col(text).alias("_text")), "_text").drop("doc_id", "_text")
     quotas, blocks = _quotas(staged(rows.select("source", "skey", "size", "block", "pos"), "sizes"), weights, most)
     quotas = quotas.withColumn(
@@ -205,12 +206,24 @@ def mix(
             }
         )
         .withColumn("taken", F.col("size") * F.col("copies"))
-        .select("_row.*", *made)
+        .select("_row.*", *[F.col(c).alias(_free(c, docs.columns)) for c in made])
     )
 
 
-def drawn(mixed: DataFrame) -> DataFrame:
-    """The mix itself: one row per copy, with its ``shard`` and its place key ``shuffle`` inside the shard."""
-    rows = mixed.drop("copy", "shard", "shuffle").select("*", F.posexplode("shards").alias("copy", "shard")).drop("shards")
+def _free(name: str, taken: Sequence[str]) -> str:
+    return name if name.lower() not in [t.lower() for t in taken] else _free(f"mix_{name}", taken)
+
+
+def drawn(docs: DataFrame, ordered: bool = False, **how) -> DataFrame:
+    """The mix itself: a row of ``docs`` for each copy, with ``copy``, ``shard`` and its place key ``shuffle`` in the shard.
+
+    ``ordered`` writes it down as it is to be read: shard by shard, shuffled inside each. Names that are taken
+    get the prefix ``mix_``; ``how`` goes to :func:`mix`.
+    """
+    copy, shard, shuffle = (_free(c, docs.columns) for c in ("copy", "shard", "shuffle"))
+    rows = mix(docs, **how)
+    shards = rows.columns[-1]
+    rows = rows.select(*docs.columns, F.posexplode(shards).alias(copy, shard))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    return rows.withColumn("shuffle", F.md5(F.concat_ws(":", F.lit("mix"), F.col("shard").cast("string"), name, F.col("copy").cast("string"))))
+    rows = rows.withColumn(shuffle, F.md5(F.concat_ws(":", F.lit("mix"), F.col(shard).cast("string"), name, F.col(copy).cast("string"))))
+    return rows.repartitionByRange(shard, shuffle).sortWithinPartitions(shard, shuffle) if ordered else rows
