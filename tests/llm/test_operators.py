@@ -67,7 +67,22 @@ def test_spans_and_factors_describe_what_is_kept(spark):
         ws = brute.words(rows[r["doc_id"]])
         gone = {k for f in r["factors"] for k in range(f["start"], f["end"])}
         assert r["kept"] == " ".join(w for k, w in enumerate(ws) if k not in gone)
-        assert all(f["end"] - f["start"] >= 13 for f in r["factors"])
+        assert sum(f["end"] - f["start"] for f in r["factors"]) == r["n_removed"]
+        for k, f in enumerate(r["factors"]):
+            # a factor has a place in an earlier document, where the same words stand
+            there = brute.words(rows[f["ref"]])
+            assert f["ref"] < r["doc_id"] and ws[f["start"] : f["end"]] == there[f["ref_start"] : f["ref_start"] + f["end"] - f["start"]]
+            before = r["factors"][k - 1] if k else None
+            assert not k or before["end"] <= f["start"]
+            # greedy: a factor is not cut where its document goes on alike
+            assert not k or (before["ref"], before["ref_start"] - before["start"], before["end"]) != (f["ref"], f["ref_start"] - f["start"], f["start"])
+
+
+def test_a_copy_of_two_documents_is_two_factors(spark):
+    text = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(1, text("a", 60)), (2, text("b", 60)), (3, "new " + text("a", 60) + " " + text("b", 40) + " end"), (2**63 - 1, text("a", 13)), (None, text("b", 20))]
+    got = {r["doc_id"]: [tuple(f) for f in r["factors"]] for r in substring.deduplicate(docs(spark, rows)).collect()}
+    assert got == {1: [], 2: [], 3: [(1, 61, 1, 0), (61, 101, 2, 0)], 2**63 - 1: [(0, 13, 1, 0)], None: [(0, 20, 2, 0)]}
 
 
 @pytest.mark.parametrize("kind", ["odd", "real"])

@@ -38,17 +38,17 @@ def deduplicate(docs: DataFrame, size: int = SIZE, gram: int = GRAM, parts: int
     row. Of rows with equal ids none is earlier.
 
     Defined results: a null text is empty; texts shorter than ``size`` stay whole; a null id counts as
-    the greatest; equal texts lose everything but for the least id; an empty table gives no rows; other
+    the greatest, with 2^63 - 1; equal texts lose everything but for the least id; an empty table gives no rows; other
     columns are ignored unless named in ``carry``. Windows are compared by 64-bit hash within groups of
     equal anchor hash. A task holds some 60 times the bytes of its longest text.
     """
     spec = repeats.Spec("bytes", size, gram, parts)
     also = [F.col(c).alias(f"also_{i}") for i, c in enumerate(carry)]
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(repeats.NO_ID)).alias("id"), F.col(text).alias("text"), *also)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(repeats.NO_ID)).alias("id"), F.col(text).alias("text"), F.col("doc_id").cast("long").alias("own_id"), *also)
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.binary()]
-    passed = ["id", *[f"also_{i}" for i in range(len(also))]]
+    passed = ["own_id", *[f"also_{i}" for i in range(len(also))]]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,7 +69,7 @@ def deduplicate(docs: DataFrame, size: int = SIZE, gram: int = GRAM, parts: int
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in passed)
     schema = f"{kept}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, kept binary"
     return repeats.repeated_keys(rows, spec).mapInArrow(cut, schema).select(
-        F.when(F.col("id") != repeats.NO_ID, F.col("id")).alias("doc_id"),
+        F.col("own_id").alias("doc_id"),
         *names,
         *[F.col(f"also_{i}").alias(c) for i, c in enumerate(carry)],
     )
