@@ -118,6 +118,30 @@ def test_embeddings_against_brute_force(spark):
     assert collected(covertree.near_duplicates(frame), "vec_id", "n_links", "component_id", "kept") == brute.vectors(rows)
 
 
+def test_null_vector_ids(spark):
+    one, other, far = [1.0, 0.0], [1.0, 0.01], [0.0, 1.0]
+    rows = [(None, one, 1), (None, other, 1), (7, one, 1), (None, far, 1), (None, None, 1), (9, far, None)]
+    got = covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, 0, False), (0, 0, 0, False), (0, 2, 7, False), (0, 2, 7, False), (7, 2, 7, True), (9, 0, 9, True)]
+
+
+def test_cover_tree_is_nested_separated_and_covering():
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(12, 16)), 80, axis=0) + 0.15 * np.repeat(rng.normal(size=(48, 16)), 20, axis=0) + rng.normal(size=(960, 16)) * 0.02
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tree = covertree.grow(x[rng.permutation(len(x))])
+    assert len(tree.radius) > 12
+    known = {tuple(v) for v in x}
+    for node in range(len(tree.radius)):
+        below = tree.children(node)
+        assert tuple(tree.centre[node]) in known
+        if len(below):
+            r = tree.radius[below[0]]
+            apart = covertree._distances(tree.centre[below], tree.centre[below]) + 9 * np.eye(len(below))
+            assert (tree.radius[below] == r).all() and r <= tree.radius[node] / 2 and apart.min() > r
+            assert covertree._distances(tree.centre[below], tree.centre[node : node + 1]).max() <= tree.radius[node]
+
+
 def test_tree_prunes_and_includes():
     rng = np.random.default_rng(1)
     far = np.eye(8)[:3].repeat(60, axis=0) + rng.normal(size=(180, 8)) * 0.005

@@ -1,11 +1,17 @@
 """Embedding near-dedup by a cover tree and a dual traversal.
 
-Vectors are unit vectors, so that cosine 0.98 is Euclidean distance 0.2. Nested nets with halving radii
-are laid over a bounded sample; every vector goes down the tree to its leaf, and each leaf's covering
-radius is the greatest distance found among all of its vectors. The dual traversal then walks pairs of
-nodes: a pair whose centres are farther apart than both radii and the threshold is pruned with all below
-it; a pair so close that every two vectors must be linked is counted without comparing; what is left
-is compared exactly, in blocks of bounded size.
+Vectors are unit vectors, so that cosine 0.98 is Euclidean distance 0.2. A cover tree is laid over a bounded
+sample: its levels are nested nets with halving radii, whose points are vectors, more than the radius
+apart from each other and within the parent's radius of their parent; a parent is its own first child.
+Points with few vectors of the sample around them stay in their parent's bucket. Every vector goes down
+the tree to its bucket, and each bucket's covering radius is the greatest distance found among all of its
+vectors. The dual traversal then walks pairs of nodes: a pair whose centres are farther apart than both
+radii and the threshold is pruned with all below it; a pair so close that every two vectors must be linked
+is counted without comparing; what is left is compared exactly, in blocks of bounded size.
+
+Vectors that are nobody's neighbours, such as random ones in many dimensions, are all farther apart than any
+radius that could tell them from each other: there a cover tree has one level and bounds prune nothing. Such
+vectors of one label are compared block by block.
 """
 
 from __future__ import annotations
@@ -27,8 +33,11 @@ SAMPLE = 4096
 #: A net's point becomes a node if so many of the sample are its own.
 LEAST = 16
 FINEST = 0.0625
-BLOCK = 1024
+#: Vectors in a block of a comparison, and rows of it that are multiplied at a time.
+BLOCK, ROWS = 4096, 512
 SLACK = 1e-7
+#: Classes of vectors without an id have a name from here on inside; ids are smaller.
+NO_ID = 2**63 - 2**40
 
 
 @dataclass
@@ -64,25 +73,27 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def grow(sample: np.ndarray) -> Tree:
-    """Nested nets with halving radii over ``sample``, a node only where a net's point has enough of it."""
-    centre, radius, parent = [sample.mean(axis=0) if len(sample) else np.zeros(1)], [2.0], [-1]
+    """Nested nets with halving radii over ``sample``, a node only where a net's point has enough of it.
+
+    A level at which nothing parts, or nothing has enough, is left out, as in a tree without its chains.
+    """
+    centre, radius, parent = [sample[0] if len(sample) else np.zeros(1)], [2.0], [-1]
     todo = [(0, sample)]
     while todo:
         at, own = todo.pop()
         r = radius[at] / 2
         while r >= FINEST and len(own) >= 2 * LEAST:
-            left, found = own, []
-            # greedy net: its points are more than r apart and cover all within r
-            for _ in range(len(own) // LEAST):
-                if not len(left):
-                    break
-                near = _distances(left, left[:1])[:, 0] <= r
+            # greedy net: the parent's own point first, then points of what no earlier one covers
+            left, found, point = own, [], centre[at]
+            while len(left) >= LEAST:
+                near = _distances(left, point[None])[:, 0] <= r
                 if near.sum() >= LEAST:
-                    found.append(left[near])
+                    found.append((point, left[near]))
                 left = left[~near]
+                point = left[0] if len(left) else point
             if found:
-                for part in found:
-                    centre.append(part.mean(axis=0))
+                for point, part in found:
+                    centre.append(point)
                     radius.append(r)
                     parent.append(at)
                     todo.append((len(centre) - 1, part))
@@ -125,16 +136,23 @@ def unit_vectors(rows: DataFrame, vector: str = "embedding") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for value in batch.column(2).to_pylist():
-                x = np.array([np.nan if c is None else c for c in value], dtype=np.float64) if value else np.zeros(0)
-                top = np.abs(x).max() if len(x) else 0.0
-                if not np.isfinite(top) or top == 0 or not np.isfinite(x).all():
-                    out.append(None)
-                else:
-                    x = x / top
-                    out.append(x / np.sqrt((x * x).sum()) + 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], names=["vec_id", "label", "unit"])
+            array = batch.column(2)
+            sizes = array.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = array.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # a null component is NaN
+            starts = np.cumsum(sizes) - sizes
+            lengths, mask, values = np.zeros(len(sizes), dtype=np.int64), np.ones(len(sizes), dtype=bool), []
+            some = np.flatnonzero(sizes)
+            if len(some):
+                with np.errstate(all="ignore"):
+                    top = np.maximum.reduceat(np.abs(flat), starts[some])
+                    x = flat / np.repeat(top, sizes[some])  # first by the greatest, so that no square overflows
+                    x = x / np.repeat(np.sqrt(np.add.reduceat(x * x, starts[some])), sizes[some]) + 0.0
+                good = np.isfinite(top) & (top > 0)
+                lengths[some[good]], mask[some[good]] = sizes[some[good]], False
+                values = x[np.repeat(good, sizes[some])]
+            ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), mask=np.append(mask, False))
+            units = pa.ListArray.from_arrays(ends, pa.array(values, pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), units], names=["vec_id", "label", "unit"])
 
     return rows.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), vector).mapInArrow(run, "vec_id bigint, label string, unit array<double>")
 
@@ -153,17 +171,20 @@ def _compared(cosine: float):
         ids, count = group.column("rep").to_numpy(), group.column("n").to_numpy()
         left, right = (group.column(c).to_numpy(zero_copy_only=False) for c in ("in_a", "in_b"))
         a, b = np.flatnonzero(left), np.flatnonzero(right)
-        close = x[a] @ x[b].T >= cosine
         same = len(a) == len(b) and (a == b).all()
-        if same:
-            np.fill_diagonal(close, False)
-        links = np.zeros(len(ids), dtype=np.int64)
-        links[a] += close @ count[b]
-        if not same:
-            links[b] += close.T @ count[a]
+        links, met = np.zeros(len(ids), dtype=np.int64), []
+        for at in range(0, len(a), ROWS):
+            part = a[at : at + ROWS]
+            close = x[part] @ x[b].T >= cosine
+            if same:
+                close[np.arange(len(part)), np.arange(at, at + len(part))] = False
+            links[part] += close @ count[b]
+            if not same:
+                links[b] += close.T @ count[part]
+            p, q = np.nonzero(close)
+            met.append((part[p], b[q]))
+        p, q = (np.concatenate(c) for c in zip(*met))
         least = ids.copy()
-        p, q = np.nonzero(close)
-        p, q = a[p], b[q]
         while True:
             before = least.copy()
             low = np.minimum(least[p], least[q])
@@ -185,16 +206,19 @@ def near_duplicates(rows: DataFrame, vector: str = "embedding", cosine: float =
 
     Defined results: a vector that is null, empty, zero, or holds null or non-finite components, or has
     no label, is linked with nothing; vectors are compared with those of their own length only; equal
-    vectors form one class and are not compared; repeated ids are nodes of one name; an empty table
-    gives no rows. The tree decides how fast this is, never what is found: vectors without any cluster
-    within a label are compared block by block.
+    vectors form one class and are not compared; repeated ids are nodes of one name; a null id counts as the
+    greatest, is never the name of a component with another id in it, and a component of null ids alone has
+    no name and is not kept; an empty table gives no rows. The tree decides how fast this is, never what is
+    found.
     """
     spark: SparkSession = rows.sparkSession
     threshold = float(np.sqrt(2 - 2 * cosine))
-    units = staged(unit_vectors(rows, vector), "units")
+    units = staged(unit_vectors(rows, vector).withColumns({"own_id": F.col("vec_id"), "vec_id": F.coalesce("vec_id", F.lit(NO_ID))}), "units")
     usable = units.where("unit is not null and label is not null").withColumn("label", F.concat_ws(":", F.size("unit"), "label"))
-    classes = staged(usable.groupBy("label", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
-    members = usable.join(classes, ["label", "unit"]).select("vec_id", "rep", F.col("n").alias("copies"))
+    unnamed = F.lit(NO_ID) + F.pmod(F.xxhash64("label", "unit"), F.lit(2**40))
+    classes = usable.groupBy("label", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    classes = staged(classes.withColumn("rep", F.when(F.col("rep") == NO_ID, unnamed).otherwise(F.col("rep"))), "classes")
+    members = usable.join(classes, ["label", "unit"]).select("own_id", "vec_id", "rep", F.col("n").alias("copies"))
 
     dims = [r[0] for r in classes.groupBy(F.size("unit")).count().orderBy(F.desc("count")).limit(1).collect()]
     dim = dims[0] if dims else 1
@@ -260,7 +284,9 @@ def near_duplicates(rows: DataFrame, vector: str = "embedding", cosine: float =
     named = (
         members.join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left")
         .join(linked_to.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select("own_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
-    alone = units.where("unit is null or label is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return named.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    alone = units.where("unit is null or label is null").select("own_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    both = named.unionByName(alone)
+    component = F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id")
+    return both.select(F.col("own_id").alias("vec_id"), "n_links", component, F.coalesce(F.col("own_id") == F.col("component_id"), F.lit(False)).alias("kept"))
