@@ -1,7 +1,7 @@
 """DuckDB SQL with the same rows as the registered queries, where SQL can express them.
 
-Suffix dedup (every byte window of every text), packing and the classifier have none; their tests hold
-them against brute-force versions, an exact round trip and held-out accuracy.
+Packing and the classifier have none; their tests hold them against an exact round trip, a plain version and
+held-out accuracy.
 """
 
 from __future__ import annotations
@@ -24,6 +24,20 @@ select conv_id, perspective, win as "window", count(*) n_messages, count(*) filt
 from placed group by k, conv_id, win, perspective
 """
 
+#: Every window of 100 bytes, as hex digits; the first of equal ones by document and place stays.
+OP2 = """
+with d as (select doc_id, hex(encode(coalesce("text", ''))) h from documents),
+dup as (select doc_id, p from (select doc_id, p, row_number() over (partition by g order by doc_id, p) n from
+  (select doc_id, p, md5(substr(h, 2 * p + 1, 200)) g from (select doc_id, h, unnest(range(0, len(h) // 2 - 99)) p from d))) where n > 1),
+island as (select doc_id, p, sum(apart) over (partition by doc_id order by p) k from
+  (select doc_id, p, case when p - lag(p) over (partition by doc_id order by p) <= 100 then 0 else 1 end apart from dup)),
+span as (select doc_id, k, min(p) s, max(p) + 100 e from island group by 1, 2),
+cut as (select doc_id, count(*) n_spans, sum(e - s)::bigint n_removed, max(e) last, string_agg(substr(h, 2 * b + 1, 2 * (s - b)), '' order by s) kept from
+  (select *, coalesce(lag(e) over (partition by doc_id order by s), 0) b from span) join d using (doc_id) group by 1)
+select doc_id, len(h)::bigint // 2 n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) kept_sha256
+from d left join cut using (doc_id)
+"""
+
 OP4 = f"""
 with recursive w as (select doc_id, regexp_extract_all(translate(coalesce("text", ''), '{UPPER}', '{UPPER.lower()}'), '{WORD}') ws from documents),
 s as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')] else [array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)] end) g from w),
@@ -158,6 +172,7 @@ select doc_id, size, source_size, target, size * (passes + part + added) taken,
 
 ORACLES: dict[str, str] = {
     "op1_chat_perspectives": OP1,
+    "op2_suffix_dedup": OP2,
     "op4_minmax_near_dedup": OP4,
     "op5_rendezvous_shards": OP5,
     "op6_substring_dedup": OP6,
