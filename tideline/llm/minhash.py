@@ -107,15 +107,19 @@ def _block_links(size: int, percent: int):
         first = np.flatnonzero(block == group.column("bi")[0].as_py())
         second = np.flatnonzero(block == group.column("bj")[0].as_py())
         n = np.array([len(s) for s in sets])
+        comp = comp.copy()
         for i in first:
             others = second[(comp[second] != comp[i]) & ((ids[second] > ids[i]) | (block[second] != block[i]))]
             others = others[(bands[others] == bands[i]).any(axis=1)]
             others = others[(sign[others] == sign[i]).mean(axis=1) >= least]
             others = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
             for j in others:
+                if comp[i] == comp[j]:  # linked meanwhile: a task returns a link for each component that it joins
+                    continue
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * both >= percent * (n[i] + n[j] - both):
                     found.append((ids[i], ids[j]))
+                    comp[comp == comp[j]] = comp[i]
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
