@@ -62,7 +62,7 @@ def encode(text: str, path: str) -> np.ndarray:
     slow, fast, special = _encoders(path)
     if not any(s in text for s in special):
         try:
-            return np.frombuffer(fast._core_bpe.encode_to_tiktoken_buffer(text, set()), dtype=np.uint32)
+            return fast.encode_to_numpy(text, disallowed_special=())
         except (KeyboardInterrupt, SystemExit, MemoryError):
             raise
         except BaseException:  # the fast encoder's own panics on extreme texts are no Exception
