@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 import sys
@@ -312,6 +313,52 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert {r["doc_id"] for r in kept.collect()} == set(range(400)) and kept.columns == docs(spark, rows).columns
 
 
+def plain_mcd(x, floors):
+    """Squared distances by a minimum-covariance-determinant estimate of many random starts, iterated until it stands still."""
+    rng, h, best = np.random.default_rng(3), int(0.75 * len(x)), None
+    floor = np.diag(np.square(floors).astype(float))
+    distance = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    for _ in range(60):
+        chosen = rng.choice(len(x), 10, replace=False)
+        for _ in range(100):
+            m, c = x[chosen].mean(0), np.cov(x[chosen].T) + floor
+            again = np.sort(np.argsort(distance(m, c))[:h])
+            if np.array_equal(again, chosen):
+                break
+            chosen = again
+        det = np.linalg.det(c)
+        if best is None or det < best[0]:
+            best = det, m, np.cov(x[chosen].T) * 1.487 + floor
+    near = x[distance(*best[1:]) <= 11.143]
+    return distance(near.mean(0), np.cov(near.T) * 1.0645 + floor)
+
+
+def test_quality_against_a_plain_estimate(spark):
+    rng = random.Random(10)
+    rows = []
+    for i in range(500):
+        long, odd, same = rng.uniform(3, 7), rng.uniform(0, 0.1), rng.uniform(0, 0.2)
+        if i % 12 == 0:
+            long, odd, same = rng.choice([(14, 0.05, 0.1), (5, 0.9, 0.1), (5, 0.05, 0.9), (12, 0.6, 0.6)])
+        lines = []
+        for _ in range(rng.randrange(12, 30)):
+            ws = ["".join(rng.choice("abcdefghijkl") for _ in range(max(1, int(rng.gauss(long, 1))))) + ("#" if rng.random() < odd else "") for _ in range(7)]
+            lines.append(" ".join(ws))
+            if rng.random() < same:
+                lines.append("ab")
+        rows.append((i, "\n".join(["ab", *lines])))
+    frame = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = sorted((r for r in quality.judge(frame).collect() if not r["base_failed"]), key=lambda r: r["doc_id"])
+    lines = {i: len(t.split("\n")) for i, t in rows}
+    ratio = lambda a, b: np.log(1 + 10 * a / max(b, 1))
+    x = 1000 * np.array([(np.log((r["word_chars"] + 1) / r["n_words"]), ratio(r["n_symbols"], r["n_words"]), ratio(r["n_dup_lines"], lines[r["doc_id"]]), ratio(r["n_repeat_words"], r["n_words"])) for r in got])
+    d2 = plain_mcd(x, quality.FLOORS)
+    assert (d2 > quality.CUTOFF).sum() >= 20
+    for r, d in zip(got, d2):
+        assert r["kept"] or d > 0.7 * quality.CUTOFF, (r, d)
+        assert not r["kept"] or d < 1.4 * quality.CUTOFF, (r, d)
+
+
 def test_repeated_lines_and_words_reject_by_themselves(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
@@ -479,8 +526,35 @@ def test_pipeline_stages(spark):
     for r in left.collect():
         assert r["n_chars"] == len(r["text"]) and len(r["text"].encode()) <= want[r["doc_id"]][0] - want[r["doc_id"]][1]
     assert {r["doc_id"] for r in left.collect()} == {i for i, w in want.items() if w[0] > w[1]} and left.columns == frame.columns
+    whole = {i: t.encode() for i, t in texts.items() if i in near}
+    cut = {r["doc_id"]: bytes(r["kept"]) for r in suffix.deduplicate(single).collect()}
+    for r in left.collect():
+        # the bytes that stay, but for characters that a cut left incomplete
+        assert hashlib.sha256(cut[r["doc_id"]]).hexdigest() == want[r["doc_id"]][3] and len(cut[r["doc_id"]]) <= len(whole[r["doc_id"]])
+        assert r["text"] == cut[r["doc_id"]].decode(errors="replace").replace("\ufffd", "")
     mixed = pipeline.source_mixing(spark, left, d)
     assert mixed.columns == frame.columns
     packed = pipeline.best_fit_packing(spark, mixed, d)
     assert packed.where("piece = 0").count() == mixed.count()
     assert json.dumps([name for name, _ in pipeline.STAGES]) == json.dumps(["quality rules", "min-max near-dedup", "suffix dedup", "source mixing", "best-fit packing"])
+
+
+def test_pipeline_on_odd_tables(spark):
+    """Nulls in every column, repeated rows, and further columns whose names the operators use themselves."""
+    import corpus_pipeline as pipeline
+
+    frame = spark.read.parquet(f"{DATA}/documents.parquet")
+    empty = spark.createDataFrame([(None, None, None, None, None), (9001, None, "en", "src0", 0), (9002, "", None, None, None)], frame.schema)
+    frame = frame.unionByName(frame.limit(3)).unionByName(empty)
+    extra = "'k' as kept, 1 as id, 2 as size, 'c' as shard, array(1) as keys, 3 as row, 'd' as d2, 4 as shuffle, 5 as component_id, 6 as also_0, 7 as `odd name`"
+    frame = frame.selectExpr("*", *extra.split(", "))
+    for rows in (frame, frame.limit(0)):
+        docs_ = rows
+        for name, stage in pipeline.STAGES[:-1]:
+            out = stage(spark, docs_, DATA)
+            assert out.columns == frame.columns, name
+            got = out.collect()
+            assert all(tuple(r)[5:] == ("k", 1, 2, "c", [1], 3, "d", 4, 5, 6, 7) for r in got), name
+            docs_ = spark.createDataFrame(got, out.schema)
+        packed = pipeline.best_fit_packing(spark, docs_, DATA)
+        assert packed.where("piece = 0").count() == docs_.count() and (docs_.count() > 20) == (rows is frame)

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import repeats, rolling
 
@@ -66,8 +67,8 @@ def deduplicate(docs: DataFrame, size: int = SIZE, gram: int = GRAM, parts: int
                 made = [pa.array(c, t) for c, t in zip(out, types)]
                 yield pa.RecordBatch.from_arrays([some.column(c) for c in passed] + made, names=[*passed, *names])
 
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in passed)
-    schema = f"{kept}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, kept binary"
+    made = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, kept binary"
+    schema = T.StructType([*[rows.schema[c] for c in passed], *T.StructType.fromDDL(made).fields])
     return repeats.repeated_keys(rows, spec).mapInArrow(cut, schema).select(
         F.col("own_id").alias("doc_id"),
         *names,
