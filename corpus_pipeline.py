@@ -27,12 +27,13 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A character that a cut leaves incomplete is dropped.
     """
     # the row travels as one column, so that no name in it can clash
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    rows = docs.select("doc_id", "text", F.struct(*rest).alias("row"))
     left = suffix.deduplicate(rows, carry=["row"]).withColumn("text", F.expr("try_validate_utf8(cast(kept as string))"))
     whole = F.coalesce("text", F.expr("replace(make_valid_utf8(cast(kept as string)), '\\ufffd', '')"))
     left = left.withColumn("text", whole).where(F.length("text") > 0)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return left.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return left.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
