@@ -134,7 +134,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
     Defined results: words are lower-cased in A-Z only; fewer words than a shingle form one shingle; a
     text without words, or null, has an empty set, is linked with nothing and kept; equal texts are
-    linked; a null id counts as the greatest; rows with equal ids are judged by their own texts; an
+    linked; a null id counts as the greatest, and ids are below 2^63 - 1; rows with equal ids are judged by their own texts; an
     empty table gives no rows; other columns are ignored. Shingles are compared by 64-bit hash. A task
     holds the shingles of its longest text.
     """
