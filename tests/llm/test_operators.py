@@ -92,8 +92,10 @@ def test_near_duplicates_against_brute_force(spark, kind):
     assert collected(minhash.near_duplicates(docs(spark, rows)), "doc_id", "n_shingles", "component_id", "kept") == brute.near(rows)
 
 
-def test_last_round_finds_links_between_components(spark):
+@pytest.mark.parametrize("block", [minhash.BLOCK, 4])
+def test_last_round_finds_links_between_components(spark, monkeypatch, block):
     """Chains of texts of which each is like the next only; stars alone would break them."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(3)
     rows, chain = [], [f"t{k}" for k in range(120)]
     for i in range(60):
@@ -104,6 +106,19 @@ def test_last_round_finds_links_between_components(spark):
     assert collected(minhash.near_duplicates(docs(spark, rows)), "doc_id", "n_shingles", "component_id", "kept") == brute.near(rows)
 
 
+def test_signature_bytes_agree_where_the_values_do():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**64, 400, dtype=np.uint64)) for _ in range(2)]
+    sets.append(np.unique(np.concatenate([sets[0][:340], sets[1][:60]])))  # three quarters of the first, and more
+    hashes, at = np.concatenate(sets), np.cumsum([0] + [len(x) for x in sets])
+    values = minhash.signatures.min_max(hashes, at, minhash.PERMUTATIONS)
+    low = values & np.uint64(255)
+    for i, j in ((0, 1), (0, 2), (1, 2)):
+        true = len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
+        assert ((low[i] == low[j]) | (values[i] != values[j])).all()
+        assert abs((low[i] == low[j]).mean() - true) < 0.15
+
+
 def vector_rows():
     rng = np.random.default_rng(0)
     base = rng.normal(size=(5, 8))

@@ -5,8 +5,10 @@
    representative, so copies are never compared.
 2. In every bucket the representatives are compared with one centre (by hash, another in each bucket)
    on their full sets; links give first components.
-3. Buckets that still hold several components are compared in full, in blocks of bounded size, between
-   components only. Tasks return links, not pairs.
+3. In buckets that still hold several components, bucket mates of different components are compared by
+   their signatures, in blocks of bounded size. Only signatures of a byte a value are moved for that.
+   Pairs that can still be similar are confirmed on their full sets, each pair in one of its buckets; a
+   text goes only to buckets in which it has such a pair.
 Nothing is capped: what a round does not decide, the next one compares.
 """
 
@@ -29,14 +31,17 @@ PERCENT = 75
 #: 72 permutations give 144 values, in 36 bands of 4: a pair at 0.75 is missed with probability 1e-6.
 PERMUTATIONS = 72
 BAND_ROWS = 4
-#: Documents in a block of the last round, and standard deviations below the threshold at which a
-#: pair's estimated similarity spares its exact confirmation (misses 1 in 10 million).
+#: Documents in a block of the last round, bytes compared at a time, and standard deviations below the
+#: threshold at which a pair's estimated similarity spares its exact confirmation (misses 1 in 10 million).
 BLOCK = 256
+COMPARED = 2**24
 DEVIATIONS = 5.2
 
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
-    schema = "id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"
+    """Size, key, bands and signature of each row's set. ``sign`` has the low byte of each signature value:
+    it agrees wherever the value does, and by chance 1 time in 256."""
+    schema = "id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>, sign binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,12 +49,16 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                 hashes, at = signatures.shingle_sets(data, offsets, size)
                 n = np.diff(at)
                 k1, k2 = signatures.set_keys(hashes, at)
-                bands = signatures.band_keys(signatures.min_max(hashes, at, PERMUTATIONS), BAND_ROWS)
+                values = signatures.min_max(hashes, at, PERMUTATIONS)
+                bands = signatures.band_keys(values, BAND_ROWS)
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, bands.shape[1], 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands.ravel().view(np.int64)))
+                ends = np.concatenate([[0], np.cumsum(np.where(n > 0, values.shape[1], 0))]).astype(np.int32)
+                low = np.ascontiguousarray((values & np.uint64(255)).astype(np.uint8))
+                sign = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(low)])
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(n.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists],
-                    names=["id", "n", "k1", "k2", "bands"],
+                    [some.column(0), pa.array(n.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists, sign],
+                    names=["id", "n", "k1", "k2", "bands", "sign"],
                 )
 
     return docs.mapInArrow(run, schema)
@@ -87,39 +96,64 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def _block_links(size: int, percent: int):
-    """Links between documents of different components in one pair of blocks."""
+CELL = ["key", "bi", "bj"]
+
+
+def _candidates(percent: int):
+    """Pairs (a, b) of one pair of blocks of a bucket that lie in different components and may be similar."""
     least = percent / 100 - DEVIATIONS * np.sqrt(percent / 100 * (1 - percent / 100) / (2 * PERMUTATIONS))
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        found: list[tuple[int, int]] = []
-        sets: list[np.ndarray] = []
-        signs: list[np.ndarray] = []
-        batch = group.select(["text"]).to_batches()[0]
-        for _, data, offsets in rolling.chunks(batch, 0):
-            hashes, at = signatures.shingle_sets(data, offsets, size)
-            sets += [hashes[a:b] for a, b in zip(at[:-1], at[1:])]
-            signs.append(signatures.min_max(hashes, at, PERMUTATIONS))
-        sign = np.concatenate(signs)
-        bands = signatures.band_keys(sign, BAND_ROWS)
-        ids, comp, block = (group.column(c).to_numpy() for c in ("id", "comp", "block"))
+        ids, comp, n, block = (group.column(c).to_numpy() for c in ("id", "comp", "n", "block"))
+        sign = np.frombuffer(b"".join(group.column("sign").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
         first = np.flatnonzero(block == group.column("bi")[0].as_py())
         second = np.flatnonzero(block == group.column("bj")[0].as_py())
-        n = np.array([len(s) for s in sets])
-        comp = comp.copy()
-        for i in first:
-            others = second[(comp[second] != comp[i]) & ((ids[second] > ids[i]) | (block[second] != block[i]))]
-            others = others[(bands[others] == bands[i]).any(axis=1)]
-            others = others[(sign[others] == sign[i]).mean(axis=1) >= least]
-            others = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
-            for j in others:
-                if comp[i] == comp[j]:  # linked meanwhile: a task returns a link for each component that it joins
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (n[i] + n[j] - both):
-                    found.append((ids[i], ids[j]))
-                    comp[comp == comp[j]] = comp[i]
+        rows = max(1, COMPARED // max(1, sign.shape[1] * len(second)))
+        found = []
+        for at in range(0, len(first), rows):
+            part = first[at : at + rows]
+            agree = np.count_nonzero(sign[part, None] == sign[None, second], axis=2)
+            alike = (agree >= least * sign.shape[1]) & (comp[part, None] != comp[None, second])
+            alike &= 100 * np.minimum(n[part, None], n[None, second]) >= percent * np.maximum(n[part, None], n[None, second])
+            p, q = np.nonzero(alike)
+            found.append((part[p], second[q], agree[p, q]))
+        i, j, agree = (np.concatenate(c) for c in zip(*found)) if found else (first, first, first)
+        i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
+        same = {c: pa.repeat(group.column(c)[0], len(i)) for c in CELL}
+        return pa.table({"a": ids[i], "b": ids[j], "ca": comp[i], "cb": comp[j], "agree": agree, "docs": np.full(len(i), len(ids)), **same})
+
+    return run
+
+
+def _cell_links(size: int, percent: int):
+    """Links among the candidates of one pair of blocks, one for each component that is joined there."""
+
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        sets: dict[int, list[np.ndarray]] = {}
+        for batch in texts.select(["id", "text"]).combine_chunks().to_batches():
+            for some, data, offsets in rolling.chunks(batch, 1):
+                hashes, at = signatures.shingle_sets(data, offsets, size)
+                for id, lo, hi in zip(some.column(0).to_pylist(), at[:-1], at[1:]):
+                    sets.setdefault(id, []).append(hashes[lo:hi])
+        name: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in name:
+                c = name[c]
+            return c
+
+        found = []
+        for a, b, ca, cb in zip(*(pairs.sort_by([("agree", "descending")]).column(c).to_pylist() for c in ("a", "b", "ca", "cb"))):
+            ca, cb = root(ca), root(cb)
+            if ca == cb:  # joined meanwhile
+                continue
+            for x, y in ((x, y) for x in sets[a] for y in sets[b]):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both and 100 * both >= percent * (len(x) + len(y) - both):
+                    found.append((a, b))
+                    name[ca] = cb
+                    break
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -163,24 +197,25 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     )
     several = buckets.join(first, "id")
     mixed = several.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    left = staged(several.join(mixed, "key").select("id", "comp", "centre"), "undecided")
-    clusters = components(left.select(F.col("id").alias("a"), F.col("centre").alias("b")), "clusters").withColumnRenamed("node", "id")
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    left = several.join(mixed, "key").select("key", "id", "comp").join(heads.select("id", "n", "sign"), "id")
+    left = staged(left, "undecided")
+    sizes = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = (
-        left.select("id", "comp")
-        .distinct()
-        .join(clusters, "id")
-        .join(sizes, "component")
+        left.join(sizes, "key")
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        .join(texts, "id")
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
     )
-    more = (
-        placed.select("id", "comp", "component", "block", "bi", "bj", "text")
-        .groupBy("component", "bi", "bj")
-        .applyInArrow(_block_links(size, percent), "a bigint, b bigint")
+    may = (
+        placed.select(*CELL, "id", "comp", "n", "sign", "block")
+        .groupBy(*CELL)
+        .applyInArrow(_candidates(percent), "a bigint, b bigint, ca bigint, cb bigint, agree bigint, docs bigint, key bigint, bi bigint, bj bigint")
     )
+    # a pair is confirmed where most documents meet, so that a text goes to few buckets
+    one = may.groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("ca", "cb", "agree")), F.max(F.struct("docs", *CELL)).alias("cell"))
+    may = staged(one.select("a", "b", "ca", "cb", "agree", *(f"cell.{c}" for c in CELL)), "candidates")
+    met = may.select(*(F.col(c).alias(c) for c in CELL), F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id")
+    more = may.groupBy(*CELL).cogroup(met.groupBy(*CELL)).applyInArrow(_cell_links(size, percent), "a bigint, b bigint")
     linked = components(links.unionByName(staged(more, "more")), "linked")
     named = members.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep")
