@@ -7,8 +7,8 @@
    on their full sets; links give first components.
 3. In buckets that still hold several components, bucket mates of different components are compared by
    their signatures, in blocks of bounded size. Only signatures of a byte a value are moved for that.
-   Pairs that can still be similar are confirmed on their full sets, each pair in one of its buckets; a
-   text goes only to buckets in which it has such a pair.
+   Pairs that can still be similar are confirmed on their full sets, each pair in the first bucket that it
+   shares; a text goes only to buckets in which it has such a pair. Tasks return documents and links, not pairs.
 Nothing is capped: what a round does not decide, the next one compares.
 """
 
@@ -33,7 +33,7 @@ PERMUTATIONS = 72
 BAND_ROWS = 4
 #: Documents in a block of the last round, bytes compared at a time, and standard deviations below the
 #: threshold at which a pair's estimated similarity spares its exact confirmation (misses 1 in 10 million).
-BLOCK = 256
+BLOCK = 1024
 COMPARED = 2**24
 DEVIATIONS = 5.2
 
@@ -99,29 +99,38 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
 CELL = ["key", "bi", "bj"]
 
 
-def _candidates(percent: int):
-    """Pairs (a, b) of one pair of blocks of a bucket that lie in different components and may be similar."""
-    least = percent / 100 - DEVIATIONS * np.sqrt(percent / 100 * (1 - percent / 100) / (2 * PERMUTATIONS))
+def _candidates(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of one pair of blocks of a bucket that may be similar, and how many bytes agree.
 
+    They lie in different components, and this bucket is the first one that they share.
+    """
+    least = percent / 100 - DEVIATIONS * np.sqrt(percent / 100 * (1 - percent / 100) / (2 * PERMUTATIONS))
+    ids, comp, n, block = (group.column(c).to_numpy() for c in ("id", "comp", "n", "block"))
+    sign = np.frombuffer(b"".join(group.column("sign").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+    bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+    key, bi, bj = (group.column(c)[0].as_py() for c in CELL)
+    first, second = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
+    rows = max(1, COMPARED // max(1, sign.shape[1] * len(second)))
+    found = [(first[:0], first[:0], first[:0])]
+    for at in range(0, len(first), rows):
+        part = first[at : at + rows]
+        agree = np.count_nonzero(sign[part, None] == sign[None, second], axis=2)
+        alike = (agree >= least * sign.shape[1]) & (comp[part, None] != comp[None, second])
+        alike &= 100 * np.minimum(n[part, None], n[None, second]) >= percent * np.maximum(n[part, None], n[None, second])
+        if bi == bj:
+            alike &= ids[part, None] < ids[None, second]
+        p, q = np.nonzero(alike)
+        i, j = part[p], second[q]
+        shared = bands[i] == bands[j]
+        own = shared.any(axis=1) & (bands[i, shared.argmax(axis=1)] == key)
+        found.append((i[own], j[own], agree[p, q][own]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _with_candidates(percent: int):
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        ids, comp, n, block = (group.column(c).to_numpy() for c in ("id", "comp", "n", "block"))
-        sign = np.frombuffer(b"".join(group.column("sign").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-        first = np.flatnonzero(block == group.column("bi")[0].as_py())
-        second = np.flatnonzero(block == group.column("bj")[0].as_py())
-        rows = max(1, COMPARED // max(1, sign.shape[1] * len(second)))
-        found = []
-        for at in range(0, len(first), rows):
-            part = first[at : at + rows]
-            agree = np.count_nonzero(sign[part, None] == sign[None, second], axis=2)
-            alike = (agree >= least * sign.shape[1]) & (comp[part, None] != comp[None, second])
-            alike &= 100 * np.minimum(n[part, None], n[None, second]) >= percent * np.maximum(n[part, None], n[None, second])
-            p, q = np.nonzero(alike)
-            found.append((part[p], second[q], agree[p, q]))
-        i, j, agree = (np.concatenate(c) for c in zip(*found)) if found else (first, first, first)
-        i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
-        same = {c: pa.repeat(group.column(c)[0], len(i)) for c in CELL}
-        return pa.table({"a": ids[i], "b": ids[j], "ca": comp[i], "cb": comp[j], "agree": agree, "docs": np.full(len(i), len(ids)), **same})
+        i, j, _ = _candidates(group, percent)
+        return group.take(pa.array(np.union1d(i, j)))
 
     return run
 
@@ -129,31 +138,23 @@ def _candidates(percent: int):
 def _cell_links(size: int, percent: int):
     """Links among the candidates of one pair of blocks, one for each component that is joined there."""
 
-    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
-        sets: dict[int, list[np.ndarray]] = {}
-        for batch in texts.select(["id", "text"]).combine_chunks().to_batches():
-            for some, data, offsets in rolling.chunks(batch, 1):
+    def run(group: pa.Table) -> pa.Table:
+        group, sets = group.combine_chunks(), []
+        for batch in group.select(["text"]).to_batches():
+            for _, data, offsets in rolling.chunks(batch, 0):
                 hashes, at = signatures.shingle_sets(data, offsets, size)
-                for id, lo, hi in zip(some.column(0).to_pylist(), at[:-1], at[1:]):
-                    sets.setdefault(id, []).append(hashes[lo:hi])
-        name: dict[int, int] = {}
-
-        def root(c: int) -> int:
-            while c in name:
-                c = name[c]
-            return c
-
+                sets += [hashes[lo:hi] for lo, hi in zip(at[:-1], at[1:])]
+        i, j, agree = _candidates(group, percent)
+        order = np.argsort(-agree, kind="stable")
+        ids, comp = group.column("id").to_numpy(), group.column("comp").to_numpy().copy()
         found = []
-        for a, b, ca, cb in zip(*(pairs.sort_by([("agree", "descending")]).column(c).to_pylist() for c in ("a", "b", "ca", "cb"))):
-            ca, cb = root(ca), root(cb)
-            if ca == cb:  # joined meanwhile
+        for x, y in zip(i[order].tolist(), j[order].tolist()):
+            if comp[x] == comp[y]:  # joined meanwhile
                 continue
-            for x, y in ((x, y) for x in sets[a] for y in sets[b]):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both and 100 * both >= percent * (len(x) + len(y) - both):
-                    found.append((a, b))
-                    name[ca] = cb
-                    break
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if both and 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                found.append((ids[x], ids[y]))
+                comp[comp == comp[y]] = comp[x]
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -197,7 +198,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     )
     several = buckets.join(first, "id")
     mixed = several.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    left = several.join(mixed, "key").select("key", "id", "comp").join(heads.select("id", "n", "sign"), "id")
+    left = several.join(mixed, "key").select("key", "id", "comp").join(heads.select("id", "n", "sign", "bands"), "id")
     left = staged(left, "undecided")
     sizes = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = (
@@ -206,16 +207,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")})
     )
-    may = (
-        placed.select(*CELL, "id", "comp", "n", "sign", "block")
-        .groupBy(*CELL)
-        .applyInArrow(_candidates(percent), "a bigint, b bigint, ca bigint, cb bigint, agree bigint, docs bigint, key bigint, bi bigint, bj bigint")
-    )
-    # a pair is confirmed where most documents meet, so that a text goes to few buckets
-    one = may.groupBy("a", "b").agg(*(F.max(c).alias(c) for c in ("ca", "cb", "agree")), F.max(F.struct("docs", *CELL)).alias("cell"))
-    may = staged(one.select("a", "b", "ca", "cb", "agree", *(f"cell.{c}" for c in CELL)), "candidates")
-    met = may.select(*(F.col(c).alias(c) for c in CELL), F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id")
-    more = may.groupBy(*CELL).cogroup(met.groupBy(*CELL)).applyInArrow(_cell_links(size, percent), "a bigint, b bigint")
+    placed = placed.select(*CELL, "id", "comp", "n", "sign", "bands", "block")
+    may = staged(placed.groupBy(*CELL).applyInArrow(_with_candidates(percent), placed.schema), "candidates")
+    more = may.join(texts, "id").groupBy(*CELL).applyInArrow(_cell_links(size, percent), "a bigint, b bigint")
     linked = components(links.unionByName(staged(more, "more")), "linked")
     named = members.join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep")
