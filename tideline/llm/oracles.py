@@ -1,7 +1,7 @@
 """DuckDB SQL with the same rows as the registered queries, where SQL can express them.
 
-Packing and the classifier have none; their tests hold them against an exact round trip, a plain version and
-held-out accuracy.
+Packing, the classifier and byte-level BPE have none; their tests hold them against an exact round trip, a plain
+version, the library with the same vocabulary, and held-out accuracy.
 """
 
 from __future__ import annotations
@@ -170,6 +170,48 @@ select doc_id, size, source_size, target, size * (passes + part + added) taken,
 """
 
 
+def _op11(rounds: int = 6, parts: int = 8, entries: int = 16) -> str:
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(
+            f"a{k} as materialized (select id, p, any_value(x) x, min(d * {entries} + e) m from (select part.id, part.p, e, x, list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint d "
+            f"from part join c{k} on part.p = c{k}.p) group by 1, 2)"
+        )
+        if k < rounds:
+            steps.append(
+                f"c{k + 1} as materialized (select p, e, coalesce(y2, y) y from c{k} left join (select p, e, list((s - ((s % n) + n) % n) // n order by i) y2 from "
+                f"(select p, m % {entries} e, i, sum(x[i])::bigint s, count(*) n from (select *, unnest(range(1, len(x) + 1)) i from a{k}) group by 1, 2, 3) group by 1, 2) using (p, e))"
+            )
+    return f"""
+with v as materialized (select row_number() over (order by vec_id) id, vec_id, label, list_transform(embedding::double[], lambda c: floor(4096 * c)::bigint) x from embeddings
+  where embedding is not null and len([c for c in embedding if c is null or not isfinite(c)]) = 0),
+part as materialized (select id, p, x[p * (len(x) // {parts}) + 1 : (p + 1) * (len(x) // {parts})] x from (select id, x, unnest(range({parts})) p from v)),
+c0 as materialized (select p, id - 1 e, x y from part where id <= {entries}),
+{', '.join(steps)},
+coded as (select id, string_agg(printf('%02x', m % {entries}), '' order by p) code, sum(m // {entries})::bigint error from a{rounds} group by 1),
+flat as (select string_agg(c, ',' order by p, e, i) t from (select p, e, i, y[i]::varchar c from (select *, unnest(range(1, len(y) + 1)) i from c{rounds})))
+select vec_id, code, error, sum(error) over (partition by label)::bigint label_error, sha256(t) codebooks_sha256 from v join coded using (id), flat
+"""
+
+
+TERM = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+OP13 = f"""
+with d as (select row_number() over () k, coalesce(lang, '') lang, coalesce(source, '') source, regexp_extract_all(translate(coalesce("text", ''), '{UPPER}', '{UPPER.lower()}'), '{TERM}') ts from documents),
+occ as materialized (select lang, source, k, unnest(ts) t from d),
+kept as materialized (select lang, t, count(*) n from occ group by 1, 2 having count(distinct k) >= 30),
+lv as (select lang, count(*) v, sum(n) total from kept group by 1),
+g as materialized (select distinct d.lang, d.source, coalesce(v, 0) v, coalesce(lv.total, 0) lang_total from d left join lv using (lang)),
+cnt as materialized (select lang, source, t, count(*) n from occ join kept using (lang, t) group by 1, 2, 3),
+gt as (select lang, source, sum(n) total from cnt group by 1, 2),
+m as materialized (select g.lang, g.source, t, coalesce(cnt.n, 0) n, 1 + 1000000000::hugeint * (coalesce(cnt.n, 0) + 5) // (coalesce(gt.total, 0) + 5 * v) p, 1 + 1000000000::hugeint * (kept.n + 5) // (lang_total + 5 * v) q
+  from g join kept using (lang) left join cnt using (lang, source, t) left join gt using (lang, source)),
+pairs as (select a.lang, a.source, b.source item, sum(abs(a.p - b.p)) f from m a join m b on a.lang = b.lang and a.t = b.t and a.source <> b.source group by 1, 2, 3),
+every as (select a.lang, a.source, 'pair' part, b.source item, coalesce(f, 0)::bigint as "value" from g a join g b on a.lang = b.lang and a.source <> b.source left join pairs on pairs.lang = a.lang and pairs.source = a.source and item = b.source
+  union all select lang, source, 'term', t, (p - q)::bigint from m where n > 0 and p > q)
+select * from (select *, (row_number() over (partition by lang, source, part order by "value" desc, encode(item)))::int as "rank" from every) where part = 'pair' or "rank" <= 50
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_chat_perspectives": OP1,
     "op2_suffix_dedup": OP2,
@@ -179,4 +221,6 @@ ORACLES: dict[str, str] = {
     "op8_mix_sources": _op8(),
     "op9_quality_rules": _op9(),
     "op10_covertree_near_dedup": OP10,
+    "op11_gnat_vector_codes": _op11(),
+    "op13_source_divergence": OP13,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, cotraining, covertree, minhash, mixing, packing, quality, sharding, substring, suffix
+from . import bpe, chat, cotraining, covertree, divergence, gnat, minhash, mixing, packing, quality, sharding, substring, suffix
 from .common import documents
 from .oracles import ORACLES  # noqa: F401  (read by the registry)
 
@@ -67,6 +67,29 @@ def op10_covertree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_gnat_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, codebooks = gnat.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    digest = codebooks.digest() if codebooks else gnat.EMPTY_DIGEST
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    file, pattern = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = bpe.decode(bpe.encode(documents(spark, sf_dir), file, pattern), file, pattern)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_perspectives": op1_chat_perspectives,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -78,4 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_quality_rules": op9_quality_rules,
     "op10_covertree_near_dedup": op10_covertree_near_dedup,
+    "op11_gnat_vector_codes": op11_gnat_vector_codes,
+    "op12_bpe_round_trip": op12_bpe_round_trip,
+    "op13_source_divergence": op13_source_divergence,
 }
