@@ -131,7 +131,7 @@ def small_vocabulary(rng):
     rng.shuffle(tokens)
     voc.ranks = {t: k for k, t in enumerate(tokens)}
     voc.tokens = dict(enumerate(tokens))
-    voc._pairs = {}
+    voc._pairs, voc._kept = {}, {}
     return voc
 
 

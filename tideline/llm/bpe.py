@@ -25,10 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a leaf.
-LEAF = 8
-#: Matches, and pairs of tokens, whose results are kept in a Python worker, and the longest match that is kept.
-KEPT, LONGEST_KEPT = 1 << 18, 64
+#: Bytes of a leaf. Leaves and windows are short, so that most have been merged before, in other words.
+LEAF = 4
+#: Matches, short strings and pairs of tokens whose results are kept in a Python worker, each, and the longest that are kept.
+KEPT, LONGEST_MATCH, LONGEST_STRING = 1 << 18, 64, 24
 #: Characters of texts in one output batch; longer texts are split by the pattern piece by piece.
 BATCH = 1 << 21
 
@@ -50,11 +50,22 @@ class Vocabulary:
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
+        self._kept: dict[bytes, list[int]] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
         self._matches = _Matches(self)
 
     def merged(self, data: bytes) -> list[int]:
         """Plain encoding: the pair of the least rank, the leftmost of equal ones, is merged until none is left."""
+        found = self._kept.get(data)
+        if found is None:
+            found = self._merge(data)
+            if len(data) <= LONGEST_STRING:
+                if len(self._kept) >= KEPT:
+                    self._kept.clear()
+                self._kept[data] = found
+        return found
+
+    def _merge(self, data: bytes) -> list[int]:
         ranks, n = self.ranks, len(data)
         end, before, gone = list(range(1, n + 1)), list(range(-1, n)), bytearray(n + 1)
         heap = [(r, i) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
@@ -130,7 +141,7 @@ class _Matches(dict):
 
     def __missing__(self, match: str) -> list[int]:
         ids = self.vocabulary.encode_match(match.encode("utf-8"))
-        if len(match) <= LONGEST_KEPT:
+        if len(match) <= LONGEST_MATCH:
             if len(self) >= KEPT:
                 self.clear()
             self[match] = ids
