@@ -131,7 +131,7 @@ def small_vocabulary(rng):
     rng.shuffle(tokens)
     voc.ranks = {t: k for k, t in enumerate(tokens)}
     voc.tokens = dict(enumerate(tokens))
-    voc._pairs, voc._kept = {}, {}
+    voc._pairs, voc._kept, voc._halves = {}, {}, {}
     return voc
 
 
@@ -155,7 +155,7 @@ def test_the_tree_gives_the_plain_encoding():
         want = by_definition(data, voc.ranks)
         assert voc.merged(data) == want
         leaves = [voc.merged(data[i : i + 3]) for i in range(0, len(data), 3)]
-        assert bpe.fold(leaves, voc.join, []) == want
+        assert bpe.fold(leaves, voc.join, []) == want and voc.halves(data) == want
         at = rng.randrange(len(data) + 1)
         assert voc.join(voc.merged(data[:at]), voc.merged(data[at:])) == want
         widened += voc.merged(data[:at]) + voc.merged(data[at:]) != want

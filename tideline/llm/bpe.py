@@ -1,8 +1,7 @@
 """Byte-level BPE by a monoid tree reduction.
 
 Encodings of byte strings form a monoid: the join of two is the encoding of both strings together. A match of the
-splitting pattern is cut into halves down to short leaves, leaves are merged plainly, and neighbours are joined up
-the tree. A join encodes a window around the boundary again, and widens it until the tokens outside are proven to
+splitting pattern is cut into halves, these again down to single bytes, and neighbours are joined up the tree. A join encodes a window around the boundary again, and widens it until the tokens outside are proven to
 stay: a sequence of tokens is the encoding of its bytes exactly if each two neighbours are the encoding of theirs.
 (The first merge that crossed a boundary between two such neighbours would be the lowest in rank, and the leftmost,
 among the merges of these two alone as well, and so belong to the encoding of the two.) Inside each side all
@@ -25,10 +24,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a leaf. Leaves and windows are short, so that most have been merged before, in other words.
-LEAF = 4
-#: Matches, short strings and pairs of tokens whose results are kept in a Python worker, each, and the longest that are kept.
-KEPT, LONGEST_MATCH, LONGEST_STRING = 1 << 18, 64, 24
+#: Bytes of the longest string whose halves are kept: most halves of a word have been seen in other words.
+HALF = 5
+#: Strings and pairs of tokens, and matches, whose results are kept in a Python worker, and the longest of them.
+KEPT, KEPT_MATCHES, LONGEST_STRING, LONGEST_MATCH = 1 << 18, 1 << 19, 24, 64
 #: Characters of texts in one output batch; longer texts are split by the pattern piece by piece.
 BATCH = 1 << 21
 
@@ -51,7 +50,8 @@ class Vocabulary:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self._kept: dict[bytes, list[int]] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._halves: dict[bytes, list[int]] = {}
+        self._pairs: dict[tuple[int, int], list[int] | None] = {}
         self._matches = _Matches(self)
 
     def merged(self, data: bytes) -> list[int]:
@@ -83,36 +83,48 @@ class Vocabulary:
                 heapq.heappush(heap, (r, before[i]))
         return [ranks[data[i : end[i]]] for i in range(n) if not gone[i]]
 
-    def settled(self, a: int, b: int) -> bool:
-        """Whether two tokens side by side are the encoding of their bytes."""
-        found = self._pairs.get((a, b))
-        if found is None:
+    def pair(self, a: int, b: int) -> list[int] | None:
+        """Encoding of two tokens' bytes side by side; None if it is the two themselves."""
+        found = self._pairs.get((a, b), self)
+        if found is self:
             if len(self._pairs) >= KEPT:
                 self._pairs.clear()
-            found = self._pairs[a, b] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
+            found = self.merged(self.tokens[a] + self.tokens[b])
+            found = self._pairs[a, b] = None if found == [a, b] else found
         return found
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """Encoding of the bytes of two encodings side by side."""
         if not left or not right:
             return left + right
-        a = b = 1
-        if self.settled(left[-1], right[0]):
+        window = self.pair(left[-1], right[0])
+        if window is None:
             return left + right
+        a, b, pair = 1, 1, self.pair
         while True:
-            window = self.merged(b"".join(map(self.tokens.__getitem__, chain(left[-a:], right[:b]))))
-            more_left = a < len(left) and not self.settled(left[-a - 1], window[0])
-            more_right = b < len(right) and not self.settled(window[-1], right[b])
+            more_left = a < len(left) and pair(left[-a - 1], window[0]) is not None
+            more_right = b < len(right) and pair(window[-1], right[b]) is not None
             if not more_left and not more_right:
                 return left[:-a] + window + right[b:]
-            a, b = min(len(left), a * (1 + more_left)), min(len(right), b * (1 + more_right))
+            a, b = min(len(left), a * 2) if more_left else a, min(len(right), b * 2) if more_right else b
+            window = self.merged(b"".join([self.tokens[t] for t in left[-a:] + right[:b]]))
+
+    def halves(self, data: bytes) -> list[int]:
+        """Encoding by halves, down to single bytes; those of short strings are kept."""
+        found = self._halves.get(data)
+        if found is None:
+            n = len(data)
+            found = self.join(self.halves(data[: n // 2]), self.halves(data[n // 2 :])) if n > 1 else [self.ranks[data]]
+            if n <= HALF:
+                if len(self._halves) >= KEPT:
+                    self._halves.clear()
+                self._halves[data] = found
+        return found
 
     def encode_match(self, data: bytes) -> list[int]:
         """Ids of one match of the pattern; a match that is a token is that token."""
         whole = self.ranks.get(data)
-        if whole is not None:
-            return [whole]
-        return fold([self.merged(data[i : i + LEAF]) for i in range(0, len(data), LEAF)], self.join, [])
+        return self.halves(data) if whole is None else [whole]
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text: each match of the pattern on its own, without special tokens."""
@@ -142,7 +154,7 @@ class _Matches(dict):
     def __missing__(self, match: str) -> list[int]:
         ids = self.vocabulary.encode_match(match.encode("utf-8"))
         if len(match) <= LONGEST_MATCH:
-            if len(self) >= KEPT:
+            if len(self) >= KEPT_MATCHES:
                 self.clear()
             self[match] = ids
         return ids
