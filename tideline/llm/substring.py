@@ -109,45 +109,57 @@ def _mark(key: np.ndarray, row: np.ndarray) -> np.ndarray:
     return rolling.mix64(key + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def parse(b: repeats.Blocks, keys: np.ndarray, of: np.ndarray, refs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Covered words of a chunk, and its factors: rows of (row, start, end, reference document, its word), in order."""
+def pieces(b: repeats.Blocks, keys: np.ndarray, of: np.ndarray, refs: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """What the index has of a chunk, in order: rows of (row, start, end, reference document, its word), words of the chunk.
+
+    Whole blocks first; the windows of a block that is not there as a whole, those at the ends of factors, one by one.
+    """
     order = np.argsort(_mark(keys, of))
     marks, refs, places = _mark(keys, of)[order], refs[order], places[order]
-    size, pieces = b.spec.size, []
+    size = b.spec.size
     some = np.flatnonzero(np.isin(b.row, np.unique(of)))
     hit = _lookup(b, b.keys(some), b.row[some], marks)
     whole, rest = some[hit >= 0], some[hit < 0]
-    pieces.append((b.row[whole], b.first[whole], b.last[whole] - 1 + size, refs[hit[hit >= 0]], places[hit[hit >= 0]]))
+    found = [(b.row[whole], b.first[whole], b.last[whole] - 1 + size, refs[hit[hit >= 0]], places[hit[hit >= 0]])]
     block, first, _, _, key = b.split(rest, 1)
     hit = _lookup(b, key, b.row[block], marks)
     yes = hit >= 0
-    pieces.append((b.row[block][yes], first[yes], first[yes] + size, refs[hit[yes]], places[hit[yes]]))
-    row, start, end, ref, place = (np.concatenate(x).astype(np.int64) for x in zip(*pieces))
-    order = np.lexsort((start, row))
-    row, start, end, ref, place = row[order], start[order], end[order], ref[order], place[order]
-    change = np.zeros(len(b.sums) + 1, dtype=np.int64)
-    np.add.at(change, start, 1)
-    np.add.at(change, end, -1)
-    gone = np.cumsum(change)[: len(b.sums) - 1] > 0
-    # greedy: a factor goes on while the next piece stands at the next place of the same reference document
+    found.append((b.row[block][yes], first[yes], first[yes] + size, refs[hit[yes]], places[hit[yes]]))
+    every = np.column_stack([np.concatenate(x).astype(np.int64) for x in zip(*found)])
+    return every[np.lexsort((every[:, 1], every[:, 0]))]
+
+
+def greedy(found: np.ndarray) -> np.ndarray:
+    """Factors: a piece, and all that follow it for as long as the next one stands at the next place of the same document."""
+    row, start, end, ref, place = found.T
     new = np.ones(len(row), dtype=bool)
     new[1:] = (row[1:] != row[:-1]) | (ref[1:] != ref[:-1]) | (place[1:] - start[1:] != place[:-1] - start[:-1]) | (start[1:] > end[:-1])
     head = np.flatnonzero(new)
     stop = np.maximum.reduceat(end, head) if len(head) else head
-    begin, ref_start = start[head].copy(), place[head].copy()
-    # the windows of a boundary overlap: the later factor begins where the earlier one ends
-    late = np.zeros(len(head), dtype=np.int64)
-    late[1:] = np.where(row[head][1:] == row[head][:-1], np.maximum(stop[:-1] - begin[1:], 0), 0)
-    begin, ref_start = begin + late, ref_start + late
-    bounds = b.bounds[row[head]]
-    factors = np.column_stack([row[head], begin - bounds, stop - bounds, ref[head], ref_start])
-    return gone, factors[begin < stop]
+    return np.column_stack([row[head], start[head], stop, ref[head], place[head]])
+
+
+def parse(b: repeats.Blocks, keys: np.ndarray, of: np.ndarray, refs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a chunk that its factors cover, and the factors: rows of (row, start, end, reference document, its word), in order."""
+    factors = greedy(pieces(b, keys, of, refs, places))
+    # a factor of ``size`` words or more is a duplicate span
+    row, begin, stop, ref, ref_start = factors[factors[:, 2] - factors[:, 1] >= b.spec.size].T
+    change = np.zeros(len(b.sums) + 1, dtype=np.int64)
+    np.add.at(change, begin, 1)
+    np.add.at(change, stop, -1)
+    gone = np.cumsum(change)[: len(b.sums) - 1] > 0
+    # at a boundary the windows of two factors overlap: the later one is listed from where the earlier one ends
+    late = np.zeros(len(row), dtype=np.int64)
+    late[1:] = np.where(row[1:] == row[:-1], np.maximum(stop[:-1] - begin[1:], 0), 0)
+    bounds = b.bounds[row]
+    listed = np.column_stack([row, begin + late - bounds, stop - bounds, ref, ref_start + late])
+    return gone, listed[begin + late < stop]
 
 
 def deduplicate(docs: DataFrame, size: int = SIZE, gram: int = GRAM, text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, factors and kept.
 
-    ``factors`` are the duplicate spans, [start, end) word numbers with the reference document and its word number,
+    ``factors`` are the duplicate spans, which are what is removed: [start, end) word numbers with the reference document and its word number,
     in order and without overlap; ``kept`` has the words that are left, joined by one space. A word goes if
     ``size`` consecutive words that cover it also stand in a document with a smaller id; windows are judged on
     the input.
