@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from tideline.llm import chat, cotraining, covertree, minhash, mixing, packing, quality, sharding, substring, suffix  # noqa: E402
+from tideline.llm import chat, cotraining, covertree, minhash, mixing, packing, quality, repeats, sharding, substring, suffix  # noqa: E402
 from tideline.llm.queries import tokenizer_path  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
@@ -57,6 +57,24 @@ def test_suffix_and_substring_against_brute_force(spark, kind):
     assert collected(substring.deduplicate(docs(spark, rows)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.substring(rows)
 
 
+def test_factors_decide_what_is_removed(spark, monkeypatch):
+    """Factors that do not go on greedily leave words behind, and without factors nothing is removed."""
+    b, rows = repeats.Spec("words", 13, 5), [(1, " ".join(f"w{k}" for k in range(60))), (2, " ".join(f"w{k}" for k in range(5, 50)))]
+    data, offsets = np.frombuffer("".join(t for _, t in rows).encode(), dtype=np.uint8), np.array([0, len(rows[0][1]), len(rows[0][1]) + len(rows[1][1])])
+    chunk = repeats.Blocks(b, data, offsets)
+    own = np.flatnonzero(chunk.row == 1)
+    keys = chunk.keys(own)
+    places = chunk.first[own] - chunk.bounds[1] + 5
+    given = (keys, np.ones(len(own), dtype=np.int64), np.ones(len(own), dtype=np.int64), places)
+    gone, factors = substring.parse(chunk, *given)
+    assert gone[60:].all() and not gone[:60].any() and factors.tolist() == [[1, 0, 45, 1, 5]]
+    whole = substring.greedy
+    monkeypatch.setattr(substring, "greedy", lambda found: whole(found)[:, :] - np.array([0, 0, 3, 0, 0]))
+    assert substring.parse(chunk, *given)[0].sum() == 42
+    monkeypatch.setattr(substring, "greedy", lambda found: whole(found)[:0])
+    assert substring.parse(chunk, *given)[0].sum() == 0
+
+
 def test_spans_and_factors_describe_what_is_kept(spark):
     rows = dict(odd_rows())
     for r in suffix.deduplicate(docs(spark, rows.items())).collect():
@@ -329,49 +347,81 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
 
 
 def plain_mcd(x, floors):
-    """Squared distances by a minimum-covariance-determinant estimate of many random starts, iterated until it stands still."""
-    rng, h, best = np.random.default_rng(3), int(0.75 * len(x)), None
+    """Moments by a minimum-covariance-determinant estimate of many random starts, each iterated until it stands still."""
+    rng, h, best = np.random.default_rng(3), max(1, int(np.ceil(0.75 * len(x)))), None
     floor = np.diag(np.square(floors).astype(float))
+    cov = lambda rows: np.cov(rows.T, bias=True)
     distance = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
-    for _ in range(60):
-        chosen = rng.choice(len(x), 10, replace=False)
+    for _ in range(40):
+        chosen = rng.choice(len(x), min(10, len(x)), replace=False)
         for _ in range(100):
-            m, c = x[chosen].mean(0), np.cov(x[chosen].T) + floor
+            m, c = x[chosen].mean(0), 1.487 * cov(x[chosen]) + floor
             again = np.sort(np.argsort(distance(m, c))[:h])
             if np.array_equal(again, chosen):
                 break
             chosen = again
         det = np.linalg.det(c)
         if best is None or det < best[0]:
-            best = det, m, np.cov(x[chosen].T) * 1.487 + floor
+            best = det, m, c
     near = x[distance(*best[1:]) <= 11.143]
-    return distance(near.mean(0), np.cov(near.T) * 1.0645 + floor)
+    return near.mean(0), cov(near) * 1.0645 + floor
+
+
+def plain_shrunk(own, n, wider):
+    w, apart = n / (n + 200), own[0] - wider[0]
+    return w * own[0] + (1 - w) * wider[0], w * own[1] + (1 - w) * wider[1] + w * (1 - w) * np.outer(apart, apart)
 
 
 def test_quality_against_a_plain_estimate(spark):
+    """Verdicts are those of the plain estimate in every group, but for distances within a tenth of the cutoff."""
     rng = random.Random(10)
-    rows = []
-    for i in range(500):
-        long, odd, same = rng.uniform(3, 7), rng.uniform(0, 0.1), rng.uniform(0, 0.2)
-        if i % 12 == 0:
-            long, odd, same = rng.choice([(14, 0.05, 0.1), (5, 0.9, 0.1), (5, 0.05, 0.9), (12, 0.6, 0.6)])
-        lines = []
-        for _ in range(rng.randrange(12, 30)):
-            ws = ["".join(rng.choice("abcdefghijkl") for _ in range(max(1, int(rng.gauss(long, 1))))) + ("#" if rng.random() < odd else "") for _ in range(7)]
-            lines.append(" ".join(ws))
-            if rng.random() < same:
-                lines.append("ab")
-        rows.append((i, "\n".join(["ab", *lines])))
-    frame = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    rows, of = [], {}
+    kinds = {("en", "a"): (400, 4.5, 0.03), ("en", "b"): (120, 6.5, 0.05), ("en", None): (25, 5, 0.02), ("de", "a"): (260, 8, 0.1), (None, "c"): (60, 3.5, 0.0)}
+    for (lang, source), (n, base, marks) in kinds.items():
+        for k in range(n):
+            long, odd, same = rng.uniform(base - 1, base + 1), rng.uniform(0, 2 * marks), rng.uniform(0, 0.2)
+            if k % 12 == 0:
+                long, odd, same = rng.choice([(14, 0.05, 0.1), (5, 0.9, 0.1), (5, 0.05, 0.9), (12, 0.6, 0.6)])
+            lines = []
+            for _ in range(rng.randrange(12, 30)):
+                ws = ["".join(rng.choice("abcdefghijkl") for _ in range(max(1, int(rng.gauss(long, 1))))) + ("#" if rng.random() < odd else "") for _ in range(7)]
+                lines.append(" ".join(ws))
+                if rng.random() < same:
+                    lines.append("ab")
+            of[len(rows)] = (lang, source)
+            rows.append((len(rows), "\n".join(["ab", *lines]), lang, source))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = sorted((r for r in quality.judge(frame).collect() if not r["base_failed"]), key=lambda r: r["doc_id"])
-    lines = {i: len(t.split("\n")) for i, t in rows}
+    lines = {r[0]: len(r[1].split("\n")) for r in rows}
     ratio = lambda a, b: np.log(1 + 10 * a / max(b, 1))
-    x = 1000 * np.array([(np.log((r["word_chars"] + 1) / r["n_words"]), ratio(r["n_symbols"], r["n_words"]), ratio(r["n_dup_lines"], lines[r["doc_id"]]), ratio(r["n_repeat_words"], r["n_words"])) for r in got])
-    d2 = plain_mcd(x, quality.FLOORS)
-    assert (d2 > quality.CUTOFF).sum() >= 20
-    for r, d in zip(got, d2):
-        assert r["kept"] or d > 0.7 * quality.CUTOFF, (r, d)
-        assert not r["kept"] or d < 1.4 * quality.CUTOFF, (r, d)
+    x = np.round(1000 * np.array([(np.log((r["word_chars"] + 1) / r["n_words"]), ratio(r["n_symbols"], r["n_words"]), ratio(r["n_dup_lines"], lines[r["doc_id"]]), ratio(r["n_repeat_words"], r["n_words"])) for r in got]))
+    group = [of[r["doc_id"]] for r in got]
+    top, rejected = plain_mcd(x, quality.FLOORS), 0
+    for lang in {g[0] for g in group}:
+        wide = [k for k, g in enumerate(group) if g[0] == lang]
+        language = plain_shrunk(plain_mcd(x[wide], quality.FLOORS), len(wide), top)
+        for own in {g for g in group if g[0] == lang}:
+            some = [k for k, g in enumerate(group) if g == own]
+            m, c = plain_shrunk(plain_mcd(x[some], quality.FLOORS), len(some), language)
+            d2 = np.einsum("ij,jk,ik->i", x[some] - m, np.linalg.inv(c), x[some] - m)
+            rejected += (d2 > quality.CUTOFF).sum()
+            for k, d in zip(some, d2):
+                assert got[k]["kept"] == (d <= quality.CUTOFF) or abs(d / quality.CUTOFF - 1) < 0.1, (own, got[k], d)
+    assert rejected >= 20
+
+
+def test_no_number_of_documents_switches_the_estimate(spark):
+    """A group's own estimate counts from the first document on, and more so with each one."""
+    rng = random.Random(4)
+    text = lambda size: " ".join("".join(rng.choice("abcdefgh") for _ in range(max(1, int(rng.gauss(size, 0.5))))) for _ in range(80))
+    base = [(k, text(4), "en", "base") for k in range(600)]
+    probe = (10_000, text(10), "en", "own")
+    seen = []
+    for n in (1, 20, 199, 200, 400):
+        rows = [*base, probe, *[(1000 + k, text(9), "en", "own") for k in range(n)]]
+        frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        seen.append(next(r["d2"] for r in quality.judge(frame).where("doc_id = 10000").collect()))
+    assert seen == sorted(seen, reverse=True) and seen[2] / seen[3] < 1.2
 
 
 def test_repeated_lines_and_words_reject_by_themselves(spark):

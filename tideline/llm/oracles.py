@@ -93,19 +93,40 @@ def _op9() -> str:
     p = range(len(quality.FEATURES))
     symbols = quality.SYMBOLS
     space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    xs = ", ".join(f"x{i}" for i in p)
     sums = ", ".join(f"{v} as {k}" for k, v in quality.sums_sql().items())
-    model = ", ".join(quality.MODEL)
-    steps, last = [], "start"
+    factors = [f"l{x}" for x in quality.PAIRS]
+    rest = [*quality.MOMENTS, *factors, "det"]
+
+    def estimate(rows: str, factor: float, more: str = "") -> str:
+        layers = quality.moments_sql(factor) + quality.cholesky_sql()
+        return f"select grp{more}, {', '.join(rest)} from {_layered(f'(select grp{more}, {sums} from {rows} group by grp{more})', layers)}"
+
+    def concentrated(name: str, model: str, more: str = "") -> list[str]:
+        near = _layered(f"(select * from vec join (select grp{more}, {', '.join(quality.MODEL)} from {model}) using (grp))", quality.distance_sql())
+        closest = f"(select * from near_{name} join (select grp{more}, quantile_cont(q, 0.75) q75 from near_{name} group by grp{more}) using (grp{more}) where q <= q75)"
+        return [f"near_{name} as materialized (select grp{more}, {xs}, {quality.RANKED_SQL} q from {near})", f"{name} as materialized ({estimate(closest, quality.FACTOR_RAW, more)})"]
+
+    steps, last = concentrated("begun", "starts", ', "start"'), "chosen"
+    fall = f"(1 - {quality.FALL})"
+    weighed = f"""case when "start" = 0 then det * {fall} else det end"""
+    steps.append(f"""chosen as materialized (select grp, {', '.join(rest)} from begun qualify row_number() over (partition by grp order by {weighed}, "start") = 1)""")
     for k in range(quality.STEPS):
-        near = _layered(f"(select * from vec join {last} using (grp))", quality.distance_sql())
-        steps.append(f"near{k} as materialized (select grp, {', '.join(f'x{i}' for i in p)}, {quality.RANKED_SQL} q from {near})")
-        chosen = f"(select * from near{k} join (select grp, quantile_cont(q, 0.75) q75 from near{k} group by grp) using (grp) where q <= q75)"
-        fit = _layered(f"(select grp, {sums} from {chosen} group by grp)", quality.model_sql(quality.FACTOR_RAW))
-        steps.append(f"model{k} as materialized (select grp, {model} from {fit})")
+        steps += concentrated(f"step{k}", last)
+        chosen = ", ".join(f"case when a.det < m.det * {fall} then a.{c} else m.{c} end {c}" for c in rest)
+        steps.append(f"model{k} as materialized (select m.grp, {chosen} from {last} m left join step{k} a on a.grp = m.grp)")
         last = f"model{k}"
-    near = _layered(f"(select * from vec join {last} using (grp))", quality.distance_sql())
-    fit = _layered(f"(select grp, {sums} from (select * from {near} where d2 <= {quality.CHI2_975}) group by grp)", quality.model_sql(quality.FACTOR_REWEIGHTED))
-    final = _layered("(select * from named left join fitted using (grp))", quality.distance_sql())
+    near = _layered(f"(select * from vec join (select grp, {', '.join(quality.MODEL)} from {last}) using (grp))", quality.distance_sql())
+    steps.append(f"moments as materialized ({estimate(f'(select * from {near} where d2 <= {quality.CHI2_975})', quality.FACTOR_REWEIGHTED)})")
+    wider = ", ".join(f"{c} w_{c}" for c in quality.MOMENTS)
+    shrunk = ", ".join(f"{v} {k}" for k, v in quality.shrunk_sql().items())
+    for level, up, source in (("wide", "all_", "moments"), ("fine", "wide", "shrunk_wide")):
+        steps.append(
+            f"shrunk_{level} as materialized (select grp, {shrunk} from moments join (select {level} grp, {up} wider, sum(n_rows)::double n_rows from names group by 1, 2) using (grp) "
+            f"join (select grp wider, {wider} from {source}) using (wider))"
+        )
+    fitted = _layered("shrunk_fine", quality.cholesky_sql())
+    final = _layered(f"(select * from b left join (select grp fine, {', '.join(quality.MODEL)} from {fitted}) using (fine))", quality.distance_sql())
     return f"""
 with d as (select *, coalesce("text", '') body, regexp_extract_all(coalesce("text", ''), '{WORD}') ws from documents),
 g as (select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] t from (select doc_id, ws, unnest(range(1, len(ws) - 1)) i from d)),
@@ -114,18 +135,16 @@ rep as (select doc_id, count(*) n from (select distinct doc_id, unnest(range(i,
 ln as (select doc_id, count(*) n_lines, count(*) - count(distinct l) n_dup_lines from (select doc_id, unnest(string_split(body, chr(10))) l from d) where trim(l, {space}) <> '' group by 1),
 s as (select doc_id, lang, source, len(ws)::bigint n_words, coalesce(len(array_to_string(ws, '')), 0)::bigint word_chars, (length(body) - length(translate(body, '{symbols}', '')))::bigint n_symbols,
   coalesce(n_dup_lines, 0) n_dup_lines, coalesce(n_lines, 0) n_lines, coalesce(n, 0) n_repeat_words from d left join rep using (doc_id) left join ln using (doc_id)),
-b as materialized (select *, {quality.BASE_SQL} base_failed, {', '.join(f'{v} {k}' for k, v in quality.vector_sql().items())}, coalesce('l' || lang, '') lk, coalesce('l' || lang, '') || '/' || coalesce('s' || source, '') fine from s),
-cnt as (select fine, lk, count(*) n from b where not base_failed group by 1, 2),
-few as (select lk, sum(n) < {quality.MIN_GROUP} few from cnt where n < {quality.MIN_GROUP} group by 1),
-grps as (select fine, case when n >= {quality.MIN_GROUP} then fine when few then '*' else lk || '/*' end grp from cnt left join few using (lk)),
-named as materialized (select * from b left join grps using (fine)),
-vec as materialized (select grp, {', '.join(f'x{i}' for i in p)} from named where not base_failed),
+b as materialized (select *, {quality.BASE_SQL} base_failed, {', '.join(f'{v} {k}' for k, v in quality.vector_sql().items())}, 'w' || coalesce('l' || lang, '') wide, '*' all_,
+  'f' || coalesce('l' || lang, '') || '/' || coalesce('s' || source, '') fine from s),
+names as materialized (select fine, wide, all_, count(*) n_rows from b where not base_failed group by 1, 2, 3),
+vec as materialized (select unnest([fine, wide, all_]) grp, {xs} from b where not base_failed),
 med as (select grp, {', '.join(f'quantile_cont(x{i}, 0.5) m{i}' for i in p)} from vec group by 1),
 mad as (select grp, {', '.join(f'quantile_cont(abs(x{i} - m{i}), 0.5) a{i}' for i in p)} from vec join med using (grp) group by 1),
-start as materialized (select grp, {', '.join(f'm{i}' for i in p)}, {', '.join(f'greatest(1.4826 * a{i}, {float(quality.FLOORS[i])}) l{i}{i}' for i in p)},
-  {', '.join(f'0e0 l{i}{j}' for i in p for j in p if j < i)} from med join mad using (grp)),
-{', '.join(steps)},
-fitted as materialized (select grp, {model} from {fit})
+plain as ({estimate('vec', 1.0)}),
+starts as materialized (select grp, 0 "start", {', '.join(f'm{i}' for i in p)}, {', '.join(f'greatest(1.4826 * a{i}, {float(quality.FLOORS[i])}) l{i}{j}' if i == j else f'0e0 l{i}{j}' for i in p for j in p if j <= i)}
+  from med join mad using (grp) union all select grp, 1, {', '.join(quality.MODEL)} from plain),
+{', '.join(steps)}
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(d2 <= {quality.CUTOFF}, false) kept from {final}
 """
 

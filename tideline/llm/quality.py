@@ -1,9 +1,14 @@
 """Quality rules: base limits, then robust multivariate outliers (DataFrame operations only).
 
 Each document gets a vector of transformed statistics. Per language and source, a deterministic
-minimum-covariance-determinant estimate (coordinate-wise median start, concentration steps on the
-closest three quarters, one reweighting step) gives a centre and a covariance that junk cannot
-pull away; documents far from the centre by Mahalanobis distance are rejected.
+minimum-covariance-determinant estimate gives a centre and a covariance that junk cannot pull away: from
+two starts (coordinate-wise medians, and plain means) one concentration step each, on the closest three
+quarters; the start with the lesser determinant goes on until its determinant stops falling; one
+reweighting step follows. Documents far from the centre by Mahalanobis distance are rejected.
+
+Every group has its own estimate, however small. It is shrunk towards that of its language, and that
+towards that of all documents, by ``n / (n + SHRINK)``: a group of few documents mostly follows its
+language, a large one itself, and no number of documents switches from one rule to another.
 
 All vectors are fixed-point integers, so that sums are exact whatever the order of the rows.
 """
@@ -24,9 +29,10 @@ CUTOFF = 23.513
 #: reach 1000 ln 11 = 2398 and, at the base limit of half the words, 1000 ln 6 = 1792 at most; their floors are half
 #: of that by the cutoff's root, so that beyond half of its range either rejects by itself where others have none.
 FLOORS = (83, 277, 247, 185)
-#: Groups with fewer rows are pooled: first by language, then altogether.
-MIN_GROUP = 200
-STEPS = 3
+#: Documents with which an estimate weighs as much as the wider one that it is shrunk towards.
+SHRINK = 200
+#: Concentration steps at most, and the share by which a determinant has to fall to count.
+STEPS, FALL = 8, 1e-6
 #: Chi-square quantiles for four degrees of freedom: 0.975 for the reweighting step.
 CHI2_975 = 11.143
 #: Consistency factors of the covariance of the closest 75 % and of the reweighted rows.
@@ -131,24 +137,31 @@ def sums_sql() -> dict[str, str]:
     } | {f"s{i}{j}": f"cast(sum(x{i} * x{j}) as double)" for i in p for j in p if j <= i}
 
 
-def model_sql(factor: float) -> list[dict[str, str]]:
-    """Mean and Cholesky factor from the sums, as projections to be applied one after the other."""
+def moments_sql(factor: float) -> list[dict[str, str]]:
+    """Mean and covariance from the sums, as projections to be applied one after the other."""
     p = range(len(FEATURES))
-    layers = [{f"m{i}": f"s{i} / n" for i in p}]
-    layers.append(
-        {
-            f"c{i}{j}": f"{factor} * (s{i}{j} / n - m{i} * m{j})" + (f" + {float(FLOORS[i]) ** 2}" if i == j else "")
-            for i in p
-            for j in p
-            if j <= i
-        }
-    )
+    floor = lambda i, j: f" + {float(FLOORS[i]) ** 2}" if i == j else ""
+    return [{f"m{i}": f"s{i} / n" for i in p}, {f"c{i}{j}": f"{factor} * (s{i}{j} / n - m{i} * m{j})" + floor(i, j) for i in p for j in p if j <= i}]
+
+
+def cholesky_sql() -> list[dict[str, str]]:
+    """Cholesky factor of the covariance, and the root of its determinant."""
+    p = range(len(FEATURES))
+    layers = []
     for j in p:
         known = "".join(f" - l{j}{k} * l{j}{k}" for k in range(j))
         layers.append({f"l{j}{j}": f"sqrt(greatest(c{j}{j}{known}, 1e0))"})
         if below := {f"l{i}{j}": f"(c{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j)) + f") / l{j}{j}" for i in p if i > j}:
             layers.append(below)
-    return layers
+    return [*layers, {"det": " * ".join(f"l{i}{i}" for i in p)}]
+
+
+def shrunk_sql() -> dict[str, str]:
+    """Mean and covariance of a group of ``n_rows`` and of the wider one (``w_``...), as of a mixture of both."""
+    p = range(len(FEATURES))
+    w, v = f"(n_rows / (n_rows + {SHRINK}e0))", f"({SHRINK}e0 / (n_rows + {SHRINK}e0))"
+    means = {f"m{i}": f"{w} * m{i} + {v} * w_m{i}" for i in p}
+    return means | {f"c{i}{j}": f"{w} * c{i}{j} + {v} * w_c{i}{j} + {w} * {v} * (m{i} - w_m{i}) * (m{j} - w_m{j})" for i in p for j in p if j <= i}
 
 
 def distance_sql() -> list[dict[str, str]]:
@@ -162,9 +175,9 @@ def distance_sql() -> list[dict[str, str]]:
 
 #: Distances are ranked in fixed point too, so that a group's quantile needs bounded memory.
 RANKED_SQL = "cast(floor(least(d2, 1e4) * 100) as bigint)"
-MODEL = [f"m{i}" for i in range(len(FEATURES))] + [
-    f"l{i}{j}" for i in range(len(FEATURES)) for j in range(len(FEATURES)) if j <= i
-]
+PAIRS = [f"{i}{j}" for i in range(len(FEATURES)) for j in range(len(FEATURES)) if j <= i]
+MOMENTS = [f"m{i}" for i in range(len(FEATURES))] + [f"c{x}" for x in PAIRS]
+MODEL = [f"m{i}" for i in range(len(FEATURES))] + [f"l{x}" for x in PAIRS]
 
 
 def _layers(df: DataFrame, layers: list[dict[str, str]]) -> DataFrame:
@@ -173,52 +186,60 @@ def _layers(df: DataFrame, layers: list[dict[str, str]]) -> DataFrame:
     return df
 
 
-def _estimate(rows: DataFrame, factor: float, name: str) -> DataFrame:
-    sums = rows.groupBy("grp").agg(*[F.expr(v).alias(k) for k, v in sums_sql().items()])
-    return staged(_layers(sums, model_sql(factor)).select("grp", *MODEL), name)
+def _estimate(rows: DataFrame, factor: float, *more: str) -> DataFrame:
+    """Moments, Cholesky factor and determinant of the rows of each ``grp`` (and of what else tells them apart)."""
+    sums = rows.groupBy("grp", *more).agg(*[F.expr(v).alias(k) for k, v in sums_sql().items()])
+    return _layers(sums, moments_sql(factor) + cholesky_sql()).select("grp", *more, *MOMENTS, *MODEL[len(FEATURES) :], "det")
+
+
+def _concentrated(vectors: DataFrame, model: DataFrame, *more: str) -> DataFrame:
+    """The estimate from the three quarters of each group that are closest to ``model``."""
+    x = [f"x{i}" for i in range(len(FEATURES))]
+    near = _layers(vectors.join(model.select("grp", *more, *MODEL), "grp"), distance_sql()).select("grp", *more, *x, F.expr(RANKED_SQL).alias("q"))
+    limit = staged(near.groupBy("grp", *more).agg(F.expr("percentile(q, 0.75)").alias("q75")), "limit")
+    return _estimate(near.join(limit, ["grp", *more]).where("q <= q75"), FACTOR_RAW, *more)
 
 
 def mcd(vectors: DataFrame) -> DataFrame:
-    """Per ``grp``, the reweighted centre m0.. and Cholesky factor l00.. of the vectors x0.. ."""
+    """Per ``grp``, the reweighted moments m0.. and c00.. of the vectors x0.. .
+
+    Only whether any determinant still falls reaches the driver.
+    """
     p = range(len(FEATURES))
     medians = staged(vectors.groupBy("grp").agg(*[F.expr(f"percentile(x{i}, 0.5)").alias(f"m{i}") for i in p]), "medians")
-    spreads = (
-        vectors.join(medians, "grp")
-        .groupBy("grp")
-        .agg(*[F.expr(f"percentile(abs(x{i} - m{i}), 0.5)").alias(f"a{i}") for i in p])
-    )
+    spreads = vectors.join(medians, "grp").groupBy("grp").agg(*[F.expr(f"percentile(abs(x{i} - m{i}), 0.5)").alias(f"a{i}") for i in p])
     zeros = {f"l{i}{j}": F.lit(0.0) for i in p for j in p if j < i}
-    model = medians.join(spreads, "grp").withColumns(
-        {f"l{i}{i}": F.greatest(1.4826 * F.col(f"a{i}"), F.lit(float(FLOORS[i]))) for i in p} | zeros
-    )
-    model = staged(model.select("grp", *MODEL), "start")
+    robust = medians.join(spreads, "grp").withColumns({f"l{i}{i}": F.greatest(1.4826 * F.col(f"a{i}"), F.lit(float(FLOORS[i]))) for i in p} | zeros)
+    plain = _estimate(vectors, 1.0)
+    starts = staged(robust.select("grp", F.lit(0).alias("start"), *MODEL).unionByName(plain.select("grp", F.lit(1).alias("start"), *MODEL)), "starts")
+    both = _concentrated(vectors, starts, "start")
+    rest = [*MOMENTS, *MODEL[len(FEATURES) :], "det"]
+    # of equal determinants the medians' start goes on
+    least = F.min_by(F.struct(*rest), F.struct(F.when(F.col("start") == 0, F.col("det") * (1 - FALL)).otherwise(F.col("det")), "start"))
+    model = staged(both.groupBy("grp").agg(least.alias("_m")).select("grp", "_m.*"), "chosen")
     for k in range(STEPS):
-        near = _layers(vectors.join(model, "grp"), distance_sql()).select(
-            "grp", *[f"x{i}" for i in p], F.expr(RANKED_SQL).alias("q")
-        )
-        limit = near.groupBy("grp").agg(F.expr("percentile(q, 0.75)").alias("q75"))
-        closest = near.join(staged(limit, "limit"), "grp").where("q <= q75")
-        model = _estimate(closest, FACTOR_RAW, f"step{k}")
-    near = _layers(vectors.join(model, "grp"), distance_sql()).where(f"d2 <= {CHI2_975}")
-    return _estimate(near, FACTOR_REWEIGHTED, "reweighted")
+        after = _concentrated(vectors, model).select("grp", *[F.col(c).alias(f"a_{c}") for c in rest])
+        falls = F.coalesce(F.col("a_det") < F.col("det") * (1 - FALL), F.lit(False))
+        after = staged(model.join(after, "grp", "left").withColumn("_falls", falls), f"step{k}")
+        model = after.select("grp", *[F.when(F.col("_falls"), F.col(f"a_{c}")).otherwise(F.col(c)).alias(c) for c in rest])
+        if after.where("_falls").isEmpty():
+            break
+    near = _layers(vectors.join(model.select("grp", *MODEL), "grp"), distance_sql()).where(f"d2 <= {CHI2_975}")
+    return _estimate(near, FACTOR_REWEIGHTED).select("grp", *MOMENTS)
+
+
+def _names(rows: DataFrame) -> DataFrame:
+    """lang and source of every group with the names of the group, of its language's, and of that of all."""
+    lang = F.coalesce(F.concat(F.lit("l"), F.col("lang")), F.lit(""))
+    fine = F.concat(F.lit("f"), lang, F.lit("/"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
+    counts = rows.groupBy("lang", "source").agg(F.count("*").alias("n_rows"))
+    return counts.withColumns({"fine": fine, "wide": F.concat(F.lit("w"), lang), "all": F.lit("*")})
 
 
-def grouped(rows: DataFrame) -> DataFrame:
-    """``grp`` by language and source; small groups are pooled by language, then altogether."""
-    lang = F.coalesce(F.concat(F.lit("l"), F.col("lang")), F.lit(""))
-    fine = F.concat(lang, F.lit("/"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
-    rows = rows.withColumns({"_fine": fine, "_lang": lang})
-    counts = rows.groupBy("_fine", "_lang").count()
-    small = counts.where(F.col("count") < MIN_GROUP)
-    pooled = small.groupBy("_lang").agg((F.sum("count") < MIN_GROUP).alias("_few"))
-    names = counts.join(pooled, "_lang", "left").select(
-        "_fine",
-        F.when(F.col("count") >= MIN_GROUP, F.col("_fine"))
-        .when(F.col("_few"), F.lit("*"))
-        .otherwise(F.concat("_lang", F.lit("/*")))
-        .alias("grp"),
-    )
-    return rows.join(names, "_fine").drop("_fine", "_lang")
+def _shrunk(own: DataFrame, wider: DataFrame) -> DataFrame:
+    """``own`` (grp, n_rows, wider, moments) shrunk towards the moments of the group named by ``wider``."""
+    wider = wider.select(F.col("grp").alias("wider"), *[F.col(c).alias(f"w_{c}") for c in MOMENTS])
+    return own.join(wider, "wider").select("grp", *[F.expr(v).alias(k) for k, v in shrunk_sql().items()])
 
 
 BASE_SQL = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
@@ -245,11 +266,18 @@ def _judged(rows: DataFrame, model: DataFrame) -> DataFrame:
 def _fitted(rows: DataFrame) -> DataFrame:
     """The model of each language and source among the ``rows`` that pass the base limits."""
     x = [f"x{i}" for i in range(len(FEATURES))]
-    vectors = staged(grouped(rows.where("not base_failed").select("lang", "source", *x)), "vectors")
-    model = mcd(vectors.select("grp", *x))
-    names = vectors.select("lang", "source", "grp").distinct()
+    good = rows.where("not base_failed")
+    names = staged(_names(good), "names")  # a row a group
+    keys = {c: good[c].eqNullSafe(names[c]) for c in ("lang", "source")}
+    dealt = good.select("lang", "source", *x).join(names, keys["lang"] & keys["source"]).select(F.explode(F.array("fine", "wide", "all")).alias("grp"), *x)
+    moments = staged(mcd(staged(dealt, "vectors")), "moments")
+    top = moments.where("grp = '*'")
+    sizes = lambda level, wider: names.groupBy(F.col(level).alias("grp"), F.col(wider).alias("wider")).agg(F.sum("n_rows").alias("n_rows"))
+    wide = _shrunk(moments.join(sizes("wide", "all"), "grp"), top)
+    fine = _shrunk(moments.join(sizes("fine", "wide"), "grp"), wide)
+    model = _layers(fine, cholesky_sql()).select("grp", *MODEL)
     named = names.select(
-        "grp",
+        F.col("fine").alias("grp"),
         *[F.coalesce(c, F.lit("")).alias(f"_{c}") for c in ("lang", "source")],
         *[F.col(c).isNull().alias(f"_{c}_null") for c in ("lang", "source")],
     )
@@ -265,7 +293,7 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Defined results: a null text is an empty one and fails the base limits; null languages and
     sources form groups of their own; repeated rows are judged alike; an empty table gives no rows;
-    columns of other names are ignored. A group as uniform as to have no spread has the floors'.
+    columns of other names are ignored. A group as uniform as to have no spread has the floors', and a group of few documents mostly follows its language.
     """
     rows = _measured(docs.select("doc_id", F.col(text).alias("text"), "lang", "source"))
     rows = staged(rows, "statistics")
