@@ -136,9 +136,9 @@ class Vocabulary:
 
     def decode(self, ids: list[int]) -> bytes | None:
         """Bytes of the ids; None where one of them is no token."""
-        tokens = self.tokens
+        token = self.tokens.__getitem__
         try:
-            leaves = [b"".join([tokens[i] for i in ids[at : at + 4096]]) for at in range(0, len(ids), 4096)]
+            leaves = [b"".join(map(token, ids[at : at + 4096])) for at in range(0, len(ids), 4096)]
         except KeyError:
             return None
         return fold(leaves, bytes.__add__, b"")
@@ -203,8 +203,8 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", key: str
         for batch in batches:
             column, first, size, found = batch.column(1), 0, 0, []
             for i in range(len(column)):
-                own = column[i].as_py() if column[i].values is None else column[i].values.to_pylist()
-                found.append(None if own is None else voc.decode(own))
+                own = column[i].values
+                found.append(None if own is None or own.null_count else voc.decode(own.to_numpy().tolist()))
                 size += len(found[-1] or b"")
                 if size >= BATCH or i == len(column) - 1:
                     some = batch.slice(first, i + 1 - first)
