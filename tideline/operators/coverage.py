@@ -29,7 +29,8 @@ def _covered(rows: DataFrame, kind: Column, first: int, last: int) -> DataFrame:
 
 def _walks(registrations: DataFrame, backfill: DataFrame, cursors: DataFrame) -> DataFrame:
     walks = backfill.select(*KEY, "next_to", "done", "clamped_at", "covered_kinds")
-    return registrations.select(*KEY, "kinds").join(walks, KEY, "left").join(cursors.select("network", "cursor"), "network")
+    rows = registrations.select(*KEY, "kinds").join(walks, KEY, "left").join(cursors.select("network", "cursor"), "network", "left")
+    return rows.na.fill(0, ["cursor"])  # before the first commit: nothing is covered, and the answer says so
 
 
 def coverage(registrations: DataFrame, backfill: DataFrame, cursors: DataFrame, kind: str, first: int = 0, last: int = 0) -> DataFrame:

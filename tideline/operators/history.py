@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gap_id
-from .integrity import continuity_breaks
+from .integrity import continuity_breaks, sequence_gaps
 
 CHUNK, ANCHOR_AHEAD = 2000, 20
 KEY = ["network", "contract_id"]
@@ -42,14 +42,25 @@ def scan_chunk(rows: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFra
 
 
 def broken_chunks(ledgers: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:
-    """Chunks in which a ledger does not name its predecessor's hash, with the first such ledger; they must not be walked.
+    """Chunks that must not be walked, with the first ledger that is missing or does not name its predecessor's hash.
 
-    The first ledger of a chunk is not held against the one before the chunk.
+    A chunk is whole if all its ledgers are there and each but its first, which is not held against the one before
+    the chunk, follows its predecessor. Holes and breaks meet chunks by spans of ``size`` ledgers; what a chunk lacks at
+    either end of all ledgers is seen from their bounds.
     """
-    spans = F.sequence(F.expr(f"chunk_from div {size}"), F.expr(f"chunk_to div {size}"))
-    broken = continuity_breaks(ledgers).select("network", "ledger_sequence", F.expr(f"ledger_sequence div {size}").alias("_span"))
-    met = chunks.withColumn("_span", F.explode(spans)).join(broken, ["network", "_span"]).where("ledger_sequence > chunk_from and ledger_sequence <= chunk_to")
-    return met.groupBy(*KEY, "chunk_from", "chunk_to").agg(F.min("ledger_sequence").alias("ledger_sequence"))
+    span = lambda c: F.expr(f"{c} div {size}")
+    dealt = chunks.withColumn("_span", F.explode(F.sequence(span("chunk_from"), span("chunk_to"))))
+    gaps = sequence_gaps(ledgers).withColumn("_span", F.explode(F.sequence(span("from_sequence"), span("to_sequence"))))
+    holes = dealt.join(gaps, ["network", "_span"]).where("from_sequence <= chunk_to and to_sequence >= chunk_from")
+    holes = holes.withColumn("ledger_sequence", F.greatest("from_sequence", "chunk_from"))
+    broken = continuity_breaks(ledgers).select("network", "ledger_sequence", span("ledger_sequence").alias("_span"))
+    breaks = dealt.join(broken, ["network", "_span"]).where("ledger_sequence > chunk_from and ledger_sequence <= chunk_to")
+    ends = ledgers.groupBy("network").agg(F.min("ledger_sequence").alias("_lo"), F.max("ledger_sequence").alias("_hi"))
+    outside = chunks.join(ends, "network", "left").where("_lo is null or chunk_from < _lo or chunk_to > _hi")
+    outside = outside.withColumn("ledger_sequence", F.when(F.col("_lo").isNull() | (F.col("chunk_from") < F.col("_lo")), F.col("chunk_from")).otherwise(F.greatest(F.col("_hi") + 1, F.col("chunk_from"))))
+    columns = [*KEY, "chunk_from", "chunk_to", "ledger_sequence"]
+    found = holes.select(*columns).unionByName(breaks.select(*columns)).unionByName(outside.select(*columns))
+    return found.groupBy(*KEY, "chunk_from", "chunk_to").agg(F.min("ledger_sequence").alias("ledger_sequence"))
 
 
 def walk_chunks(rows: DataFrame, chunks: DataFrame, ledgers: DataFrame, backfill: DataFrame, size: int = CHUNK) -> tuple[DataFrame, DataFrame]:

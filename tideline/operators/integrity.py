@@ -9,19 +9,35 @@ from pyspark.sql import functions as F
 RING, RESET, BUCKET = 1000, 17_280, 1 << 16
 
 
-def continuity_breaks(ledgers: DataFrame) -> DataFrame:
-    """Ledgers that do not name their predecessor's hash. A self-join by number, so that no task sees all."""
-    before = ledgers.select("network", (F.col("ledger_sequence") + 1).alias("ledger_sequence"), F.col("hash").alias("expected"))
+def continuity_breaks(ledgers: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Ledgers that do not name their predecessor's hash. A join by number, so that no task sees all.
+
+    ``known`` (network, ledger_sequence, hash) are predecessors besides ``ledgers`` themselves.
+    """
+    hashes = ledgers.select("network", "ledger_sequence", "hash")
+    hashes = hashes if known is None else hashes.unionByName(known.select("network", "ledger_sequence", "hash")).distinct()
+    before = hashes.select("network", (F.col("ledger_sequence") + 1).alias("ledger_sequence"), F.col("hash").alias("expected"))
     joined = ledgers.join(before, ["network", "ledger_sequence"])
     return joined.where(~F.col("previous_hash").eqNullSafe(F.col("expected"))).select("network", "ledger_sequence", "previous_hash", "expected")
 
 
-def sequence_gaps(ledgers: DataFrame) -> DataFrame:
+def sequence_gaps(ledgers: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
     """Missing ranges between the ledgers of each network.
 
+    With bounds, ledgers outside of them do not count, and what is missing at either end of them is a gap as well.
     Numbers are compared within buckets; only one row a bucket is left for the edges.
     """
-    rows = ledgers.select("network", "ledger_sequence").distinct().withColumn("_b", F.expr(f"ledger_sequence div {BUCKET}"))
+    rows = ledgers.select("network", "ledger_sequence")
+    if first is not None:
+        rows = rows.where(F.col("ledger_sequence") >= first)
+    if last is not None:
+        rows = rows.where(F.col("ledger_sequence") <= last)
+    # a ledger just outside each bound, for every network that has ledgers at all
+    ends = [b for b in (None if first is None else first - 1, None if last is None else last + 1) if b is not None]
+    if ends:
+        outside = F.explode(F.array(*[F.lit(b).cast("long") for b in ends]))
+        rows = rows.unionByName(ledgers.select("network").distinct().select("network", outside.alias("ledger_sequence")))
+    rows = rows.distinct().withColumn("_b", F.expr(f"ledger_sequence div {BUCKET}"))
     inside = rows.withColumn("_next", F.lead("ledger_sequence").over(W.partitionBy("network", "_b").orderBy("ledger_sequence")))
     edges = rows.groupBy("network", "_b").agg(F.min("ledger_sequence").alias("_lo"), F.max("ledger_sequence").alias("ledger_sequence"))
     edges = edges.withColumn("_next", F.lead("_lo").over(W.partitionBy("network").orderBy("_b")))

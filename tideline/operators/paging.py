@@ -15,6 +15,8 @@ DEFAULT_LIMIT, MOST = 100, 1000
 VERSION = 1
 #: Ledgers within which rows are numbered at once.
 SPAN = 4096
+#: Columns whose order is that of the chain.
+CHAIN_IDS = ("id", "transfer_id")
 ORDERS = {
     "events": ["id"],
     "state": ["key_xdr", "durability"],
@@ -95,7 +97,7 @@ def paginate_all(rows: DataFrame, group: list[str], keys: list[str], limit: int
     Where ``keys`` begin with a chain-order id, rows are numbered within spans of ledgers and the counts of earlier
     spans are added, so that no task holds a whole group.
     """
-    span = F.expr(f"ledger_sequence div {SPAN}") if "id" in keys[0] and "ledger_sequence" in rows.columns else F.lit(0).cast("long")
+    span = F.expr(f"ledger_sequence div {SPAN}") if keys[0] in CHAIN_IDS and "ledger_sequence" in rows.columns else F.lit(0).cast("long")
     rows = rows.withColumn("_span", span)
     before = W.partitionBy(*group).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
     starts = rows.groupBy(*group, "_span").count().select(*group, "_span", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))

@@ -158,12 +158,16 @@ BODIES = {
       left join (select contract_id, cast(sum(n) as bigint) total, string_agg(nm || '=' || n, ',' order by nm) names from (select contract contract_id, nm, count(*) n from stored group by 1, 2) group by 1) using (contract_id)
       left join (select contract_id, count(*) states from ste where not deleted group by 1) using (contract_id)""",
     "L1_page": _page("tr", "id, amount", "id", 50),
+    "L2_paginate_accounts": """select contract_id, cast(ceil(n / 7) as int) page, count(*) n_rows, max_by(account_id, n) last_account_id from
+      (select *, row_number() over (partition by contract_id order by account_id) n from (select distinct contract_id, account_id from tl)) group by 1, 2""",
     "L2_paginate_all": """select contract_id, cast(ceil(n / 5) as int) page, count(*) n_rows, max_by(transfer_id, n) last_transfer_id, max_by(role, n) last_role from
       (select *, row_number() over (partition by contract_id order by transfer_id, role) n from mv) group by 1, 2""",
     "L3_resume_key": """select '{"version":1,"endpoint":"movements","network":"testnet","contract":"G4","limit":3,"role":"any","last":{"transfer_id":"' || transfer_id || '","role":"' || role || '"}}' resume_key
       from (select * from mv where contract_id = 'G4' order by transfer_id, role limit 3) order by transfer_id desc, role desc limit 1""",
     "L4_chain_order": "select contract_id, cast(ceil(n / 100) as int) page, count(*) n_rows, max(id) last_id from (select *, row_number() over (partition by contract_id order by id) n from st1) group by 1, 2",
     "I1_continuity_breaks": "select b.ledger_sequence, b.previous_hash, a.hash expected from led b join led a on b.ledger_sequence = a.ledger_sequence + 1 where b.previous_hash <> a.hash",
+    "I2_sequence_gaps_bounded": """with r as (select distinct o_orderkey::bigint s from orders where o_orderkey % 5 > 1), b as (select -1::bigint s union all select max(s) + 11 from r union all select s from r)
+      select s + 1 from_sequence, n - 1 to_sequence from (select s, lead(s) over (order by s) n from b) where n > s + 1""",
     "I2_sequence_gaps": "select s + 1 from_sequence, n - 1 to_sequence from (select ledger_sequence s, lead(ledger_sequence) over (order by ledger_sequence) n from led) where n > s + 1",
     "I3_record_gaps": "select id, from_sequence, to_sequence, case when from_sequence % 20 = 0 then 'recorded' else 'retention' end reason from gp group by all",
     "I4_open_gaps": "select id, from_sequence, to_sequence, coalesce(heal_next_to, to_sequence) heal_next_to from gp where not resolved",
@@ -178,6 +182,19 @@ BODIES = {
     "B2_plan_chunks": """select contract_id, greatest(target_from, c - 1999) chunk_from, c chunk_to from
       (select contract_id, target_from, unnest(range(next_to, target_from - 1, -2000)) c from bf where not done and next_to >= target_from)""",
     "B3_scan_chunk": "select contract_id, count(*) n from stw where ledger_sequence between 8500 and 9800 group by 1",
+    "B3_broken_chunks": """select contract_id, f chunk_from, t chunk_to, x ledger_sequence from
+      (select contract_id, f, t, min(x) x from (select *, unnest(range(f, t + 1)) x from (select contract_id, greatest(target_from, c - 499) f, c t from
+        (select contract_id, target_from, unnest(range(next_to, target_from - 1, -500)) c from bf where not done and next_to >= target_from)))
+        left join (select distinct o_orderkey::bigint o from orders where o_orderkey % 611 <> 0) h on h.o = x
+        left join (select distinct o_orderkey::bigint o from orders where o_orderkey % 611 <> 0) b on b.o = x - 1
+        where h.o is null or (x > f and b.o is not null and x % 1009 = 0) group by 1, 2, 3)""",
+    "B3_walk_chunks": """select contract_id, target_from, coalesce(low - 1, next_to) next_to, case when low is null then done else low - 1 < target_from end done, clamped_at, array_to_string(covered, ',') covered_kinds from bf
+      left join (select contract_id, min(f) low from (select contract_id, greatest(target_from, c - 499) f from (select contract_id, target_from, unnest(range(next_to, target_from - 1, -500)) c from bf
+        where not done and next_to >= target_from)) left join (select contract_id, max(t) stop from (select contract_id, f, t, min(x) x from (select *, unnest(range(f, t + 1)) x from (select contract_id, greatest(target_from, c - 499) f, c t from
+        (select contract_id, target_from, unnest(range(next_to, target_from - 1, -500)) c from bf where not done and next_to >= target_from)))
+        left join (select distinct o_orderkey::bigint o from orders where o_orderkey % 611 <> 0) h on h.o = x
+        left join (select distinct o_orderkey::bigint o from orders where o_orderkey % 611 <> 0) b on b.o = x - 1
+        where h.o is null or (x > f and b.o is not null and x % 1009 = 0) group by 1, 2, 3) group by 1) using (contract_id) where stop is null or f > stop group by 1) using (contract_id)""",
     "B4_clamp_at_wall": """select contract_id, target_from, case when hit and 9000 <= next_to then 8999 else next_to end next_to, done or hit done, case when hit then least(9000, next_to + 1) else clamped_at end clamped_at,
       array_to_string(covered, ',') covered_kinds from (select *, not done and target_from < 9000 and next_to >= target_from hit from bf)""",
     "B4_clamp_gaps": """select distinct 'gap:testnet:' || target_from || ':' || least(8999, next_to) id, target_from from_sequence, least(8999, next_to) to_sequence, 'retention' reason
@@ -199,6 +216,9 @@ BODIES = {
     "C1_coverage": """select contract_id, 'state' kind, d derived, case when d then greatest(case when k then next_to + 1 else 15000 end, 2000) else 0 end from_ledger, case when d then 14000 else 0 end::bigint to_ledger,
       d and w and case when k then not done else true end pending, case when d and k then clamped_at end clamped_at from
       (select reg.contract_id, list_contains(reg.kinds, 'state') d, bf.u is not null w, coalesce(list_contains(covered, 'state'), false) k, next_to, done, clamped_at from reg left join bf using (contract_id))""",
+    "C1_coverage_without_cursor": """select contract_id, 'events' kind, d derived, case when d then greatest(case when k then next_to + 1 else 0 end, 1) else 0 end from_ledger, 0::bigint to_ledger,
+      d and w and case when k then not done else true end pending, case when d and k then clamped_at end clamped_at from
+      (select reg.contract_id, list_contains(reg.kinds, 'events') d, bf.u is not null w, coalesce(list_contains(covered, 'events'), false) k, next_to, done, clamped_at from reg left join bf using (contract_id))""",
     "C2_coverage_by_kind": """select contract_id, kind, greatest(case when k then next_to + 1 else 15000 end, 1) from_ledger, 15000::bigint to_ledger, w and case when k then not done else true end pending,
       case when k then clamped_at end clamped_at, place::int place from
       (select reg.contract_id, kind, place, bf.u is not null w, coalesce(list_contains(covered, kind), false) k, next_to, done, clamped_at from reg left join bf using (contract_id)

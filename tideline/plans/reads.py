@@ -30,7 +30,8 @@ def vouched(
     """
     own = known_contract(registrations, contract)
     more = shown.groupBy("network", "contract_id").agg(F.max("has_more").alias("has_more"))
-    info = cov.coverage(own, backfill, cursors, kind, first, last).join(cursors.select("network", "cursor"), "network").join(more, ["network", "contract_id"], "left")
+    info = cov.coverage(own, backfill, cursors, kind, first, last).join(cursors.select("network", "cursor"), "network", "left").join(more, ["network", "contract_id"], "left")
+    info = info.na.fill(0, ["cursor"])
     info = info.withColumns({"has_more": F.coalesce("has_more", F.lit(False)), "first": F.lit(first), "last": F.lit(last)})
     columns = ["network", "contract_id", "from_ledger", "to_ledger", "pending", "clamped_at", "has_more", *(["status"] if scan else [])]
     return cov.scan_status(info).select(*columns).join(shown.drop("has_more"), ["network", "contract_id"], "left")

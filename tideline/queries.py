@@ -336,6 +336,13 @@ def L2_paginate_all(s, d):
     return paging.paginate_all(_movements(s, d), ["contract_id"], ["transfer_id", "role"], 5)
 
 
+@query
+def L2_paginate_accounts(s, d):
+    """Pages in the order of accounts, which is not that of the chain."""
+    rows = _lines(s, d).select("contract_id", "account_id", "ledger_sequence").groupBy("contract_id", "account_id").agg(F.max("ledger_sequence").alias("ledger_sequence"))
+    return paging.paginate_all(rows, ["contract_id"], paging.ORDERS["trustlines"], 7)
+
+
 @query
 def L3_resume_key(s, d):
     shown = paging.page(paging.equals(_movements(s, d), contract_id="G4"), ["transfer_id", "role"], 3)
@@ -358,6 +365,14 @@ def I2_sequence_gaps(s, d):
     return integrity.sequence_gaps(views.ledgers(s, d)).drop("network")
 
 
+@query
+def I2_sequence_gaps_bounded(s, d):
+    """Missing ranges of a span that begins before the first ledger and ends after the last one."""
+    rows = views.dense_ledgers(s, d).where("ledger_sequence % 5 > 1")
+    last = rows.agg(F.max("ledger_sequence")).first()[0] or 0
+    return integrity.sequence_gaps(rows, 0, last + 10).drop("network")
+
+
 @query
 def I3_record_gaps(s, d):
     """Gaps found again onto the half of them that is recorded."""
@@ -422,6 +437,23 @@ def B3_scan_chunk(s, d):
     return history.scan_chunk(rows, history.plan_chunks(walks, 500), 500).groupBy("contract_id").agg(F.count("*").alias("n"))
 
 
+@query
+def B3_broken_chunks(s, d):
+    """Chunks of 500 ledgers that have a hole or a break: every 611th ledger is missing, every 1009th names a wrong predecessor."""
+    rows = views.dense_ledgers(s, d).where("ledger_sequence % 611 <> 0")
+    before = F.md5(F.when(F.col("ledger_sequence") % 1009 == 0, F.lit("tampered")).otherwise((F.col("ledger_sequence") - 1).cast("string")))
+    return history.broken_chunks(rows.withColumn("previous_hash", before), history.plan_chunks(views.backfill(s, d), 500), 500).drop("network")
+
+
+@query
+def B3_walk_chunks(s, d):
+    """Walks after the chunks above their first hole or break, over the same ledgers."""
+    rows = views.dense_ledgers(s, d).where("ledger_sequence % 611 <> 0")
+    before = F.md5(F.when(F.col("ledger_sequence") % 1009 == 0, F.lit("tampered")).otherwise((F.col("ledger_sequence") - 1).cast("string")))
+    walks = views.backfill(s, d)
+    return _kinds_text(history.walk_chunks(views.raw_events(s, d), history.plan_chunks(walks, 500), rows.withColumn("previous_hash", before), walks, 500)[1]).select(*WALK)
+
+
 @query
 def B4_clamp_at_wall(s, d):
     return _kinds_text(history.clamp_at_wall(views.backfill(s, d), _wall(s))[1]).select(*WALK)
@@ -479,6 +511,12 @@ def C1_coverage(s, d):
     return coverage.coverage(views.registrations(s, d), views.backfill(s, d), _small_cursor(s), "state", 2000, 14_000).drop("network")
 
 
+@query
+def C1_coverage_without_cursor(s, d):
+    """Before the first commit: every registered contract has its answer."""
+    return coverage.coverage(views.registrations(s, d), views.backfill(s, d), _small_cursor(s).limit(0), "events", 1).drop("network")
+
+
 @query
 def C2_coverage_by_kind(s, d):
     return coverage.coverage_by_kind(views.registrations(s, d), views.backfill(s, d), _small_cursor(s)).drop("network", "derived")

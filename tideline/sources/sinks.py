@@ -1,11 +1,8 @@
-"""Idempotent appends, batch commits, exports."""
+"""Idempotent appends and exports."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rfc3339
@@ -18,7 +15,6 @@ IDEMPOTENCY = {
     "trustline_changes": ["network", "contract_id", "tx_hash", "change_index"],
     "movements": ["network", "contract_id", "transfer_id", "role"],
 }
-MARKER = "stream string, batch_id bigint, attempt string, replaces array<string>, network string, ledger_sequence bigint, hash string"
 
 
 def first_per_key(batch: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -39,77 +35,6 @@ def id_collisions(stored: DataFrame, table: str) -> DataFrame:
     return stored.groupBy("network", "id").agg(F.count_distinct(F.struct(*key)).alias("n")).where("n > 1")
 
 
-def _parquet(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A folder of Parquet files; no rows where it is missing."""
-    try:
-        rows = spark.read.schema(schema).parquet(path)
-        rows.schema  # noqa: B018
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-    return rows
-
-
-def markers(spark: SparkSession, root: str) -> DataFrame:
-    """A row for each finished commit: stream and batch, the attempt that its rows are filed under, and the cursor after it."""
-    return _parquet(spark, f"{root}/_commits", MARKER)
-
-
-def committed(spark: SparkSession, root: str) -> DataFrame:
-    """Markers that count: one attempt of each batch, without those whose rows a compaction took over."""
-    marks = markers(spark, root)
-    gone = marks.select(F.explode("replaces").alias("attempt"))
-    rest = [f.name for f in marks.schema.fields if f.name not in ("stream", "batch_id")]
-    one = marks.groupBy("stream", "batch_id").agg(F.min_by(F.struct(*rest), "attempt").alias("_m")).select("stream", "batch_id", "_m.*")
-    return one.join(gone, "attempt", "left_anti")
-
-
-def is_committed(spark: SparkSession, root: str, stream: str, batch_id: int) -> bool:
-    return not markers(spark, root).where((F.col("stream") == stream) & (F.col("batch_id") == batch_id)).isEmpty()
-
-
-def read_committed(spark: SparkSession, root: str, table: str, schema: str) -> DataFrame:
-    """Rows of batches whose marker is written; what a failed attempt left behind is not seen."""
-    rows = _parquet(spark, f"{root}/{table}", f"{schema}, attempt string")
-    return rows.join(committed(spark, root).select("attempt"), "attempt", "left_semi").drop("attempt")
-
-
-def commit_batch(
-    spark: SparkSession, root: str, tables: dict[str, DataFrame], batch_id: int, stream: str = "direct", cursor: tuple | None = None, replaces: tuple[str, ...] = ()
-) -> None:
-    """Write all tables of a batch into folders of a new attempt, and the marker that names the attempt last.
-
-    Nothing is overwritten: a crash between writes leaves an attempt that no marker names, and a batch that
-    is tried again gets folders of its own. ``stream`` tells the batches of different checkpoints apart.
-    """
-    attempt = f"{stream}-{batch_id}-{uuid.uuid4().hex}"
-    for table, rows in tables.items():
-        rows.write.parquet(f"{root}/{table}/attempt={attempt}")
-    mark = (stream, batch_id, attempt, list(replaces), *(cursor or (None, None, None)))
-    spark.createDataFrame([mark], MARKER).coalesce(1).write.mode("append").parquet(f"{root}/_commits")
-
-
-def compact(spark: SparkSession, root: str, schemas: dict[str, str], fold=lambda table, rows: rows) -> None:
-    """File the rows of all batches under one attempt; its marker, written last, replaces the others.
-
-    ``fold`` may reduce a table's rows. Markers stay, so that a replayed batch is still known; the folders of
-    replaced attempts can be removed once no reader is on them. Only the names of attempts reach the driver.
-    """
-    marks = committed(spark, root)
-    old = sorted(r["attempt"] for r in marks.select("attempt").collect())
-    if len(old) < 2:
-        return
-    names = spark.createDataFrame([(a,) for a in old], "attempt string")
-    frames = {}
-    for table, schema in schemas.items():
-        rows = _parquet(spark, f"{root}/{table}", f"{schema}, attempt string").join(names, "attempt", "left_semi").drop("attempt")
-        frames[table] = fold(table, rows)
-    top = marks.where("ledger_sequence is not null").orderBy(F.desc("ledger_sequence")).select("network", "ledger_sequence", "hash").first()
-    done = markers(spark, root).where("stream = 'compaction'").count()
-    commit_batch(spark, root, frames, done, "compaction", tuple(top) if top else None, tuple(old))
-
-
 def export_page(rows: DataFrame) -> DataFrame:
     """Rows as response text: times in RFC 3339 UTC, amounts as text, empty fields left out."""
     columns = []

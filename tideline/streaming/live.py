@@ -1,4 +1,4 @@
-"""Live extraction: landed events and entry changes in micro-batches, committed as one unit each."""
+"""Live extraction: whatever lands marks its ledgers, and marked ledgers are derived whole, as one commit a batch."""
 
 from __future__ import annotations
 
@@ -10,41 +10,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
 from ..functions import gap_id
-from ..operators import extract, integrity, snapshots
-from ..sources import landing, sinks
-
-EVENTS = (
-    "network string, id string, contract_id string, ledger_sequence bigint, closed_at timestamp, tx_hash string, tx_index int, op_index int, event_index int, "
-    "event_name string, topic0 string, topic1 string, topic2 string, topic3 string, topics_b64 array<string>, value_b64 string, raw_b64 string"
-)
-TRANSFERS = (
-    "network string, id string, contract_id string, ledger_sequence bigint, closed_at timestamp, tx_hash string, event_index int, transfer_type string, "
-    "`from` string, `to` string, amount string, asset string, to_muxed_id string"
-)
-MOVEMENTS = (
-    "network string, contract_id string, transfer_id string, role string, token_contract_id string, ledger_sequence bigint, transfer_type string, "
-    "counterparty string, amount string, asset string"
-)
-STATE_CHANGES = (
-    "network string, id string, contract_id string, ledger_sequence bigint, closed_at timestamp, tx_hash string, tx_index int, change_index int, change_type string, "
-    "key_xdr string, durability string, pre_value string, post_value string"
-)
-TRUSTLINE_CHANGES = (
-    "network string, id string, contract_id string, account_id string, asset string, ledger_sequence bigint, closed_at timestamp, tx_hash string, tx_index int, "
-    "change_index int, change_type string, pre_balance bigint, post_balance bigint, post_limit bigint, flags bigint"
-)
-GAPS = "id string, network string, from_sequence bigint, to_sequence bigint, reason string"
-CURSOR = "network string, ledger_sequence bigint, hash string"
-SCHEMAS = {
-    "events": EVENTS, "transfers": TRANSFERS, "movements": MOVEMENTS, "state_changes": STATE_CHANGES, "trustline_changes": TRUSTLINE_CHANGES,
-    # the latest change of each key in each batch; state() and trustlines() fold them
-    "state_latest": STATE_CHANGES, "trustline_latest": TRUSTLINE_CHANGES, "hashes": CURSOR, "gaps": GAPS,
-}
-LATEST = {
-    "state_changes": ("state_latest", ["network", "contract_id", "key_xdr", "durability"], "post_value"),
-    "trustline_changes": ("trustline_latest", ["network", "contract_id", "account_id"], "post_balance"),
-}
-ASSETS = "network string, asset string, contract_id string"
+from ..jobs.feed import DATA_SETS, Feed, counted, heal, healed_gaps, new_rows, open_store, snapshot
+from ..operators import extract, integrity
+from ..sources import landing
+from ..sources.landing import LedgerSet
+from ..sources.store import LEDGER, Store
 
 
 class ChainDiverged(RuntimeError):
@@ -55,11 +25,15 @@ class ChainDiverged(RuntimeError):
 class Live:
     """Landing folder (ledgers, transactions, raw_events, raw_changes, assets, registrations), store folder, network.
 
-    A batch of events says which ledgers to derive: those after the cursor, to its last one that has landed, and
-    late ones that it names itself. Their events and entry changes are read from the landing folder, whole
-    ledgers at a time, so that a transaction's rows are numbered alike however its files are dealt to batches.
-    Ledgers that are missing after the cursor are recorded as gaps with the batch; ``strict`` refuses it instead.
-    ``raw_changes`` and ``assets`` may be missing, where nobody lands them.
+    Files of all four tables with ledgers form one stream, of which only the ledgers are read: they are *dirty*. A dirty
+    ledger is derived once its own row has landed, from all that has landed of it; until then it waits, and landing
+    marks it again. What lands late therefore changes its ledger however late it is, and the result does not depend on
+    how files are dealt to batches. A ledger that was derived from the same rows before is left alone; one of which
+    more has landed is derived anew, and its older rows are replaced in the same commit.
+
+    Ledgers that are missing between derived ones are recorded as gaps; ``strict`` refuses such a batch instead. When
+    ledgers of a gap land, the gap is healed as far as they reach, and walks that were clamped above it follow. Ledgers
+    below ``start`` are left to history walks. ``raw_changes`` and ``assets`` may be missing, where nobody lands them.
     """
 
     spark: SparkSession
@@ -67,113 +41,133 @@ class Live:
     store: str
     network: str
     strict: bool = False
+    start_at: int = 0
+
+    def __post_init__(self) -> None:
+        self.feed = Feed(self.spark, self.landing, self.network)
+        self.tables: Store = open_store(self.spark, self.store)
 
     def stored(self, table: str) -> DataFrame:
-        return sinks.read_committed(self.spark, self.store, table, SCHEMAS[table])
+        return self.tables.read(table)
 
     def cursor(self) -> DataFrame:
-        """The last ledger of each network, as the markers have it."""
-        marks = sinks.committed(self.spark, self.store).where("ledger_sequence is not null")
-        return integrity.advance_cursor(marks.select("network", "ledger_sequence", "hash"))
+        """The last ledger of each network."""
+        return self.tables.read("cursors")
 
-    def state(self) -> DataFrame:
-        return snapshots.state_snapshot(self.stored("state_latest"))
+    def state(self, contract: str | None = None) -> DataFrame:
+        return snapshot(self.tables, "state_latest", contract and (self.network, contract))
 
-    def trustlines(self) -> DataFrame:
-        return snapshots.trustline_snapshot(self.stored("trustline_latest"))
+    def trustlines(self, contract: str | None = None) -> DataFrame:
+        return snapshot(self.tables, "trustline_latest", contract and (self.network, contract))
 
     def hashes(self) -> DataFrame:
         """The hash record: the last ledgers of each network."""
-        return integrity.prune_hash_ring(self.stored("hashes").distinct())
+        return integrity.prune_hash_ring(self.tables.read("hashes").distinct())
 
     def gaps(self) -> DataFrame:
-        return sinks.first_per_key(self.stored("gaps"), ["id"], ["from_sequence"])
-
-    def compact(self) -> None:
-        """File all batches as one, the latest change of each key and the last hashes only. Run it between batches."""
+        return self.tables.read("gaps")
 
-        def fold(table: str, rows: DataFrame) -> DataFrame:
-            for latest, key, value in LATEST.values():
-                if table == latest:
-                    return _latest_changes(rows, key, value)
-            return integrity.prune_hash_ring(rows.distinct()) if table == "hashes" else rows
+    def walks(self) -> DataFrame:
+        return self.tables.read("walks")
 
-        sinks.compact(self.spark, self.store, SCHEMAS, fold)
+    def compact(self, fanout: int = 8) -> list[str]:
+        """Merge commits of like size. Run it between batches."""
+        return self.tables.compact(fanout)
 
-    def _landed(self, name: str, schema: str, first: int, last: int, identity: list[str] | None = None) -> DataFrame:
-        """Landed rows of the ledgers from ``first`` to ``last``; rows that landed again count once."""
-        rows = landing.read_ledgers(sinks._parquet(self.spark, f"{self.landing}/{name}", schema), first, last).where(F.col("network") == self.network)
-        return rows.dropDuplicates([*extract.TX, *identity]) if identity else rows
+    def _chain_holds(self, near: LedgerSet, known: DataFrame) -> None:
+        """Every landed ledger of ``near`` names the hash of the one before it, and none is there with two hashes."""
+        rows = self.feed.of("ledgers", near).select(*LEDGER, "hash", "previous_hash")
+        forked = rows.select(*LEDGER, "hash").unionByName(known.join(near.frame, LEDGER, "left_semi")).groupBy(*LEDGER).agg(F.count_distinct("hash").alias("n")).where("n > 1").select(*LEDGER)
+        broken = integrity.continuity_breaks(rows, known).select(*LEDGER).unionByName(forked).orderBy("ledger_sequence").first()
+        if broken is not None:
+            raise ChainDiverged(f"ledger {broken['ledger_sequence']} does not follow its predecessor")
 
     def process(self, batch: DataFrame, batch_id: int, stream: str | None = None) -> None:
-        """Check the chain, derive, drop what is stored already, commit. A batch whose marker is written is left alone.
+        """Check the chain, derive the dirty ledgers of a batch (network, ledger_sequence), commit.
 
-        ``stream`` names the run of batches; a streaming query's own id if not given, which a new checkpoint changes.
+        A batch whose marker is written is left alone. ``stream`` names the run of batches; a streaming query's own id
+        if not given, which a new checkpoint changes.
         """
-        spark = self.spark
-        stream = stream or spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
-        if sinks.is_committed(spark, self.store, stream, batch_id):
-            return
-        named = batch.where(F.col("network") == self.network).select("network", "ledger_sequence").distinct()
-        bounds = named.agg(F.min("ledger_sequence").alias("lo"), F.max("ledger_sequence").alias("hi")).first()
-        if bounds["lo"] is None:
+        stream = stream or self.spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+        with self.tables.pinned() as store:
+            if not store.is_committed(stream, batch_id):
+                self._derive(batch, batch_id, stream)
+
+    def _derive(self, batch: DataFrame, batch_id: int, stream: str) -> None:
+        store, staged = self.tables, self.tables.staged
+        dirty = batch.where((F.col("network") == self.network) & (F.col("ledger_sequence") >= self.start_at)).select(*LEDGER).distinct()
+        dirty = LedgerSet.of(staged(dirty, "dirty"))
+        if not dirty.buckets:
             return
+        around = F.explode(F.array(*[F.col("ledger_sequence") + k for k in (-1, 0, 1)])).alias("ledger_sequence")
+        near = LedgerSet.of(staged(dirty.frame.select("network", around).distinct(), "near"))
         cursor = self.cursor().where(F.col("network") == self.network).first()
-        # ledgers without events are read too, so that the chain goes on from the cursor
-        after = bounds["lo"] if cursor is None else cursor["ledger_sequence"] + 1
-        first, last = min(bounds["lo"], after), bounds["hi"]
-        ledgers = self._landed("ledgers", schemas.LEDGERS, first, last).dropDuplicates(["network", "ledger_sequence", "hash"])
-        known = self.cursor().select("network", "ledger_sequence", "hash", F.lit(None).cast("string").alias("previous_hash"))
-        chain = ledgers.select("network", "ledger_sequence", "hash", "previous_hash").unionByName(known.where(F.col("ledger_sequence") < first))
-        broken = integrity.continuity_breaks(chain).orderBy("ledger_sequence").first()
-        if broken is not None:
-            raise ChainDiverged(f"ledger {broken['ledger_sequence']} does not follow its predecessor")
-        fresh = ledgers.where(F.col("ledger_sequence") >= after)
-        missing = integrity.sequence_gaps(fresh.unionByName(known.where(F.col("ledger_sequence") == after - 1), allowMissingColumns=True))
-        if self.strict and not missing.isEmpty():
-            raise ChainDiverged(f"ledgers are missing after {after - 1}")
-        gaps = missing.select(gap_id(F.col("network"), F.col("from_sequence"), F.col("to_sequence")).alias("id"), "network", "from_sequence", "to_sequence", F.lit("not landed").alias("reason"))
-        # a ledger is ready once it has landed; events of one that has not wait for the batch that reaches it
-        ready = fresh.select("network", "ledger_sequence").unionByName(named.where(F.col("ledger_sequence") < after)).distinct()
-        whole = lambda name, schema, place: self._landed(name, schema, first, last, place).join(ready, ["network", "ledger_sequence"], "left_semi")
-        transactions = whole("transactions", schemas.TRANSACTIONS, [])
-        changes = extract.successful_only(extract.change_index(whole("raw_changes", schemas.RAW_CHANGES, ["pos_in_tx"])), transactions)
-        registered = landing.registration_snapshot(spark, f"{self.landing}/registrations", self.network)  # as it is now
-        indexed = extract.successful_only(extract.event_index(whole("raw_events", schemas.RAW_EVENTS, ["op_index", "pos_in_op"])), transactions)
-        envelopes = extract.event_envelope(extract.contract_events_only(indexed))
-        decoded = extract.decoded(envelopes)
-        made = {
-            "events": extract.watched(envelopes.where("body_version = 0"), registered, "events"),
-            "transfers": extract.watched(decoded, registered, "transfers"),
-            "movements": extract.attribute_movements(decoded, registered),
-            "state_changes": extract.derive_state_changes(changes, registered),
-            "trustline_changes": extract.derive_trustline_changes(changes, sinks._parquet(spark, f"{self.landing}/assets", ASSETS), registered),
-        }
-        tables = {"gaps": sinks.new_rows(gaps, self.stored("gaps"), ["id"], ["from_sequence"])}
-        for name, rows in made.items():
-            columns = [c.name for c in self.stored(name).schema]
-            order = ["transfer_id"] if name == "movements" else ["id"]
-            # a key belongs to one ledger: stored rows of other ledgers need not be read
-            there = landing.read_ledgers(self.stored(name), first, last)
-            tables[name] = sinks.new_rows(rows.select(*columns), there, sinks.IDEMPOTENCY[name], order)
-        for name, (latest, key, value) in LATEST.items():
-            tables[latest] = _latest_changes(tables[name], key, value)
-        tables["hashes"] = ledgers.select("network", "ledger_sequence", "hash")
-        top = integrity.advance_cursor(self.cursor(), ledgers).where(F.col("network") == self.network).first()
-        sinks.commit_batch(spark, self.store, tables, batch_id, stream, (top["network"], top["ledger_sequence"], top["hash"]) if top else None)
+        known = landing.of_ledgers(store.rows("hashes"), near).select(*LEDGER, "hash").distinct()
+        self._chain_holds(near, known)
+
+        landed = self.feed.of("ledgers", dirty).select(*LEDGER, "hash")
+        digests = staged(self.feed.digests(LedgerSet(landed.select(*LEDGER), dirty.buckets, dirty.first, dirty.last)), "digests")
+        before = landing.of_ledgers(store.rows("derived"), dirty).groupBy(*LEDGER).agg(F.max_by("digest", "version").alias("_before"))
+        changed = staged(digests.join(before, LEDGER, "left").where("_before is null or _before <> digest"), "changed")
+        todo = LedgerSet.of(changed)
+        again = changed.where("_before is not null").select(*LEDGER)
+        replaced = None if again.isEmpty() else again.select(F.lit(None).cast("string").alias("table"), "network", F.col("ledger_sequence").alias("first"), F.col("ledger_sequence").alias("last"))
+
+        registered = staged(self.feed.registrations(), "registrations")  # as they are now
+        made, audit = self.feed.derive(todo, registered, store)
+        if replaced is not None:
+            made = self._with_rows_of_others(made, todo, again, registered)
+        tables = new_rows(store, made, todo, again if replaced is not None else None)
+        tables["hashes"] = staged(landed.join(todo.frame, LEDGER, "left_semi"), "hashes")
+        tables["derived"] = changed.drop("_before")
+
+        ends = todo.frame.agg(F.min("ledger_sequence"), F.max("ledger_sequence")).first()
+        if ends[0] is not None:
+            gaps = staged(self._missing(todo.frame, cursor), "gaps")
+            if self.strict and not gaps.isEmpty():
+                raise ChainDiverged(f"ledgers are missing around {ends[0]} to {ends[1]}")
+            healed = staged(healed_gaps(self.gaps(), store.rows("derived").select(*LEDGER).unionByName(todo.frame)), "healed")
+            follow = heal(store, healed)
+            columns = self.gaps().columns
+            added = integrity.record_gaps(self.gaps().limit(0), gaps.join(self.gaps().select("id"), "id", "left_anti"))
+            tables["gaps"], tables["walks"] = added.select(*columns).unionByName(follow["gaps"].select(*columns)), follow["walks"]
+            tables["cursors"] = self._cursor_after(tables["hashes"], cursor, ends[0])
+        store.commit(tables, stream, batch_id, replaced, lambda: counted(audit))
+
+    def _with_rows_of_others(self, made: dict[str, DataFrame], todo: LedgerSet, again: DataFrame, registered: DataFrame) -> dict[str, DataFrame]:
+        """``made`` and, of ledgers that are derived anew, the stored rows of contracts that are not registered any more."""
+        out = {}
+        for name, kind in DATA_SETS.items():
+            columns = self.stored(name).columns
+            there = landing.of_ledgers(self.tables.rows(name), todo).join(again, LEDGER, "left_semi")
+            others = there.join(extract.of_kind(registered, kind), ["network", "contract_id"], "left_anti").select(*columns)
+            out[name] = made[name].unionByName(others) if name in made else others
+        return out
+
+    def _missing(self, todo: DataFrame, cursor) -> DataFrame:
+        """Gaps that this batch opens: between the cursor and what lies above it, and between what lies below the first ledger and that."""
+        if cursor is None:
+            missing = integrity.sequence_gaps(todo)
+        else:
+            edge = lambda k: self.spark.createDataFrame([(self.network, k)], "network string, ledger_sequence bigint")
+            above = integrity.sequence_gaps(todo.where(F.col("ledger_sequence") > cursor["ledger_sequence"]).unionByName(edge(cursor["ledger_sequence"])))
+            below = integrity.sequence_gaps(todo.where(F.col("ledger_sequence") < cursor["base"]).unionByName(edge(cursor["base"])))
+            missing = above.unionByName(below)
+        return missing.select(
+            gap_id(F.col("network"), F.col("from_sequence"), F.col("to_sequence")).alias("id"), "network", "from_sequence", "to_sequence", F.lit("not landed").alias("reason"), F.current_timestamp().alias("recorded_at")
+        )
+
+    def _cursor_after(self, hashes: DataFrame, cursor, first: int) -> DataFrame:
+        now = self.cursor().where(F.col("network") == self.network)
+        base = first if cursor is None else min(first, cursor["base"])
+        return integrity.advance_cursor(now, hashes).withColumn("base", F.lit(base).cast("long"))
 
     def start(self, checkpoint: str, max_files: int = 1000) -> StreamingQuery:
         """Run over all that has landed; call again, or use another trigger, to follow the tip."""
-        source = landing.stream_table(self.spark, f"{self.landing}/raw_events", schemas.RAW_EVENTS, max_files)
+        source = landing.stream_dirty(self.spark, self.landing, list(schemas.LANDING), max_files)
         return source.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _latest_changes(rows: DataFrame, key: list[str], value: str) -> DataFrame:
-    rest = [c for c in rows.columns if c not in key]
-    last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("ledger_sequence", "id", value)).alias("_s"))
-    return last.select(*[F.col(c) if c in key else F.col(f"_s.{c}").alias(c) for c in rows.columns])
-
-
 def streaming_snapshot(changes: DataFrame) -> DataFrame:
     """Latest value of each key of a stream of changes, for output mode ``update``.
 
