@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 #: Bytes of the longest string whose halves are kept: most halves of a word have been seen in other words.
 HALF = 5
 #: Strings and pairs of tokens, and matches, whose results are kept in a Python worker, and the longest of them.
-KEPT, KEPT_MATCHES, LONGEST_STRING, LONGEST_MATCH = 1 << 18, 1 << 19, 24, 64
+KEPT, KEPT_MATCHES, LONGEST_STRING, LONGEST_MATCH = 1 << 18, 1 << 18, 24, 64
 #: Characters of texts in one output batch; longer texts are split by the pattern piece by piece.
 BATCH = 1 << 21
 
