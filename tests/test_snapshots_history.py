@@ -4,6 +4,7 @@ from tideline.functions import snake_case
 from tideline.operators import coverage, history, integrity, paging, snapshots
 from tideline.schemas import BACKFILL, GAPS
 from tideline.sources import sinks
+from tideline.sources.store import Store
 
 CHANGE = "network string, contract_id string, key_xdr string, durability string, id string, ledger_sequence long, change_type string, post_value string"
 
@@ -156,19 +157,21 @@ def test_replay_is_a_no_op(spark):
 
 
 def test_uncommitted_batches_are_not_seen(spark, tmp_path):
-    root, rows = f"{tmp_path}/store", spark.createDataFrame([("x",)], "id string")
-    assert sinks.read_committed(spark, root, "t", "id string").isEmpty()
-    sinks.commit_batch(spark, root, {"t": rows}, 0)
-    rows.write.parquet(f"{root}/t/attempt=direct-1-dead")  # a commit that died before its marker
-    assert sinks.read_committed(spark, root, "t", "id string").count() == 1
-    sinks.commit_batch(spark, root, {"t": rows}, 1)
-    sinks.commit_batch(spark, root, {"t": rows}, 1)  # two drivers that both finish: one attempt counts
-    assert sinks.read_committed(spark, root, "t", "id string").count() == 2
-    sinks.commit_batch(spark, root, {"t": rows}, 1, stream="another checkpoint")
-    assert sinks.read_committed(spark, root, "t", "id string").count() == 3
-    sinks.compact(spark, root, {"t": "id string"})
-    assert sinks.committed(spark, root).count() == 1 and sinks.read_committed(spark, root, "t", "id string").count() == 3
-    assert sinks.is_committed(spark, root, "direct", 1) and not sinks.is_committed(spark, root, "direct", 2)
+    root, rows = f"{tmp_path}/store", spark.createDataFrame([("n", 1, "x")], "network string, ledger_sequence bigint, id string")
+    store = Store(spark, root, {"t": "network string, ledger_sequence bigint, id string"}, {})
+    assert store.read("t").isEmpty()
+    store.commit({"t": rows}, "direct", 0)
+    # a commit that died before its marker
+    rows.selectExpr("*", "2L version", "0L bucket").write.partitionBy("bucket").parquet(f"{root}/t/attempt=000000000002-direct-1-dead")
+    assert store.read("t").count() == 1
+    store.commit({"t": rows}, "direct", 1)
+    store.commit({"t": rows}, "direct", 1)  # two drivers that both finish: one attempt counts
+    assert store.read("t").count() == 2
+    store.commit({"t": rows}, "another checkpoint", 1)
+    assert store.read("t").count() == 3
+    store.compact(fanout=3)
+    assert len(store.log()) == 1 and store.read("t").count() == 3
+    assert store.is_committed("direct", 1) and not store.is_committed("direct", 2)
 
 
 def test_feed_equivalence_compares_every_transaction_and_change(spark):

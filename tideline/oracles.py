@@ -166,8 +166,8 @@ BODIES = {
       from (select * from mv where contract_id = 'G4' order by transfer_id, role limit 3) order by transfer_id desc, role desc limit 1""",
     "L4_chain_order": "select contract_id, cast(ceil(n / 100) as int) page, count(*) n_rows, max(id) last_id from (select *, row_number() over (partition by contract_id order by id) n from st1) group by 1, 2",
     "I1_continuity_breaks": "select b.ledger_sequence, b.previous_hash, a.hash expected from led b join led a on b.ledger_sequence = a.ledger_sequence + 1 where b.previous_hash <> a.hash",
-    "I2_sequence_gaps_bounded": """with r as (select distinct o_orderkey::bigint s from orders where o_orderkey % 5 > 1), b as (select -1::bigint s union all select max(s) + 11 from r union all select s from r)
-      select s + 1 from_sequence, n - 1 to_sequence from (select s, lead(s) over (order by s) n from b) where n > s + 1""",
+    "I2_sequence_gaps_bounded": """select s + 1 from_sequence, n - 1 to_sequence from (select s, lead(s) over (order by s) n from (select distinct o_orderkey::bigint s from orders where o_orderkey % 5 > 1
+      union all select max(o_orderkey)::bigint + 11 from orders where o_orderkey % 5 > 1 union all select -1)) where n > s + 1""",
     "I2_sequence_gaps": "select s + 1 from_sequence, n - 1 to_sequence from (select ledger_sequence s, lead(ledger_sequence) over (order by ledger_sequence) n from led) where n > s + 1",
     "I3_record_gaps": "select id, from_sequence, to_sequence, case when from_sequence % 20 = 0 then 'recorded' else 'retention' end reason from gp group by all",
     "I4_open_gaps": "select id, from_sequence, to_sequence, coalesce(heal_next_to, to_sequence) heal_next_to from gp where not resolved",

@@ -19,11 +19,13 @@ import time
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from .landing import bucket_of, parquet, read_ledgers
 
@@ -31,6 +33,8 @@ MARKER = "version bigint, stream string, batch_id bigint, attempt string, replac
 #: Marks that take rows of older versions out: of one table, or of all where it is null.
 REPLACED = "table string, network string, first bigint, last bigint"
 LEDGER = ["network", "ledger_sequence"]
+#: Tables of a commit that are written at a time.
+WRITERS = 4
 
 
 def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -159,9 +163,12 @@ class Store:
         version = max((r["version"] for r in self._marks()), default=0) + 1
         batch_id = version if batch_id is None else batch_id
         attempt = f"{version:012d}-{stream}-{batch_id}-{uuid.uuid4().hex}"
-        seen = {}
-        for table, rows in {**tables, **({} if replaced is None else {"_replaced": replaced})}.items():
-            seen[table] = self._write(table, rows if versioned else rows.withColumn("version", F.lit(version).cast("long")), attempt)
+        every = {**tables, **({} if replaced is None else {"_replaced": replaced})}
+        # tables are written side by side: most are small, and none needs another
+        with ThreadPoolExecutor(WRITERS) as pool:
+            write = inheritable_thread_target(self.spark)(lambda table, rows: self._write(table, rows if versioned else rows.withColumn("version", F.lit(version).cast("long")), attempt))
+            begun = {table: pool.submit(write, table, rows) for table, rows in every.items()}
+            seen = {table: done.result() for table, done in begun.items()}
         n_rows = {table: int(found.get.get("n", 0)) for table, found in seen.items()}
         mark = (version, stream, batch_id, attempt, list(replaces), n_rows, {k: int(v or 0) for k, v in counters().items()})
         self.spark.createDataFrame([mark], MARKER).coalesce(1).write.mode("append").parquet(f"{self.root}/_commits")
