@@ -190,6 +190,60 @@ def test_tree_prunes_and_includes():
     assert all(centres[a] == centres[b] for a, b in compare + linked)
 
 
+def vectors_in_groups(groups: int, size: int, alone: int, spread: float, dims: int = 32) -> np.ndarray:
+    rng = np.random.default_rng(groups + dims)
+    x = np.repeat(rng.normal(size=(groups, dims)), size, axis=0) + rng.normal(size=(groups * size, dims)) * spread
+    x = np.concatenate([x, rng.normal(size=(alone, dims))])
+    return (x / np.linalg.norm(x, axis=1)[:, None])[rng.permutation(len(x))]
+
+
+def test_levels_of_a_block_are_nested_separated_and_covering():
+    x = vectors_in_groups(40, 12, 100, 0.03)
+    path = covertree.descent(x)
+    for level, radius in enumerate(covertree.LEVELS):
+        nodes = np.unique(path[:, level])
+        assert (path[nodes, level] == nodes).all() and (level == 0 or np.isin(path[:, level - 1], nodes).all())
+        assert np.sqrt(((x - x[path[:, level]]) ** 2).sum(axis=1)).max() <= radius + 1e-7
+        if level:  # within their parent, as in the tree over the sample
+            parent = path[nodes, level - 1]
+            assert (path[path[:, level], level - 1] == path[:, level - 1]).all()
+        else:
+            parent = np.zeros(len(nodes))
+        apart = covertree._distances(x[nodes], x[nodes]) + 9 * (parent[:, None] != parent) + 9 * np.eye(len(nodes))
+        assert apart.min() > radius
+
+
+@pytest.mark.parametrize("x", [vectors_in_groups(40, 12, 100, 0.01), vectors_in_groups(3, 300, 20, 0.04, 8), vectors_in_groups(9, 60, 500, 0.1, 3), vectors_in_groups(5, 40, 0, 0.3, 2), vectors_in_groups(1, 1, 0, 0)])
+@pytest.mark.parametrize("step", [0, 1500, 10**9])
+def test_dual_traversal_against_all_pairs(monkeypatch, x, step):
+    monkeypatch.setattr(covertree, "STEP", step)
+    monkeypatch.setattr(covertree, "ROWS", 64)
+    count = np.random.default_rng(0).integers(1, 4, len(x))
+    true = x @ x.T >= 0.98
+    np.fill_diagonal(true, False)
+    half = len(x) // 2
+    sides = [(np.arange(len(x)), np.arange(len(x)))] + ([(np.arange(half), np.arange(half, len(x)))] if half else [])
+    for a, b in sides:
+        path = np.zeros((len(x), len(covertree.LEVELS)), dtype=np.int64)
+        for rows in (a, b):
+            path[rows] = rows[covertree.descent(x[rows])]
+        links, p, q, work = covertree.dual(x, path, count, a, b, 0.98)
+        own = np.zeros_like(true)
+        own[np.ix_(a, b)] = own[np.ix_(b, a)] = True
+        own &= true
+        assert (links == own @ count).all()
+        nodes = range(len(x))
+        assert brute.groups(nodes, zip(p.tolist(), q.tolist())) == brute.groups(nodes, zip(*np.nonzero(own)))
+
+
+def test_dual_traversal_spares_pairs_of_grouped_vectors():
+    """Groups that fit the threshold are counted whole, and those apart pruned whole: a centre stands for its group."""
+    x = vectors_in_groups(100, 20, 0, 0.005)
+    every = np.arange(len(x))
+    _, p, q, work = covertree.dual(x, covertree.descent(x), np.ones(len(x), dtype=np.int64), every, every, 0.98)
+    assert work <= 100 * 100 + 100 and len(set(brute.groups(every.tolist(), zip(p.tolist(), q.tolist())).values())) == 100
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 

@@ -5,13 +5,17 @@ sample: its levels are nested nets with halving radii, whose points are vectors,
 apart from each other and within the parent's radius of their parent; a parent is its own first child.
 Points with few vectors of the sample around them stay in their parent's bucket. Every vector goes down
 the tree to its bucket, and each bucket's covering radius is the greatest distance found among all of its
-vectors. The dual traversal then walks pairs of nodes: a pair whose centres are farther apart than both
-radii and the threshold is pruned with all below it; a pair so close that every two vectors must be linked
-is counted without comparing; what is left is compared exactly, in blocks of bounded size.
+vectors. Buckets are cut into blocks of bounded size, and each block goes on with the levels below, over all of
+its vectors, down to single ones (:func:`descent`).
+
+The dual traversal then walks pairs of nodes, first of the buckets, then of the blocks of those that are
+left: a pair whose centres are farther apart than both radii and the threshold is pruned with all below it; a
+pair so close that every two vectors must be linked is counted without comparing; pairs of single vectors are
+compared exactly.
 
 Vectors that are nobody's neighbours, such as random ones in many dimensions, are all farther apart than any
-radius that could tell them from each other: there a cover tree has one level and bounds prune nothing. Such
-vectors of one label are compared block by block.
+radius that could tell them from each other: there each is a node of its own, and a comparison of two nodes is one of
+two vectors.
 """
 
 from __future__ import annotations
@@ -33,6 +37,10 @@ SAMPLE = 4096
 #: A net's point becomes a node if so many of the sample are its own.
 LEAST = 16
 FINEST = 0.0625
+#: Radii of the levels inside a block; below the last are the vectors.
+LEVELS = (0.5, 0.25, 0.125, 0.0625)
+#: Products of vectors that take as long as going down one pair of nodes. Decides how, never what is found.
+STEP = 1500
 #: Vectors in a block of a comparison, and rows of it that are multiplied at a time.
 BLOCK, ROWS = 4096, 512
 SLACK = 1e-7
@@ -131,6 +139,111 @@ def traverse(tree: Tree, covering: np.ndarray, threshold: float) -> tuple[list[t
     return compare, linked
 
 
+def _net(x: np.ndarray, radius: float, first: int) -> np.ndarray:
+    """The net's point that each vector belongs to: ``first``, then greedily whatever no earlier point covers."""
+    near = np.concatenate([x[i : i + ROWS] @ x.T >= 1 - radius * radius / 2 for i in range(0, len(x), ROWS)])
+    owner = np.full(len(x), -1)
+    for i in [first, *range(len(x))]:
+        if owner[i] < 0:
+            near[i, i] = True
+            owner[near[i] & (owner < 0)] = i
+    return owner
+
+
+def descent(x: np.ndarray) -> np.ndarray:
+    """For each unit vector its node on every level of ``LEVELS``, as the row of the node's centre; nested nets over all of ``x``."""
+    path = np.repeat(np.arange(len(x))[:, None], len(LEVELS), axis=1)  # a vector alone is its own node from there on
+    cells = [(np.arange(len(x)), 0)] if len(x) > 1 else []
+    for level, radius in enumerate(LEVELS):
+        below = []
+        for own, centre in cells:
+            owner = own[_net(x[own], radius, int(np.searchsorted(own, centre)))]
+            path[own, level] = owner
+            found, sizes = np.unique(owner, return_counts=True)
+            below += [(own[owner == c], int(c)) for c in found[sizes > 1]]
+        cells = below
+    return path
+
+
+def dual(x: np.ndarray, path: np.ndarray, count: np.ndarray, a: np.ndarray, b: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Links of the rows ``a`` of ``x`` (unit vectors) with its rows ``b``: the same rows, or others.
+
+    ``path`` has the node of each row on every level (:func:`descent`), ``count`` how often its vector is there. Gives
+    for each row how many rows it is linked to, pairs of rows that connect what is linked, and how many products of two
+    vectors it took. Where bounds leave so many pairs of nodes that going down costs more than comparing all
+    that is below, that is compared.
+    """
+    threshold, last = float(np.sqrt(2 - 2 * cosine)), path.shape[1] - 1
+    links, met, work = np.zeros(len(x), dtype=np.int64), [(a[:0], b[:0])], 0
+    cover, order, starts, ends = [], [], [], []
+    for level in range(path.shape[1]):
+        node = path[:, level]
+        cover.append(np.zeros(len(x)))
+        np.maximum.at(cover[-1], node, np.sqrt(((x - x[node]) ** 2).sum(axis=1)))
+        order.append(np.argsort(node, kind="stable"))
+        size = np.bincount(node, minlength=len(x))
+        ends.append(np.cumsum(size))
+        starts.append(ends[-1] - size)
+
+    def members(level: int, node: int) -> np.ndarray:
+        return order[level][starts[level][node] : ends[level][node]]
+
+    def link(close: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+        i, j = np.nonzero(close)
+        np.add.at(links, p[i], count[q[j]])
+        np.add.at(links, q[j], count[p[i]])
+        met.append((p[i], q[j]))
+
+    def exact(p: np.ndarray, q: np.ndarray, upper: bool) -> int:
+        """Compare rows ``p`` with ``q``; with ``upper``, where ``q`` begins with ``p``, only with later ones."""
+        done = 0
+        for at in range(0, len(p), ROWS):
+            part, other = p[at : at + ROWS], q[at:] if upper else q
+            close = x[part] @ x[other].T >= cosine
+            link(np.triu(close, 1) if upper else close, part, other)
+            done += close.size
+        return done
+
+    same = len(a) == len(b) and bool((a == b).all())
+    todo = [(0, np.unique(path[a, 0]), np.unique(path[b, 0]), same)] if len(a) and len(b) else []
+    while todo:
+        level, left, right, upper = todo.pop()
+        size = ends[level] - starts[level]
+        below = np.concatenate([members(level, c) for c in right])
+        bounds = np.concatenate([[0], np.cumsum(size[right])])
+        for at in range(0, len(left), ROWS):
+            part, other = left[at : at + ROWS], right[at:] if upper else right
+            product = x[part] @ x[other].T
+            work += product.size
+            wide, single, wide_other = np.flatnonzero(size[part] > 1), np.flatnonzero(size[part] == 1), np.flatnonzero(size[other] > 1)
+            pairs = []
+            for rows, columns in ((wide, np.arange(len(other))), (single, wide_other)):
+                apart = np.sqrt(np.maximum(2 - 2 * product[np.ix_(rows, columns)], 0))
+                reach = cover[level][part[rows]][:, None] + cover[level][other[columns]]
+                i, j = np.nonzero(apart - reach <= threshold + SLACK)
+                pairs += [p for p in zip(rows[i], columns[j], (apart + reach)[i, j] <= threshold - SLACK) if not upper or p[0] <= p[1]]
+            if len(pairs) * STEP > size[part].sum() * size[other].sum():
+                # where both sides are one, the part's vectors are the first of those below
+                own = below[bounds[at] : bounds[at + len(part)]] if upper else np.concatenate([members(level, c) for c in part])
+                work += exact(own, below[bounds[at] :] if upper else below, upper)
+                continue
+            close = product >= cosine
+            close[wide], close[:, wide_other] = False, False
+            link(np.triu(close, 1) if upper else close, part, other)
+            for i, j, whole in pairs:
+                p, q, itself = members(level, part[i]), members(level, other[j]), upper and i == j
+                if whole:
+                    links[p] += count[q].sum() - (count[p] if itself else 0)
+                    links[q] += 0 if itself else count[p].sum()
+                    met += [(p, np.full(len(p), other[j])), (q, np.full(len(q), part[i]))]
+                elif level == last:
+                    work += exact(p, q, itself)
+                else:
+                    todo.append((level + 1, np.unique(path[p, level + 1]), np.unique(path[q, level + 1]), itself))
+    p, q = (np.concatenate(c) for c in zip(*met))
+    return links, p, q, work
+
+
 def unit_vectors(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     """vec_id, label and ``unit`` (array of doubles; null where the vector links with nothing)."""
 
@@ -163,27 +276,28 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(array), -1) if len(array) else np.zeros((0, 1))
 
 
+def _descended(group: pa.Table) -> pa.Table:
+    """A block with the place of each vector in it and its node on every level, as that place."""
+    path = descent(_matrix(group.column("unit")))
+    places = pa.array(np.arange(len(path)))
+    paths = pa.ListArray.from_arrays(pa.array(np.arange(len(path) + 1) * len(LEVELS), pa.int32()), pa.array(path.reshape(-1)))
+    return group.append_column("place", places).append_column("path", paths)
+
+
 def _compared(cosine: float):
     """Per vector of a pair of blocks: how many rows it is linked to, and the least id it reaches in it."""
 
     def run(group: pa.Table) -> pa.Table:
-        x = _matrix(group.column("unit"))
-        ids, count = group.column("rep").to_numpy(), group.column("n").to_numpy()
-        left, right = (group.column(c).to_numpy(zero_copy_only=False) for c in ("in_a", "in_b"))
-        a, b = np.flatnonzero(left), np.flatnonzero(right)
-        same = len(a) == len(b) and (a == b).all()
-        links, met = np.zeros(len(ids), dtype=np.int64), []
-        for at in range(0, len(a), ROWS):
-            part = a[at : at + ROWS]
-            close = x[part] @ x[b].T >= cosine
-            if same:
-                close[np.arange(len(part)), np.arange(at, at + len(part))] = False
-            links[part] += close @ count[b]
-            if not same:
-                links[b] += close.T @ count[part]
-            p, q = np.nonzero(close)
-            met.append((part[p], b[q]))
-        p, q = (np.concatenate(c) for c in zip(*met))
+        ids, count, place = (group.column(c).to_numpy() for c in ("rep", "n", "place"))
+        path, sides = _matrix(group.column("path")).copy(), []
+        for side in ("in_a", "in_b"):
+            rows = np.flatnonzero(group.column(side).to_numpy(zero_copy_only=False))
+            rows = rows[np.argsort(place[rows])]
+            sides.append(rows)
+        a, b = sides
+        for rows in [a] if len(a) == len(b) and (a == b).all() else sides:
+            path[rows] = rows[path[rows]]
+        links, p, q, _ = dual(_matrix(group.column("unit")), path, count, a, b, cosine)
         least = ids.copy()
         while True:
             before = least.copy()
@@ -248,6 +362,9 @@ def near_duplicates(rows: DataFrame, vector: str = "embedding", cosine: float =
     sizes = placed.groupBy("label", "node").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.sum("n").alias("total"), F.min("rep").alias("first"))
     sizes = staged(sizes, "sizes")
     blocks = placed.join(sizes.select("label", "node", "blocks"), ["label", "node"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    blocks = blocks.select("label", "node", "block", "unit", "rep", "n").groupBy("label", "node", "block")
+    columns = "label string, node bigint, block bigint, unit array<double>, rep bigint, n bigint, place bigint, path array<bigint>"
+    blocks = staged(blocks.applyInArrow(_descended, columns), "blocks")
     facing = (
         pair_table(compare)
         .withColumn("other", F.when(F.col("node") == F.col("a"), F.col("b")).otherwise(F.col("a")))
@@ -266,7 +383,7 @@ def near_duplicates(rows: DataFrame, vector: str = "embedding", cosine: float =
         .withColumns({"in_a": in_a & (F.col("block") == F.col("i")), "in_b": (F.col("node") == F.col("b")) & (F.col("block") == F.col("j"))})
     )
     found = (
-        dealt.select("label", "a", "b", "i", "j", "unit", "rep", "n", "in_a", "in_b")
+        dealt.select("label", "a", "b", "i", "j", "unit", "rep", "n", "place", "path", "in_a", "in_b")
         .groupBy("label", "a", "b", "i", "j")
         .applyInArrow(_compared(cosine), "rep bigint, links bigint, least bigint")
     )
