@@ -1,4 +1,5 @@
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from ledgerkit import N, content, gap, land, land_all, ledger_rows, register, requests, walks_frame
@@ -8,6 +9,7 @@ from tideline import schemas
 from tideline.jobs.heal import FAILED, UNVERIFIED, VERIFIED, Healer
 from tideline.jobs.rates import Rates
 from tideline.jobs.rederive import rederive
+from tideline.jobs.status import status
 from tideline.jobs.walk import Walker
 from tideline.operators import coverage, history, integrity, ops, paging
 from tideline.plans import reads
@@ -330,3 +332,32 @@ def test_gaps_of_the_store_have_their_life_cycle(spark, tmp_path):
         assert [r["heal_next_to"] for r in integrity.list_open_gaps(live.gaps()).collect()] == left
 
 
+
+
+def test_status_of_a_store(spark, tmp_path):
+    root, at, store = f"{tmp_path}/landing", f"{tmp_path}/checkpoint", f"{tmp_path}/store"
+    of = lambda **more: status(spark, root, store, N, **more).first().asDict()
+    empty = of()
+    assert (empty["cursor"], empty["next"], empty["tip"], empty["ready"], empty["alert"], empty["lag_seconds"], empty["counters"]) == (0, 1, 0, False, False, None, None)
+    land_all(spark, root, [k for k in range(1, 21) if k not in (7, 8)])
+    register(spark, root)
+    assert (of()["tip"], of()["ready"]) == (20, False)
+    live = Live(spark, root, store, N)
+    live.start(at).awaitTermination()
+    found = of(archive=UNVERIFIED)
+    assert (found["cursor"], found["tip"], found["tip_lag"], found["lag_seconds"]) == (20, 20, 0, 0)
+    assert (found["ready"], found["open_gaps"], found["alert"], found["archive"]) == (True, 1, True, UNVERIFIED)
+    assert found["counters"] == live.tables.counters() and found["counters"]["suppressed_transfers"] > 0
+    walker = Walker(spark, root, store, N, size=5)
+    walker.request(requests(spark, [(N, "C1", 1, 20, ["events"])]))
+    assert of()["pending_walks"] == 1
+    # ledgers that land beyond the cursor are a lag until they are derived; a gap that lands is none any more
+    then = datetime.now().replace(microsecond=0)
+    rows = [(*r[:4], then) for r in ledger_rows(range(21, 31))]
+    land_all(spark, root, [7, 8])
+    land(spark, root, "ledgers", rows)
+    assert (of()["tip_lag"], of()["ready"], of()["lag_seconds"]) == (10, False, 50)
+    live.start(at).awaitTermination()
+    late = of(now=then + timedelta(seconds=61))
+    assert (late["cursor"], late["open_gaps"], late["ready"], late["lag_seconds"], late["alert"]) == (30, 0, True, 61, True)
+    assert not of(now=then + timedelta(seconds=59))["alert"]

@@ -42,19 +42,27 @@ def landed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return parquet(spark, path, f"{schema}, bucket bigint")
 
 
-def first_ledger(spark: SparkSession, path: str, network: str) -> int | None:
-    """The oldest ledger of a network that has landed: buckets are listed, and the lowest ones read until one has it."""
+def edge_ledger(spark: SparkSession, path: str, network: str, oldest: bool) -> int | None:
+    """The oldest or the newest ledger of a network that has landed: buckets are listed, and read from that end until one has it."""
     top = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
     names = [f.getPath().getName() for f in fs.listStatus(top)] if fs.exists(top) else []
-    for bucket in sorted(int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=") and n[7:].isdigit()):
+    for bucket in sorted((int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=") and n[7:].isdigit()), reverse=not oldest):
         rows = landed(spark, path, schemas.LEDGERS).where((F.col("bucket") == bucket) & (F.col("network") == network))
-        found = rows.agg(F.min("ledger_sequence")).first()[0]
+        found = rows.agg((F.min if oldest else F.max)("ledger_sequence")).first()[0]
         if found is not None:
             return found
     return None
 
 
+def first_ledger(spark: SparkSession, path: str, network: str) -> int | None:
+    return edge_ledger(spark, path, network, True)
+
+
+def last_ledger(spark: SparkSession, path: str, network: str) -> int | None:
+    return edge_ledger(spark, path, network, False)
+
+
 def read_ledgers(rows: DataFrame, first: int, last: int) -> DataFrame:
     """Ledgers ``first`` to ``last``; those that are missing are missing. The bounds reach the Parquet scan, and its folders where there are buckets."""
     if "bucket" in rows.columns:
