@@ -501,7 +501,9 @@ def test_chat_perspectives(spark):
     turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", "yo"), (1, 2, "bob", "yo"), (1, 3, "ann", None), (2, 0, "system", "alone"), (None, 0, None, "who"), (3, 600, "a", "late"), (3, 0, "b", "x")]
     rows = spark.createDataFrame([(*t, "extra") for t in turns], "conv_id long, turn long, role string, text string, perspective string")
     got = {(r["conv_id"], r["perspective"], r["window"]): r for r in chat.rotate_perspectives(rows).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (None, "unknown", 0), (3, "a", 0), (3, "a", 1), (3, "b", 0), (3, "b", 1)}
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (None, "unknown", 0), (3, "a", 0), (3, "b", 0)}
+    assert all(got[3, who, 0]["n_messages"] == 2 for who in "ab")  # sparse numbers make no windows
+    got |= {(r["conv_id"], r["perspective"], r["window"]): r for r in chat.rotate_perspectives(rows.where("conv_id = 3"), window_turns=1).collect()}
     ann = got[1, "ann", 0]
     assert ann["rendered"] == (
         "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n<|im_start|>user name=bob\nyo<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
@@ -525,12 +527,19 @@ def test_cutting_a_dialogue_changes_no_text_and_no_mask(spark):
         return found
 
     small, large = whole(3), whole(10_000)
-    # a null turn goes with window 0, so it is left out where windows before 0 exist
-    assert set(small) == set(large) and len({c for c, _ in large}) == 3
-    assert all(len(small[k][0]) == len(large[k][0]) and all(small[k][0][a:b].endswith("<|im_end|>") for a, b in small[k][1]) for k in large)
-    some = rows.where("turn >= 0")
-    rows = some
-    assert whole(3) == whole(10_000)
+    assert small == large and len({c for c, _ in large}) == 3
+
+
+@pytest.mark.parametrize("number", [lambda k: k, lambda k: k * 1_000_000, lambda k: 5, lambda k: None, lambda k: -k])
+def test_windows_hold_so_many_messages_whatever_the_numbers(spark, number):
+    turns = [(1, number(k), "ab"[k % 2], f"{k:03d}") for k in range(50)]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = chat.rotate_perspectives(rows, window_turns=8).collect()
+    assert sorted((r["perspective"], r["window"], r["n_messages"]) for r in got) == [(who, w, 8 if w < 6 else 2) for who in "ab" for w in range(7)]
+    said = sorted(turns, key=lambda t: ((t[1] is not None, t[1] or 0), t[2], t[3]))
+    for who in "ab":
+        whole = "".join(r["rendered"] for r in sorted(got, key=lambda r: r["window"]) if r["perspective"] == who)
+        assert [line[:3] for line in whole.split("\n") if line[:1].isdigit()] == [t[3] for t in said]
 
 
 def test_classifier_on_held_out_labels(spark):

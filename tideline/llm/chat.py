@@ -14,8 +14,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 OPEN, CLOSE, OWN = "<|im_start|>", "<|im_end|>", "assistant\n"
-#: A rendering is stored in pieces of so many turn numbers, so that no task holds a whole dialogue.
+#: A rendering is stored in pieces of so many messages, so that no task holds a whole dialogue.
 WINDOW_TURNS = 512
+#: Range of messages without a turn number: before all others.
+NO_TURN = -(2**63)
 
 
 def _plain(text: Column) -> Column:
@@ -33,6 +35,21 @@ def _body(text: Column) -> Column:
     return F.concat(_plain(text), F.lit(CLOSE))
 
 
+def _cut(said: DataFrame, window_turns: int) -> DataFrame:
+    """``said`` with ``_window``: how many messages of the conversation come before, div ``window_turns``.
+
+    Messages are ranked within ranges of turn numbers, and start where the earlier ranges' counts end, so that neither
+    dense nor sparse numbers make long windows or many. Equal messages have one rank, and so one window.
+    """
+    said = said.withColumn("_range", F.coalesce(F.floor(F.col("_turn") / window_turns).cast("long"), F.lit(NO_TURN)))
+    before = W.partitionBy("_key").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = said.groupBy("_key", "_range").agg(F.count("*").alias("_n"))
+    starts = starts.select("_key", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.rank().over(W.partitionBy("_key", "_range").orderBy("_turn", "_who", "_text"))
+    placed = said.withColumn("_place", place - 1).join(starts, ["_key", "_range"])
+    return placed.withColumn("_window", F.expr(f"(_start + _place) div {window_turns}")).drop("_range", "_place", "_start")
+
+
 def _offsets(windows: DataFrame, system: Sequence[str]) -> DataFrame:
     """Per conversation and window, ``_people``: each participant with the characters of their rendering before it.
 
@@ -62,9 +79,9 @@ def rotate_perspectives(
     system: Sequence[str] = ("system",),
     window_turns: int = WINDOW_TURNS,
 ) -> DataFrame:
-    """One rendering per conversation and perspective, in pieces: a row for each window of turns.
+    """One rendering per conversation and perspective, in pieces: a row for each window of ``window_turns`` messages.
 
-    Columns: ``conv``, ``perspective``, ``window`` (turn number div ``window_turns``), ``n_messages``,
+    Columns: ``conv``, ``perspective``, ``window`` (messages before it div ``window_turns``), ``n_messages``,
     ``n_trained``, ``offset`` (characters of the rendering before this piece), ``rendered`` and ``mask``
     (array of [start, end) character spans that are trained on: the body and end marker of the assistant's
     messages). Spans count from the start of the whole rendering, which is its pieces in the order of
@@ -72,8 +89,8 @@ def rotate_perspectives(
 
     Defined results: repeated rows (equal in all four columns) count once; turns with equal numbers
     go by speaker, then text, nulls first; a null text is empty; a null or empty speaker is named
-    ``unknown``; a null conversation is a conversation of its own; a null turn comes first, in window
-    0; a conversation with system turns only has no perspective and gives no row; control markers in
+    ``unknown``; a null conversation is a conversation of its own; a null turn comes first; windows
+    count repeated rows, so that one with many may hold fewer messages, and a number may be missing; a conversation with system turns only has no perspective and gives no row; control markers in
     names and texts are broken up. Other columns are ignored. A speaker who is silent in a window
     still gets that window (with an empty mask), since a dialogue's windows belong together.
     """
@@ -83,9 +100,8 @@ def rotate_perspectives(
         F.col(turn).alias("_turn"),
         F.when(F.trim(F.col(speaker)) != "", F.col(speaker)).otherwise(F.lit("unknown")).alias("_who"),
         F.coalesce(F.col(text), F.lit("")).alias("_text"),
-        F.coalesce(F.floor(F.col(turn) / window_turns), F.lit(0)).cast("long").alias("_window"),
     )
-    windows = said.groupBy("_key", "_window").agg(
+    windows = _cut(said, window_turns).groupBy("_key", "_window").agg(
         F.first("_conv").alias("_conv"),
         F.array_sort(F.collect_set(F.struct("_turn", "_who", "_text"))).alias("_messages"),
     )

@@ -12,8 +12,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 OP1 = """
-with said as (select distinct coalesce('c' || cast(conv_id as varchar), 'null') k, conv_id, turn, case when trim(role) <> '' then role else 'unknown' end who, coalesce("text", '') body,
-    coalesce(floor(turn / 512), 0)::bigint win from conversations),
+with rows as (select coalesce('c' || cast(conv_id as varchar), 'null') k, conv_id, turn, case when trim(role) <> '' then role else 'unknown' end who, coalesce("text", '') body from conversations),
+said as (select distinct k, conv_id, turn, who, body, ((rank() over (partition by k order by turn nulls first, who, body) - 1) // 512)::bigint win from rows),
 people as (select distinct k, who perspective from said where who <> 'system'),
 parts as (select s.*, perspective, who = perspective own, '<|im_start|>' || case when who = 'system' then 'system' || chr(10) when who = perspective then 'assistant' || chr(10)
     else 'user name=' || replace(who, '<|', '< |') || chr(10) end head, replace(body, '<|', '< |') || '<|im_end|>' tail from said s join people using (k)),
