@@ -361,3 +361,20 @@ def test_status_of_a_store(spark, tmp_path):
     late = of(now=then + timedelta(seconds=61))
     assert (late["cursor"], late["open_gaps"], late["ready"], late["lag_seconds"], late["alert"]) == (30, 0, True, 61, True)
     assert not of(now=then + timedelta(seconds=59))["alert"]
+
+
+@pytest.mark.parametrize("most", [1, 9, 1_000_000])
+def test_pages_of_text_keys_are_numbered_by_how_they_start(spark, monkeypatch, most):
+    monkeypatch.setattr(paging, "MOST_SPANS", most)
+    rng = random.Random(3)
+    keys = [None, "", "\u00e9", "\U0001f600", "A", "AAAA", *("AAAA" + "".join(rng.choice("AB\u00e9\uffee\U0001f600") for _ in range(rng.randrange(9))) for _ in range(300))]
+    rows = sorted({(c, k, d) for c in ("C1", "C2") for k in keys for d in ("persistent", "temporary") if rng.random() < 0.8}, key=lambda r: (r[0], r[1] is not None, (r[1] or "").encode(), r[2]))
+    frame = spark.createDataFrame(rows, "contract_id string, key_xdr string, durability string").repartition(5)
+    want = {}
+    for c in ("C1", "C2"):
+        own = [r for r in rows if r[0] == c]
+        want |= {(c, i // 7 + 1): (len(own[i : i + 7]), own[i : i + 7][-1][1:]) for i in range(0, len(own), 7)}
+    got = paging.paginate_all(frame, ["contract_id"], ["key_xdr", "durability"], 7).collect()
+    assert {(r["contract_id"], r["page"]): (r["n_rows"], (r["last_key_xdr"], r["last_durability"])) for r in got} == want
+    n = frame.select(paging.spans(frame, ["contract_id"], ["key_xdr", "durability"]).alias("s")).distinct().count()
+    assert n > 100 if most > 1000 else n < 10

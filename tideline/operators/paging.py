@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import MOVEMENT_NAMES
 
@@ -15,6 +16,8 @@ DEFAULT_LIMIT, MOST = 100, 1000
 VERSION = 1
 #: Ledgers within which rows are numbered at once.
 SPAN = 4096
+#: Lengths of the starts of text keys that spans can be made of, and how many spans there may be: rows of counts.
+PREFIXES, MOST_SPANS = (1, 2, 4, 8, 12, 16, 24, 32, 48, 64), 1_000_000
 #: Columns whose order is that of the chain.
 CHAIN_IDS = ("id", "transfer_id")
 ORDERS = {
@@ -91,14 +94,29 @@ def page(rows: DataFrame, keys: list[str], limit: int = DEFAULT_LIMIT, after: tu
     return read.withColumns({"_n": place, "has_more": F.count("*").over(W.partitionBy()) > limit}).where(F.col("_n") <= limit).drop("_n")
 
 
+def spans(rows: DataFrame, group: list[str], keys: list[str]) -> Column:
+    """A column in which rows of a group can be parted in the order of ``keys``: ledgers, or how a text key starts.
+
+    The starts are as long as they can be without there being more than ``MOST_SPANS`` of them, which is counted
+    (approximately: this decides how fast pages are numbered, never how). Other keys have a single span.
+    """
+    if keys[0] in CHAIN_IDS and "ledger_sequence" in rows.columns:
+        return F.expr(f"ledger_sequence div {SPAN}")
+    if rows.schema[keys[0]].dataType != T.StringType():
+        return F.lit(0).cast("long")
+    # a null key comes first, and so does an empty one: both are in the first span, and are told apart inside it
+    start = lambda n: F.substring(F.coalesce(keys[0], F.lit("")), 1, n)
+    seen = rows.agg(*[F.approx_count_distinct(F.xxhash64(*group, start(n))) for n in PREFIXES]).first()
+    return start(max((n for n, count in zip(PREFIXES, seen) if count <= MOST_SPANS), default=1))
+
+
 def paginate_all(rows: DataFrame, group: list[str], keys: list[str], limit: int = DEFAULT_LIMIT) -> DataFrame:
     """Every page of every group: page number, rows, and the key it ends with.
 
-    Where ``keys`` begin with a chain-order id, rows are numbered within spans of ledgers and the counts of earlier
-    spans are added, so that no task holds a whole group.
+    Rows are numbered within :func:`spans` of their group and the counts of earlier spans are added, so that no task
+    holds a whole group, however large.
     """
-    span = F.expr(f"ledger_sequence div {SPAN}") if keys[0] in CHAIN_IDS and "ledger_sequence" in rows.columns else F.lit(0).cast("long")
-    rows = rows.withColumn("_span", span)
+    rows = rows.withColumn("_span", spans(rows, group, keys))
     before = W.partitionBy(*group).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
     starts = rows.groupBy(*group, "_span").count().select(*group, "_span", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     place = F.row_number().over(W.partitionBy(*group, "_span").orderBy(*keys))
