@@ -27,7 +27,7 @@ def status(spark: SparkSession, folder: str, store: str, network: str, archive:
     """
     feed = Feed(spark, folder, network)
     tip = landing.last_ledger(spark, f"{folder}/ledgers", network) or 0
-    with open_store(spark, store).pinned() as tables:
+    with open_store(spark, store).as_of_now() as tables:
         found = tables.read("cursors").where(F.col("network") == network).first()
         cursor = found["ledger_sequence"] if found else 0
         gaps = integrity.list_open_gaps(tables.read("gaps")).where(F.col("network") == network).count()

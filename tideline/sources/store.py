@@ -62,14 +62,22 @@ class Store:
     # the log
 
     @contextmanager
-    def pinned(self) -> Iterator[Store]:
-        """The store as it is now, for the reads of one job up to its commit; staged rows go at the end."""
+    def as_of_now(self) -> Iterator[Store]:
+        """The store as it is now, for several reads that belong together."""
         self._pinned = self._marks()
         try:
             yield self
         finally:
             self._pinned = None
-            self._delete(f"{self.root}/_work")
+
+    @contextmanager
+    def pinned(self) -> Iterator[Store]:
+        """The store as it is now, for the reads of the writing job up to its commit; staged rows go at the end."""
+        with self.as_of_now():
+            try:
+                yield self
+            finally:
+                self._delete(f"{self.root}/_work")
 
     def _marks(self) -> list[Row]:
         return self.markers().collect() if self._pinned is None else self._pinned  # a row a commit
