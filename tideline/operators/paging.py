@@ -138,7 +138,8 @@ def read_resume_key(text: str, endpoint: str, network: str, contract: str, keys:
     try:
         found = json.loads(text)
         version, own = found.pop("version"), (found.pop("endpoint"), found.pop("network"), found.pop("contract"))
-        limit, last = found.pop("limit"), tuple(found.pop("last")[k] for k in keys)
+        limit, place = found.pop("limit"), found.pop("last")
+        last = tuple(place[k] for k in keys)
     except (ValueError, TypeError, KeyError, AttributeError) as e:
         raise ValueError("the resume key is not valid") from e
     if version != VERSION:
