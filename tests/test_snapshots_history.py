@@ -185,3 +185,22 @@ def test_feed_equivalence_compares_every_transaction_and_change(spark):
     other = [(n, k, {"t1": "t2", "t2": "t1"}.get(tx, tx) if k == 5 else tx, c, x) for n, k, tx, c, x in other]  # swapped
     got = integrity.feed_equivalence(spark.createDataFrame(rows, schema), spark.createDataFrame(other, schema)).collect()
     assert sorted((r["ledger_sequence"], r["first_difference"]) for r in got) == [(2, "3_changes"), (3, "2_result"), (4, "1_header"), (5, "1_header")]
+
+
+def test_feed_equivalence_shuffles_rows_by_component_and_not_by_change(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        n, tasks = 30_000, 4
+        row = lambda text: spark.range(0, n, 1, tasks).selectExpr("'net' network", "id % 3 ledger_sequence", "cast(id % 1000 as string) tx_hash", "'1_header' component", text)
+        got = integrity.feed_equivalence(row("cast(id as string) canonical"), row("if(id = 7, 'x', cast(id as string)) canonical"))
+        plan = got._jdf.queryExecution().executedPlan()
+        assert [(r["ledger_sequence"], r["first_difference"]) for r in got.collect()] == [(1, "1_header")]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    moved, left = [], [plan]
+    while left:
+        node = left.pop()
+        left += [node.children().apply(k) for k in range(node.children().size())]
+        if node.nodeName() == "Exchange":
+            moved.append(node.metrics().apply("shuffleRecordsWritten").value())
+    assert moved and 0 < max(moved) <= 2 * tasks * 3

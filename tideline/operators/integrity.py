@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -109,12 +111,20 @@ def feed_equivalence(a: DataFrame, b: DataFrame) -> DataFrame:
 
     Rows have network, ledger_sequence, tx_hash (null for what belongs to no transaction), component (sorted
     as they are compared) and canonical. All rows of a ledger, transaction and component are compared, in any order.
+
+    A row is 128 bits of a SHA-256 over its transaction and text. Those of one feed are added, those of the other
+    subtracted, before anything is shuffled: a row a component and task is. Whole numbers are added, without overflow
+    below 2^31 rows a component. The salt is drawn for each comparison, so that no feed can be made to add up to
+    another one, and two that differ are taken for equal once in 2^128.
     """
-    key = ["network", "ledger_sequence", "tx_hash", "component"]
-    rows = lambda df, side: df.select(*key, F.coalesce(F.sha2("canonical", 256), F.lit("null")).alias("_d"), F.lit(side).alias("_side"))
-    digest = lambda side: F.sha2(F.array_join(F.sort_array(F.collect_list(F.when(F.col("_side") == side, F.col("_d")))), ","), 256)
-    both = rows(a, "a").unionByName(rows(b, "b")).groupBy(*key).agg(digest("a").alias("da"), digest("b").alias("db"))
-    return both.where("da <> db").groupBy("network", "ledger_sequence").agg(F.min("component").alias("first_difference"))
+    key, salt = ["network", "ledger_sequence", "component"], secrets.token_hex(16)
+    # the length ends the first text, so that no two pairs of texts and nulls give the same one
+    tx = F.coalesce(F.concat(F.octet_length("tx_hash").cast("string"), F.lit(":"), "tx_hash"), F.lit("-"))
+    text = F.coalesce(F.concat(F.lit("="), "canonical"), F.lit("-"))
+    lanes = {f"_h{k}": F.conv(F.substring("_d", 8 * k + 1, 8), 16, 10).cast("long") for k in range(4)}
+    rows = lambda df, sign: df.select(*key, F.sha2(F.concat(F.lit(salt), tx, text), 256).alias("_d")).select(*key, *[(x * sign).alias(h) for h, x in lanes.items()])
+    sums = rows(a, 1).unionByName(rows(b, -1)).groupBy(*key).agg(*[F.sum(h).alias(h) for h in lanes])
+    return sums.where(" or ".join(f"{h} <> 0" for h in lanes)).groupBy("network", "ledger_sequence").agg(F.min("component").alias("first_difference"))
 
 
 def equivalence_sample(cursor: int, cadence: int = 64, size: int = 8) -> range | None:
