@@ -204,3 +204,13 @@ def test_feed_equivalence_shuffles_rows_by_component_and_not_by_change(spark):
         if node.nodeName() == "Exchange":
             moved.append(node.metrics().apply("shuffleRecordsWritten").value())
     assert moved and 0 < max(moved) <= 2 * tasks * 3
+
+
+def test_feed_equivalence_tells_nulls_and_joined_texts_apart(spark):
+    schema = "network string, ledger_sequence long, tx_hash string, component string, canonical string"
+    one = [(None, "x"), ("-", "x"), ("1:a", "b"), ("a", None), (None, None), ("", "")]
+    two = [("", "x"), (None, "-x"), ("1", ":ab"), ("a", "-"), ("-", None), (None, "")]
+    frame = lambda texts: spark.createDataFrame([("net", k, tx, "1_header", c) for k, (tx, c) in enumerate(texts)], schema)
+    assert integrity.feed_equivalence(frame(one), frame(one)).isEmpty()
+    assert integrity.feed_equivalence(frame(one), frame(two)).count() == len(one)
+    assert integrity.feed_equivalence(frame(one), frame([])).count() == len(one)
