@@ -130,3 +130,22 @@ def test_unresolvable_trustlines_are_counted_and_kept(spark):
     tx = spark.createDataFrame([("net", 12345, None, 1, "tx", True, True)], schemas.TRANSACTIONS)
     audit = extract.extraction_audit(tx, envelopes(raw(spark, [([sym("a")], i128(1))])), registered, changes, assets).collect()
     assert {r["ledger_sequence"]: r["suppressed_trustlines"] for r in audit} == {12345: 2, 12346: 1}
+
+
+def test_audit_reads_events_once_and_counts_each_once(spark, tmp_path):
+    other_version = F.when(F.col("pos_in_op") >= 3, 1).otherwise(0)
+    bad = [sym("transfer"), addr("C1"), addr("C2"), ("u64", "1", "b64")]
+    made = [(bad, i128(1)), ([sym("transfer"), addr("C1"), addr("C3")], i128(1)), ([sym("mint"), addr(F_)], i128(-1)), ([sym("a")], i128(1)), (bad, i128(1))]
+    rows = None
+    for contract in (W, O):
+        part = envelopes(raw(spark, made, contract).withColumn("body_version", other_version).withColumn("tx_index", F.lit(1 + (contract == O))))
+        rows = part if rows is None else rows.unionByName(part)
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events")
+    tx = spark.createDataFrame([("net", 12345, None, 1, "tx", True, True), ("net", 12346, None, 1, "ty", False, True)], schemas.TRANSACTIONS)
+    registered = regs(spark, **{W: ["transfers", "events"], "C1": ["movements"], "C2": ["movements", "events"]})
+    twice = registered.unionByName(registered)
+    audit = extract.extraction_audit(tx, spark.read.parquet(f"{tmp_path}/events"), twice)
+    assert audit._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    got = {r["ledger_sequence"]: r.asDict() for r in audit.collect()}
+    assert [got[12345][c] for c in ("suppressed_events", "suppressed_transfers", "foreign_undecodable")] == [2, 2, 1]
+    assert got[12346]["failed_txs"] == 1 and sum(got[12346][c] for c in ("suppressed_txs", "suppressed_events", "suppressed_transfers", "foreign_undecodable")) == 0

@@ -71,15 +71,26 @@ def event_envelope(indexed: DataFrame) -> DataFrame:
     )
 
 
+def _names_movement() -> Column:
+    first = F.get("topics", F.lit(0))
+    return (F.col("body_version") == 0) & (first["t"] == "symbol") & first["v"].isin(*MOVEMENT_NAMES)
+
+
 def movement_named(events: DataFrame) -> DataFrame:
     """Events whose first topic is a symbol that names a token movement."""
-    first = F.get("topics", F.lit(0))
-    return events.where((F.col("body_version") == 0) & (first["t"] == "symbol") & first["v"].isin(*MOVEMENT_NAMES))
+    return events.where(_names_movement())
+
+
+def _rest() -> Column:
+    return F.slice("topics", 2, F.greatest(F.size("topics") - 1, F.lit(0)))
 
 
 def _addresses() -> Column:
-    rest = F.slice("topics", 2, F.greatest(F.size("topics") - 1, F.lit(0)))
-    return F.transform(F.filter(rest, lambda t: t["t"] == "address"), lambda t: t["v"])
+    return F.transform(F.filter(_rest(), lambda t: t["t"] == "address"), lambda t: t["v"])
+
+
+def _named_contracts() -> Column:
+    return F.array_distinct(F.filter(_addresses(), lambda a: F.startswith(a, F.lit("C"))))
 
 
 def participates_watched(events: DataFrame, registrations: DataFrame) -> DataFrame:
@@ -87,8 +98,8 @@ def participates_watched(events: DataFrame, registrations: DataFrame) -> DataFra
 
     The type test runs first: most events name no contract at all, and only the others are joined.
     """
-    contracts = F.filter(_addresses(), lambda a: F.startswith(a, F.lit("C")))
-    some = events.where(F.size(contracts) > 0).select("network", "id", F.explode(F.array_distinct(contracts)).alias("contract_id"))
+    contracts = _named_contracts()
+    some = events.where(F.size(contracts) > 0).select("network", "id", F.explode(contracts).alias("contract_id"))
     named = watched(some, registrations, "movements").select("network", "id").distinct()
     return events.join(named, ["network", "id"], "left_semi")
 
@@ -102,17 +113,11 @@ def _role_columns(name: Column, addrs: Column) -> tuple[Column, Column, Column]:
     return F.when(some, sender), F.when(some, receiver), F.when(name == "transfer", n == 2).otherwise(some)
 
 
-def decode_transfers(events: DataFrame) -> DataFrame:
-    """Movement events with type, from, to, amount (exact text), asset, muxed id, and ``reject_reason``.
-
-    Rows that cannot be decoded keep their reason and have no amount.
-    """
+def _with_reason(movements: DataFrame) -> DataFrame:
+    """Movement events with ``_amount``, ``_muxed`` and ``reject_reason``, null where they can be decoded."""
     topics, value = F.col("topics"), F.col("value")
-    name = F.get(topics, F.lit(0))["v"]
-    rest = F.slice(topics, 2, F.greatest(F.size(topics) - 1, F.lit(0)))
-    addrs, real = _addresses(), F.size(_addresses())
-    sender, receiver, suits = _role_columns(name, addrs)
-    strings = F.transform(F.filter(rest, lambda t: t["t"] == "string"), lambda t: t["v"])
+    rest = _rest()
+    suits = _role_columns(F.get(topics, F.lit(0))["v"], _addresses())[2]
     entry = lambda key: F.try_element_at(F.filter(value["map"], lambda p: p["key"]["v"] == key), F.lit(-1))["val"]
     has = lambda key: F.exists(value["map"], lambda p: p["key"]["v"] == key)
     keys_fit = F.forall(value["map"], lambda p: p["key"]["t"].isin("symbol", "string") & p["key"]["v"].isin("amount", "to_muxed_id"))
@@ -129,9 +134,19 @@ def decode_transfers(events: DataFrame) -> DataFrame:
         .when(F.startswith(F.col("_amount"), F.lit("-")), "negative")
         .when(map_fits & has("to_muxed_id") & F.col("_muxed").isNull(), "muxed id")
     )
-    rows = movement_named(events).withColumns({"_amount": amount, "_muxed": muxed})
+    return movements.withColumns({"_amount": amount, "_muxed": muxed}).withColumn("reject_reason", reason)
+
+
+def decode_transfers(events: DataFrame) -> DataFrame:
+    """Movement events with type, from, to, amount (exact text), asset, muxed id, and ``reject_reason``.
+
+    Rows that cannot be decoded keep their reason and have no amount.
+    """
+    name = F.get("topics", F.lit(0))["v"]
+    sender, receiver, _ = _role_columns(name, _addresses())
+    strings = F.transform(F.filter(_rest(), lambda t: t["t"] == "string"), lambda t: t["v"])
     return (
-        rows.withColumn("reject_reason", reason)
+        _with_reason(movement_named(events))
         .withColumns({"transfer_type": name, "from": sender, "to": receiver, "asset": F.try_element_at(strings, F.lit(-1))})
         .withColumn("amount", F.when(F.col("reject_reason").isNull(), F.col("_amount")))
         .withColumn("to_muxed_id", F.when(F.col("reject_reason").isNull(), F.col("_muxed")))
@@ -225,6 +240,24 @@ def derive_trustline_changes(indexed: DataFrame, assets: DataFrame, registration
     return attributed_trustlines(indexed, assets, registrations).where("reject_reason is null").drop("reject_reason")
 
 
+def _left_out(events: DataFrame, registrations: DataFrame) -> DataFrame:
+    """Suppressed events and transfers and foreign undecodable of each ledger that has any, in one pass over the events."""
+    odd = F.col("body_version") != 0  # no movement has another version
+    rows = _with_reason(events.where(odd | _names_movement())).where(odd | F.col("reject_reason").isNotNull())
+    rows = rows.select("network", "ledger_sequence", "id", "contract_id", odd.alias("_odd"), F.when(~odd, _named_contracts()).alias("_named"))
+    has = lambda kind: F.bool_or(F.array_contains("kinds", kind)).alias(f"_{kind}")
+    known = registrations.groupBy("network", "contract_id").agg(has("events"), has("transfers"))
+    rows = rows.join(known, ["network", "contract_id"], "left")
+    bad, own = ~F.col("_odd"), F.coalesce("_transfers", F.lit(False))
+    some = F.when(bad & ~own, F.col("_named"))  # null, and a single row, for what is not foreign
+    rows = rows.select("network", "ledger_sequence", "id", (F.col("_odd") & F.col("_events")).alias("_e"), (bad & own).alias("_t"), F.explode_outer(some).alias("contract_id"))
+    rows = rows.join(of_kind(registrations, "movements").distinct().withColumn("_party", F.lit(True)), ["network", "contract_id"], "left").where("_e or _t or _party")
+    counts = rows.groupBy("network", "ledger_sequence", "id").agg(F.count_if("_e").alias("_e"), F.count_if("_t").alias("_t"), F.count_if("_party").alias("_p"))
+    return counts.groupBy("network", "ledger_sequence").agg(
+        F.sum("_e").alias("suppressed_events"), F.sum("_t").alias("suppressed_transfers"), F.count_if(F.col("_p") > 0).alias("foreign_undecodable")
+    )
+
+
 def extraction_audit(
     transactions: DataFrame, events: DataFrame, registrations: DataFrame, changes: DataFrame | None = None, assets: DataFrame | None = None
 ) -> DataFrame:
@@ -238,13 +271,7 @@ def extraction_audit(
         F.count_if(~F.col("successful")).alias("failed_txs"),
         F.count_if(F.col("successful") & ~F.col("readable")).alias("suppressed_txs"),
     )
-    odd = watched(events.where("body_version <> 0"), registrations, "events").groupBy("network", "ledger_sequence").agg(F.count("*").alias("suppressed_events"))
-    own = of_kind(registrations, "transfers").withColumn("_own", F.lit(True))
-    bad = decode_transfers(events).where("reject_reason is not null").join(own, ["network", "contract_id"], "left")
-    foreign = participates_watched(bad.where("_own is null"), registrations).groupBy("network", "ledger_sequence").agg(F.count("*").alias("foreign_undecodable"))
-    kept = bad.where("_own").groupBy("network", "ledger_sequence").agg(F.count("*").alias("suppressed_transfers"))
-    for more in (odd, kept, foreign):
-        tx = tx.join(more, ["network", "ledger_sequence"], "left")
+    tx = tx.join(_left_out(events, registrations), ["network", "ledger_sequence"], "left")
     if changes is not None:
         lines = attributed_trustlines(changes, assets, registrations).where("reject_reason is not null")
         tx = tx.join(lines.groupBy("network", "ledger_sequence").agg(F.count("*").alias("suppressed_trustlines")), ["network", "ledger_sequence"], "full_outer")

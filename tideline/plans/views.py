@@ -69,12 +69,12 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three events a transaction; views, clicks, purchases and sign-ups are token movements, errors diagnostics."""
-    rows = _placed_events(spark, sf_dir)
-    e = F.col("event_id")
+    names = F.create_map(*[F.lit(x) for x in ("view", "transfer", "click", "mint", "purchase", "burn", "signup", "clawback", "error", "error")])
+    rows = _placed_events(spark, sf_dir).withColumn("_name", F.element_at(names, F.col("event_type")))  # once a row
+    e, name = F.col("event_id"), F.col("_name")
     b64 = lambda v: F.base64(F.encode(v, "UTF-8"))
     tagged = lambda t, v: F.struct(F.lit(t).alias("t"), v.alias("v"), b64(v).alias("b64"))
     pair = lambda k, t, v: F.struct(F.struct(F.lit("symbol").alias("t"), F.lit(k).alias("v")).alias("key"), F.struct(F.lit(t).alias("t"), v.alias("v")).alias("val"))
-    name = F.element_at(F.create_map(*[F.lit(x) for x in ("view", "transfer", "click", "mint", "purchase", "burn", "signup", "clawback", "error", "error")]), F.col("event_type"))
     own, other = _prefixed("G", F.col("user_id")), _prefixed("C", (F.col("user_id") * 7 + e) % 1000)
     symbol, a, b = tagged("symbol", name), tagged("address", own), tagged("address", other)
     asset = tagged("string", F.when(e % 4 == 0, F.lit("native")).otherwise(F.lit("USD:G1")))
